@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from weftgraph.llm import exact_dedup
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.ORACLE,
+}

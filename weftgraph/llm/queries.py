@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import exact_dedup, packing
+from weftgraph.llm import exact_dedup, ngram_join, packing
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_packing": packing.op8_packing,
 }
 

@@ -46,3 +46,23 @@ def near_components(docs):
                         x, y = sorted((find(a), find(b)))
                         root[y] = x
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def repeats(docs, length=50):
+    """[(doc_id, n_words, n_removed, kept text)] for (doc_id, text) rows."""
+    low = {}
+    for d, t in docs:
+        w = words(t)
+        for i in range(len(w) - length + 1):
+            if d is not None:
+                k = tuple(w[i : i + length])
+                low[k] = min(low.get(k, d), d)
+    out = []
+    for d, t in docs:
+        w = words(t)
+        gone = set()
+        for i in range(len(w) - length + 1):
+            if d is not None and low[tuple(w[i : i + length])] < d:
+                gone.update(range(i, i + length))
+        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out

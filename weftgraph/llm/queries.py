@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import exact_dedup, ngram_join, packing
+from weftgraph.llm import exact_dedup, ngram_join, packing, substring_dedup
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_packing": packing.op8_packing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {

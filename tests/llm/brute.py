@@ -66,3 +66,28 @@ def repeats(docs, length=50):
                 gone.update(range(i, i + length))
         out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def folded_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def contamination(docs, items, window=10):
+    """[(doc_id, n_words, n_hit, item ids sorted as strings)]"""
+    wins = defaultdict(set)
+    for i, t in items:
+        w = folded_words(t)
+        if w:
+            for k in range(max(1, len(w) - window + 1)):
+                wins[tuple(w[k : k + window])].add(str(i))
+    lengths = {len(w) for w in wins}
+    out = []
+    for d, t in docs:
+        w, hit, found = folded_words(t), set(), set()
+        for n in lengths if d is not None else ():
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k : k + n])) in wins:
+                    hit.update(range(k, k + n))
+                    found |= wins[x]
+        out.append((d, len(w), len(hit), sorted(found)))
+    return out

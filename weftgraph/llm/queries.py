@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import exact_dedup, ngram_join, packing, substring_dedup
+from weftgraph.llm import decontaminate, exact_dedup, ngram_join, packing, substring_dedup
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_packing": packing.op8_packing,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op9_benchmark_decontamination": decontaminate.ORACLE,
 }

@@ -22,6 +22,7 @@ columns are ignored. Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,12 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Workspace, pieces
 
-#: Distinct lower-case words whose ids a worker remembers at most.
-CACHE_WORDS = 300_000
+#: Distinct lower-case words whose ids a worker remembers before it starts anew.
+CACHE_WORDS = 250_000
+#: Words that are encoded at once.
+TOGETHER = 1000
+#: Fixed value: characters that, behind letters, form a part of their own.
+BEHIND = ".,!?;:|"
 
 
 class WordTokenizer:
@@ -45,7 +50,9 @@ class WordTokenizer:
 
     Such a tokenizer encodes the parts between white space independently, so
     each distinct part is encoded once and the ids of a text are put together
-    by index. Between calls a bounded cache keeps the parts.
+    by index. Punctuation behind a word is a part of its own. Words of letters
+    alone are encoded many at a time: each ends with the one id that carries
+    the end-of-word mark. A bounded cache keeps the parts between calls.
     """
 
     def __init__(self, path: str):
@@ -53,17 +60,48 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def _encode(self, parts: list[bytes]) -> list[np.ndarray]:
-        new = [p for p in parts if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = parts
-        found = {p: np.array(e.ids, np.uint32) for p, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True)}
-        out = [found[p] if p in found else self.cache[p] for p in parts]
-        self.cache.update(found)
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, parts: list[str]) -> dict[str, bytes]:
+        return {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return self._one_by_one(words)
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True)}
+
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+            self.words.clear()
+        new = [p for p in parts if p not in self.parts]
+        cut, letters, others = [], {}, {}
+        for word in map(_text, new):
+            base = word.rstrip(BEHIND)
+            if base.isalpha() and (base.isascii() or unicodedata.is_normalized("NFC", base) and base.lower().isalpha()):
+                if base not in self.words:
+                    letters[base] = None
+                behind = word[len(base) :]
+            else:
+                base, behind = word, ""
+                if base not in self.words:
+                    others[base] = None
+            if behind not in self.words:
+                others[behind] = None
+            cut.append((base, behind))
+        for known, encode in ((letters, self._letters), (others, self._one_by_one)):
+            words = list(known)
+            for i in range(0, len(words), TOGETHER):
+                self.words.update(encode(words[i : i + TOGETHER]))
+        self.parts.update(zip(new, [self.words[base] + self.words[behind] for base, behind in cut], strict=True))
+        return [self.parts[p] for p in parts]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end_id``, and the offsets of the texts."""
@@ -75,16 +113,21 @@ class WordTokenizer:
         coded = flat.dictionary_encode()
         ids = self._encode(coded.dictionary.cast(pa.binary()).to_pylist())
         # the end id is one more part behind each text
-        ids.append(np.array([end_id], np.uint32))
-        codes = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(ids) - 1)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        known, first = np.concatenate(ids), np.cumsum(sizes) - sizes
+        ids.append(np.array([end_id], np.uint32).tobytes())
+        codes = np.insert(coded.indices.to_numpy(), offsets[1:], len(ids) - 1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        known, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
         n = sizes[codes]
-        at = np.repeat(first[codes], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((first[codes] - ends[:-1]).astype(np.int32), n)
+        at += np.arange(ends[-1], dtype=np.int32)
         return known[at], ends[np.concatenate([[0], offsets[1:] + np.arange(1, len(texts) + 1)])]
 
 
+def _text(part: bytes) -> str:
+    return part.decode("utf-8", "replace")
+
+
 class CapacityTree:
     """Segment tree over remaining capacities 0..size: is any window open at a capacity?"""
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontaminate, exact_dedup, ngram_join, packing, substring_dedup
+from weftgraph.llm import decontaminate, exact_dedup, ngram_join, packing, substring_dedup, warc
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+    "op7_warc": warc.op7_warc,
     "op8_packing": packing.op8_packing,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontaminate, exact_dedup, ngram_join, packing, substring_dedup, warc
+from weftgraph.llm import decontaminate, exact_dedup, ngram_join, packing, substring_dedup, url_filter, warc
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,

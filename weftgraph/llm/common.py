@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,11 @@ class Workspace:
         for file in df.inputFiles()[:1]:
             self._remove(file.rsplit("/", 1)[0])
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files of finished steps now, not when the driver next collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

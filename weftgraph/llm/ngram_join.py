@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace, components, gram_hashes, mix, pieces, restrict, signed, split_words, without, word_hashes
+from weftgraph.llm.common import BROADCAST_ROWS, Workspace, components, gram_hashes, mix, pieces, restrict, signed, split_words, without, word_hashes
 
 #: Counters of the sketch that orders shingles; fixed, so it can be broadcast (4 bytes each).
 SKETCH = 1 << 19
@@ -50,6 +50,8 @@ SKETCH_PARTS = 64
 #: Longest list of classes of one shingle whose pairs are emitted at once.
 SHORT_LIST = 32
 MAX_MATCHES = 4
+#: Rounds of stars over long lists before pairs of different components are joined.
+STAR_TURNS = 3
 #: Classes that a scan task remembers to skip the copies it meets.
 TASK_CLASSES = 200_000
 #: Pair rows that a task gathers before it combines and emits them.
@@ -248,9 +250,13 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in pieces(batches, "text"):
-            found = [x for x in shingle_sets(batch.column("text"), width) if len(x)]
+            found = [x for x in shingle_sets(batch.column("text"), width) if len(x) and _class(x) not in seen]
+            if len(seen) >= TASK_CLASSES:
+                seen.clear()
             if found:
+                seen.update(map(_class, found))
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(found))))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([_class(x) for x in found], np.uint64))), lists], ["cls", "items"])
@@ -271,31 +277,58 @@ class NgramJaccardJoin:
         pairs = self.ws.table("candidates", pairs)
         ids = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(self.classes, "cls").select("cls", "rep")
         ids = self.ws.table("candidate-ids", ids)
-        texts = restrict(self.docs, ids.select(F.col("rep").alias("doc_id")), ids.count(), "doc_id")
-        sets = texts.mapInArrow(_sets(self.width), "cls bigint, items array<bigint>").join(ids, "cls").dropDuplicates(["cls"])
+        n = ids.count()
+        texts = restrict(self.docs, ids.select(F.col("rep").alias("doc_id")), n, "doc_id")
+        sets = texts.mapInArrow(_sets(self.width), "cls bigint, items array<bigint>").join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "cls")
         sets = self.ws.table("sets", sets)
         one, two = (sets.select(F.col("cls").alias(k), F.col("items").alias(f"items_{k}"), F.col("rep").alias(f"rep_{k}")) for k in "xy")
         both = pairs.join(one, "x").join(two, "y").withColumn("common", F.size(F.array_intersect("items_x", "items_y")))
-        links = self.ws.table("links", both.filter(f"100 * common >= {self.bounds.t} * (size(items_x) + size(items_y) - common)").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")))
+        links = self.ws.table("links", both.filter(f"100 * common >= {self.bounds.t} * (size(items_x) + size(items_y) - common)").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct())
         for t in (pairs, sets, ids):
             self.ws.drop(t)
+        self.ws.release()
         return links
 
+    def _named(self, links: DataFrame) -> DataFrame:
+        """(cls, root) of the classes that have links so far; root is a document id."""
+        roots = components(self.ws, links).select(F.col("node").alias("rep"), "root")
+        return self.ws.table("named", self.classes.join(roots, "rep").select("cls", "root"))
+
+    def _forest(self, pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs (x, y, n shared): each class's best partner first, then the pairs that are still apart."""
+        pairs = self.ws.table("short", pairs)
+        both = pairs.select(F.col("x").alias("c"), F.col("y").alias("p"), "n").unionByName(pairs.select(F.col("y").alias("c"), F.col("x").alias("p"), "n"))
+        best = both.groupBy("c").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
+        best = self.ws.table("best", best.select(F.least("c", "p").alias("x"), F.greatest("c", "p").alias("y")).distinct())
+        links = self._verify(best)
+        named = self._named(links)
+        one, two = (named.select(F.col("cls").alias(k), F.col("root").alias(f"root_{k}")) for k in "xy")
+        apart = pairs.join(one, "x", "left").join(two, "y", "left").filter("root_x IS NULL OR root_y IS NULL OR root_x != root_y")
+        return links.unionByName(self._verify(apart.select("x", "y").join(best, ["x", "y"], "left_anti")))
+
     def _roots(self, links: DataFrame, entries: DataFrame) -> DataFrame:
         """``entries`` with ``root``, the component of their class so far."""
-        roots = components(self.ws, links).select(F.col("node").alias("rep"), "root")
-        named = self.classes.select("cls", "rep").join(roots, "rep").select("cls", "root")
-        return entries.join(named, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        named = self._named(links).withColumn("linked", F.lit(True))
+        apart = F.struct(F.coalesce("linked", F.lit(False)), F.when(F.col("linked"), F.col("root")).otherwise(F.col("cls")))
+        return entries.join(named, "cls", "left").withColumn("root", apart).drop("linked")
 
     def _long_lists(self, links: DataFrame, entries: DataFrame) -> DataFrame:
-        """The links that the entries of long lists add: stars first, then pairs of different components."""
+        """The links that the entries of long lists add: stars first, then pairs of different components.
+
+        In the first turn all lists choose their centre by the same hash of the
+        class, so near copies meet at few centres. Later turns let each list
+        choose its own, and only entries outside the centre's component pair
+        with it: the few that the first centre didn't reach.
+        """
         size, t = F.shiftright("meta", 32), self.bounds.t
         entries = entries.withColumn("size", size).withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / t)))
-        for turn in range(2):
-            rooted = entries.withColumn("root", F.col("cls")) if not turn else self._roots(links, entries)
-            centre = rooted.groupBy("token", "band").agg(F.min_by(F.struct("cls", "size", "root"), F.xxhash64("cls", F.lit(turn))).alias("c"))
+        for turn in range(STAR_TURNS):
+            rooted = self.ws.table("rooted", self._roots(links, entries))
+            order = F.xxhash64("cls", F.lit(0)) if not turn else F.xxhash64("cls", "token", F.lit(turn))
+            centre = rooted.groupBy("token", "band").agg(F.min_by(F.struct("cls", "size", "root"), order).alias("c"))
             stars = rooted.join(centre, ["token", "band"]).filter(f"root != c.root AND 100 * least(size, c.size) >= {t} * greatest(size, c.size)")
             links = links.unionByName(self._verify(stars.select(F.least("cls", "c.cls").alias("x"), F.greatest("cls", "c.cls").alias("y")).distinct()))
+            self.ws.drop(rooted)
         rooted = self.ws.table("rooted", self._roots(links, entries))
         mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
         open_ = rooted.join(mixed, "token", "left_semi").withColumn("p", F.expr("shiftright(meta, 4) & 268435455")).withColumn("l", F.expr("meta & 15")).drop("band", "meta")
@@ -326,8 +359,9 @@ class NgramJaccardJoin:
         postings = self.docs.mapInArrow(_postings(self.width, self.bounds, sketch), "token bigint, cls bigint, meta bigint")
         matches = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_pairs(self.bounds), "x bigint, y bigint, n bigint, need bigint, token bigint")
         matches = ws.table("matches", matches)
-        short = matches.filter("token IS NULL").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("x", "y")
-        links = self._verify(short)
+        short = matches.filter("token IS NULL").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("x", "y", "n")
+        self.ws.release()
+        links = self._forest(short)
         entries = matches.filter("token IS NOT NULL").select("token", F.col("x").alias("cls"), F.col("need").alias("meta"))
         if not entries.isEmpty():
             links = self._long_lists(links, entries)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontaminate, exact_dedup, ngram_join, packing, substring_dedup, url_filter, warc
+from weftgraph.llm import chat, decontaminate, exact_dedup, ngram_join, packing, secrets, substring_dedup, url_filter, warc
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_chat_format": chat.op2_chat_format,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_format": chat.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,

@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.common import Workspace
+from weftgraph.llm.decontaminate import remove_contaminated
+from weftgraph.llm.exact_dedup import remove_duplicates
+from weftgraph.llm.ngram_join import remove_near_duplicates
+from weftgraph.llm.packing import pack, tokenizer_path
 from weftgraph.llm.toxicity import remove_toxic
 
 
@@ -20,8 +24,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts keeps the document with the largest id."""
+    return remove_duplicates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a shingle similarity of 0.75 keeps the one with the smallest id."""
+    return remove_near_duplicates(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens: one row per piece."""
+    return pack(docs, tokenizer_path())
+
+
 STAGES = [
     ("toxicity", toxicity),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", packing),
 ]
 
 ORACLE_SQL = None
@@ -32,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        out = ws.table(name, stage(spark, out, sf_dir))
+        out = ws.table(name.replace(" ", "-"), stage(spark, out, sf_dir))
     return out

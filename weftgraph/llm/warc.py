@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace
+from weftgraph.llm.common import Workspace, restrict, without
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -87,7 +87,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Reached records: file, start, page_id, record_type, digest, length, refers_to, payload."""
+    """Reached records: page_id, record_type, digest, length, refers_to, payload."""
     ws = Workspace(spark, "warc-read")
     raw = _pieces(spark, path)
     has_end = F.instr("value", END) > 0
@@ -111,22 +111,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     # the record of each piece is the last reached start at or before it
     owner = F.last(F.when(F.col("hit"), F.col("start")), ignorenulls=True).over(Window.partitionBy("file").orderBy("start"))
     owned = placed.join(reached.withColumn("hit", F.lit(True)), ["file", "start"], "left").select("file", "ord", "start", F.coalesce("hit", F.lit(False)).alias("hit"), owner.alias("record"))
-    inner = ws.table("owned", owned)
-    embedded = inner.filter("NOT hit")
+    owned = ws.table("owned", owned)
+    # only records that hold the magic are put together; the others are read straight from the files
+    split = ws.table("split", owned.join(owned.filter("NOT hit").select("file", "record").distinct(), ["file", "record"], "left_semi").select("ord", "file", "record"))
+    n = split.count()
     texts = raw.select("ord", "value")
-    whole = texts.join(inner.filter("hit").select("ord", "file", "start"), "ord") if embedded.isEmpty() else _joined(texts, inner)
+    whole = without(texts.filter("value != ''"), split.select("ord"), n, "ord").select("value")
+    if n:
+        whole = whole.unionByName(_joined(restrict(texts, split.select("ord"), n, "ord").join(split, "ord")))
     value, block = F.col("value"), F.substring_index("value", END, 1)
-    named = whole.select("file", "start", "value", F.length(block).alias("head"), *[_header(value, n).alias(k) for k, n in (("rid", "WARC-Record-ID"), ("ref", "WARC-Refers-To"), ("type", "WARC-Type"), ("sum", "WARC-Payload-Digest"), ("len", "WARC-Payload-Length"))])
+    named = whole.select("value", F.length(block).alias("head"), *[_header(value, n).alias(k) for k, n in (("rid", "WARC-Record-ID"), ("ref", "WARC-Refers-To"), ("type", "WARC-Type"), ("sum", "WARC-Payload-Digest"), ("len", "WARC-Payload-Length"))])
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:([^>]*)>', 1) AS BIGINT)")
     payload = value.substr(F.col("head") + len(END) + 1, F.length(value) - F.col("head") - 2 * len(END))
-    return named.select("file", "start", number("rid").alias("page_id"), F.col("type").alias("record_type"), F.regexp_replace("sum", "^sha256:", "").alias("digest"), F.expr("try_cast(len AS BIGINT)").alias("length"), number("ref").alias("refers_to"), payload.alias("payload"))
+    return named.select(number("rid").alias("page_id"), F.col("type").alias("record_type"), F.regexp_replace("sum", "^sha256:", "").alias("digest"), F.expr("try_cast(len AS BIGINT)").alias("length"), number("ref").alias("refers_to"), payload.alias("payload"))
 
 
-def _joined(texts: DataFrame, inner: DataFrame) -> DataFrame:
+def _joined(parts: DataFrame) -> DataFrame:
     """Records put together from their pieces; a record's pieces are as many as its payload holds magics."""
-    parts = texts.join(inner.select("ord", "file", F.col("record").alias("start")), "ord")
-    grouped = parts.groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("parts"))
-    return grouped.select("file", "start", F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).alias("value"))
+    grouped = parts.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("parts"))
+    return grouped.select(F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).alias("value"))
 
 
 def _reach(ws: Workspace, links: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def complete(df: DataFrame, model: Model, prompt: str, out: str) -> DataFrame:
                     known[p] = model.answer(p)
                 except Exception:
                     known[p] = None
-            yield prompts.map(known)
+            yield pd.Series([None if p is None else known.get(p) for p in prompts], dtype="str")
 
     return df.withColumn(out, without_think(ask(F.col(prompt))))
 
@@ -173,6 +173,6 @@ def yes_no(df: DataFrame, model: Model, prompt: str, out: str) -> DataFrame:
     @pandas_udf("array<struct<text:string,prob:double>>")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
-            yield prompts.map(lambda p: None if p is None else [{"text": t, "prob": q} for t, q in model.distribution(p)])
+            yield pd.Series([None if p is None else [{"text": t, "prob": q} for t, q in model.distribution(p)] for p in prompts], dtype=object)
 
     return df.withColumn(out, ask(F.col(prompt)))

@@ -46,6 +46,10 @@ class Component:
     def data(self, unit) -> dict:
         return self.edge[unit] if isinstance(unit, tuple) else self.node[unit]
 
+    def length(self, unit) -> int:
+        x = self.data(unit).get("length")
+        return 0 if x is None or x != x else int(x)
+
 
 def _shuffled(units: list, seed: int) -> list:
     return sorted(units, key=lambda u: hashlib.md5(f"{seed}|{u}".encode()).digest())
@@ -93,7 +97,7 @@ def grow_ece(c: Component, most: int, least: int, tokens: int, order: str, seed:
     for start in _by_loss(c, c.units(), order, seed):
         if start in used:
             continue
-        held, total, todo = [start], int(c.data(start).get("length") or 0), deque([start])
+        held, total, todo = [start], c.length(start), deque([start])
         used.add(start)
         while todo and len(held) < most and total < tokens:
             unit = todo.popleft()
@@ -103,7 +107,7 @@ def grow_ece(c: Component, most: int, least: int, tokens: int, order: str, seed:
                     break
                 used.add(nxt)
                 held.append(nxt)
-                total += int(c.data(nxt).get("length") or 0)
+                total += c.length(nxt)
                 todo.append(nxt)
         if len(held) >= least:
             yield _name(start), [u for u in held if not isinstance(u, tuple)], [u for u in held if isinstance(u, tuple)]

@@ -131,12 +131,12 @@ def fit(samples: list[tuple[int, np.ndarray]], *, features: int = 512, factors:
     in ``least`` samples or more take part. Samples with the same buckets count
     once, so that copies of a document don't weigh more.
     """
-    samples = list({(y, x.tobytes()): (y, x) for y, x in samples}.values())
+    samples = list({(y, xxhash.xxh3_128_digest(x.tobytes())): (y, x) for y, x in samples}.values())
     y = np.array([s[0] for s in samples], float)
     n, pos = len(y), y.sum()
     if not n or pos in (0, n):
         return None
-    all_rows, all_cols = np.repeat(np.arange(n), [len(s[1]) for s in samples]), np.concatenate([s[1] for s in samples])
+    all_rows, all_cols = np.repeat(np.arange(n, dtype=np.int32), [len(s[1]) for s in samples]), np.concatenate([s[1] for s in samples])
     df, dfp = np.bincount(all_cols, minlength=BUCKETS), np.bincount(all_cols, y[all_rows], BUCKETS)
     expected = df * pos / n
     chi = np.where(df >= least, (dfp - expected) ** 2 / np.maximum(expected * (1 - pos / n) * np.maximum(1 - df / n, 1e-9), 1e-9), 0)
@@ -166,7 +166,7 @@ def fit(samples: list[tuple[int, np.ndarray]], *, features: int = 512, factors:
     return FactorizationMachine(slot, float(theta["b"][0]), theta["w"], theta["v"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000) -> FactorizationMachine | None:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6_000) -> FactorizationMachine | None:
     """Fit on labelled documents whose crc32 remainder isn't held out.
 
     ``max_rows`` bounds the sample: labelled ids in the order of their hash.
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000) -> Fact
     ids = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).dropna().filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text").mapInArrow(_features, "label int, terms binary").collect()
-    return fit([(int(r.label > 0), np.frombuffer(r.terms, "<i4").astype(np.int64)) for r in rows])
+    return fit([(int(r.label > 0), np.frombuffer(r.terms, "<i4")) for r in rows])
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, *, threshold: float = 0.7) -> DataFrame:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: FactorizationMachine | None, *, threshold: flo
     return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_rows: int = 12_000) -> DataFrame:
+def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_rows: int = 6_000) -> DataFrame:
     """The documents that score under the threshold, with all their columns; one pass, no join."""
     model = train(docs, labels, max_rows=max_rows)
     if model is None:

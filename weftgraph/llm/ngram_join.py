@@ -21,7 +21,8 @@ Steps, each over all documents:
    entry to one centre, so thousands of copies cost as many pairs. Lists whose
    entries are then all in one component are done; from the others only pairs
    of different components are joined, with size bands in the join key.
-4. Pairs are verified on their whole sets in the JVM; components of the links
+4. Pairs are verified on their whole texts, which are smaller than their sets
+   and are shuffled for the candidates only; components of the links
    give the classes. No link between different components is lost, as every
    pair within the bounds is verified or already connected.
 
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BROADCAST_ROWS, Workspace, components, gram_hashes, mix, pieces, restrict, signed, split_words, without, word_hashes
+from weftgraph.llm.common import BROADCAST_ROWS, CHUNK_BYTES, Workspace, components, gram_hashes, mix, pieces, signed, split_words, without, word_hashes
 
 #: Counters of the sketch that orders shingles; fixed, so it can be broadcast (4 bytes each).
 SKETCH = 1 << 19
@@ -248,18 +249,18 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _sets(width: int):
+def _common(width: int, bounds: Bounds):
+    """Pairs of whole texts that link; a text of another class (a second row of that id) is passed over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in pieces(batches, "text"):
-            found = [x for x in shingle_sets(batch.column("text"), width) if len(x) and _class(x) not in seen]
-            if len(seen) >= TASK_CLASSES:
-                seen.clear()
-            if found:
-                seen.update(map(_class, found))
-                offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(found))))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.array([_class(x) for x in found], np.uint64))), lists], ["cls", "items"])
+        for batch in pieces(batches, "text_x", CHUNK_BYTES // 2):
+            keep = []
+            one, two = (shingle_sets(batch.column(f"text_{k}"), width) for k in "xy")
+            for i, (x, y, a, b) in enumerate(zip(one, two, batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * n >= bounds.t * (len(x) + len(y) - n) and (_class(x) - a) % (1 << 64) == 0 and (_class(y) - b) % (1 << 64) == 0:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in ("rep_x", "rep_y")], ["a", "b"])
 
     return run
 
@@ -278,13 +279,14 @@ class NgramJaccardJoin:
         ids = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(self.classes, "cls").select("cls", "rep")
         ids = self.ws.table("candidate-ids", ids)
         n = ids.count()
-        texts = restrict(self.docs, ids.select(F.col("rep").alias("doc_id")), n, "doc_id")
-        sets = texts.mapInArrow(_sets(self.width), "cls bigint, items array<bigint>").join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "cls")
-        sets = self.ws.table("sets", sets)
-        one, two = (sets.select(F.col("cls").alias(k), F.col("items").alias(f"items_{k}"), F.col("rep").alias(f"rep_{k}")) for k in "xy")
-        both = pairs.join(one, "x").join(two, "y").withColumn("common", F.size(F.array_intersect("items_x", "items_y")))
-        links = self.ws.table("links", both.filter(f"100 * common >= {self.bounds.t} * (size(items_x) + size(items_y) - common)").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct())
-        for t in (pairs, sets, ids):
+        docs = self.docs.withColumnRenamed("doc_id", "rep")
+        texts = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "rep")
+        texts = self.ws.table("texts", texts)
+        one, two = (texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}"), F.col("rep").alias(f"rep_{k}")) for k in "xy")
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        both = pairs.join(one, "x").join(two, "y").select("x", "y", "rep_x", "rep_y", "text_x", "text_y")
+        links = self.ws.table("links", both.mapInArrow(_common(self.width, self.bounds), f"a {kind}, b {kind}").distinct())
+        for t in (pairs, texts, ids):
             self.ws.drop(t)
         self.ws.release()
         return links

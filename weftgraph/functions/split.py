@@ -90,7 +90,7 @@ class Splitter:
             if not s or re.search(s if self.regex else re.escape(s), text):
                 break
             level += 1
-        finer = level + 1 if self.separators[level] and (level < len(self.separators) - 1 or False) else None
+        finer = level + 1 if self.separators[level] and level < len(self.separators) - 1 else None
         glue = "" if self.keep else self.separators[level]
         short: list[str] = []
         for piece in self._pieces(text, self.separators[level]):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from weftgraph.functions import confidence as cf
 from weftgraph.functions import text as tx
@@ -17,29 +19,37 @@ def qa_length(question: Column, answer: Column) -> Column:
     return tx.token_count(F.concat(F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit("")))).cast("double")
 
 
-def _factors(tokens: Column, threshold: float) -> Column:
+def segment_diversity(tokens: list[str], threshold: float) -> float:
     """Tokens per factor: a factor ends where the share of distinct words falls to the threshold."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit(0.0).alias("done"), F.lit(0).alias("n"), empty.alias("seen"))
+    factors, seen, n = 0.0, set(), 0
+    for token in tokens:
+        n += 1
+        seen.add(token)
+        if len(seen) <= threshold * n:
+            factors += 1
+            seen, n = set(), 0
+    if n:
+        factors += (1 - len(seen) / n) / (1 - threshold)
+    return len(tokens) / factors if factors else float(len(tokens))
 
-    def step(acc: Column, word: Column) -> Column:
-        n = acc["n"] + 1
-        seen = F.array_union(acc["seen"], F.array(word))
-        full = F.size(seen) / n <= threshold
-        return F.struct(F.when(full, acc["done"] + 1.0).otherwise(acc["done"]).alias("done"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, empty).otherwise(seen).alias("seen"))
 
-    def close(acc: Column) -> Column:
-        share = F.size(acc["seen"]) / acc["n"]
-        return acc["done"] + F.when(acc["n"] == 0, 0.0).otherwise(1 - (share - threshold) / (1 - threshold))
+def mtld(answer: Column, threshold: float = 0.72) -> Column:
+    """Lexical diversity of an answer: mean of both reading directions; 0 for no words.
 
-    total = F.aggregate(tokens, start, step, close)
-    return F.when(total > 0, F.size(tokens) / total).otherwise(F.size(tokens).cast("double"))
+    The fold keeps a set per segment, which higher-order functions would copy at
+    every word.
+    """
+    skip = frozenset(STOPWORDS)
 
+    @pandas_udf("double")
+    def run(lists: pd.Series) -> pd.Series:
+        def one(words) -> float:
+            kept = [w for w in words if w not in skip]
+            return (segment_diversity(kept, threshold) + segment_diversity(kept[::-1], threshold)) / 2 if kept else 0.0
 
-def mtld(answer: Column, threshold: float = 0.72) -> Column:
-    """Lexical diversity of an answer: mean of both reading directions; 0 for no words."""
-    tokens = F.filter(tx.words(answer), lambda w: ~F.array_contains(F.array(*map(F.lit, STOPWORDS)), w))
-    return F.when(F.size(tokens) == 0, 0.0).otherwise((_factors(tokens, threshold) + _factors(F.reverse(tokens), threshold)) / 2)
+        return lists.map(one).astype("float64")
+
+    return run(tx.words(answer))
 
 
 UNI_DIMENSIONS = ("naturalness", "coherence", "understandability")
@@ -56,8 +66,6 @@ def uni_scores(rows: DataFrame, model: Model) -> DataFrame:
 
 def reward_scores(rows: DataFrame, score) -> DataFrame:
     """``reward_score`` from a scorer (question series, answer series) -> score series, loaded once per task."""
-    from pyspark.sql.functions import pandas_udf
-
     return rows.withColumn("reward_score", pandas_udf(score, "double")("question", "answer"))
 
 

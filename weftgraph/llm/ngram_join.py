@@ -53,6 +53,8 @@ SHORT_LIST = 32
 MAX_MATCHES = 4
 #: Rounds of stars over long lists before pairs of different components are joined.
 STAR_TURNS = 3
+#: Long lists of one class that its entries carry to meet a partner only once.
+EARLIER = 256
 #: Classes that a scan task remembers to skip the copies it meets.
 TASK_CLASSES = 200_000
 #: Pair rows that a task gathers before it combines and emits them.
@@ -323,7 +325,7 @@ class NgramJaccardJoin:
         with it: the few that the first centre didn't reach.
         """
         size, t = F.shiftright("meta", 32), self.bounds.t
-        entries = entries.withColumn("size", size).withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / t)))
+        entries = entries.withColumn("size", size).withColumn("p", F.expr("shiftright(meta, 4) & 268435455")).withColumn("l", F.expr("meta & 15")).withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / t)))
         for turn in range(STAR_TURNS):
             rooted = self.ws.table("rooted", self._roots(links, entries))
             order = F.xxhash64("cls", F.lit(0)) if not turn else F.xxhash64("cls", "token", F.lit(turn))
@@ -331,9 +333,9 @@ class NgramJaccardJoin:
             stars = rooted.join(centre, ["token", "band"]).filter(f"root != c.root AND 100 * least(size, c.size) >= {t} * greatest(size, c.size)")
             links = links.unionByName(self._verify(stars.select(F.least("cls", "c.cls").alias("x"), F.greatest("cls", "c.cls").alias("y")).distinct()))
             self.ws.drop(rooted)
-        rooted = self.ws.table("rooted", self._roots(links, entries))
+        rooted = self.ws.table("rooted", self._roots(links, self._with_earlier(entries)))
         mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-        open_ = rooted.join(mixed, "token", "left_semi").withColumn("p", F.expr("shiftright(meta, 4) & 268435455")).withColumn("l", F.expr("meta & 15")).drop("band", "meta")
+        open_ = rooted.join(mixed, "token", "left_semi").drop("band")
         # the longer set probes the size bands of the shorter ones that the position leaves possible
         width = math.log(1.05)
         band = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / width)
@@ -341,15 +343,29 @@ class NgramJaccardJoin:
         shortest = F.ceil(F.col("size") * (t / 100))
         probe = open_.filter(longest >= shortest).withColumn("band", F.explode(F.sequence(band(shortest), band(longest))))
         index = open_.filter(longest >= F.col("size")).withColumn("band", band(F.col("size")))
-        p, i = (f.select("token", "band", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "size", "p", "l", "root")]) for k, f in (("p", probe), ("i", index)))
+        p, i = (f.select("token", "band", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "size", "p", "l", "root", "earlier")]) for k, f in (("p", probe), ("i", index)))
         pairs = p.join(i, ["token", "band"]).filter(
             f"p_root != i_root AND (p_size > i_size OR p_cls > i_cls) AND p_size >= i_size AND 100 * i_size >= {t} * p_size"
             f" AND least(p_size - p_p, i_size - i_p) >= ceil({t} * (p_size + i_size) / {100 + t}) - least(p_l, i_l) + 1"
+            " AND NOT arrays_overlap(p_earlier, i_earlier)"
         )
-        pairs = pairs.select(F.least("p_cls", "i_cls").alias("x"), F.greatest("p_cls", "i_cls").alias("y"), F.least("p_l", "i_l").alias("need"))
-        found = pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("x", "y")
+        found = pairs.select(F.least("p_cls", "i_cls").alias("x"), F.greatest("p_cls", "i_cls").alias("y")).distinct()
         return links.unionByName(self._verify(found))
 
+    def _with_earlier(self, entries: DataFrame) -> DataFrame:
+        """Entries with ``earlier``: the long lists that their class stands in at smaller positions.
+
+        Two classes meet in the first long list that they share and in no other,
+        so a pair is joined once, not once for every shared shingle. If the
+        bound fails there, it fails at every later position. Classes in more
+        than ``EARLIER`` long lists carry none and may meet more than once.
+        """
+        lists = entries.groupBy("cls", "size", "l").agg(F.sort_array(F.collect_list(F.struct("p", "token"))).alias("s"))
+        flat = lists.select("cls", "size", "l", "s", F.posexplode("s").alias("i", "e"))
+        tokens = F.slice(F.transform("s", lambda x: x["token"]), F.lit(1), F.col("i"))
+        earlier = F.when(F.size("s") <= EARLIER, tokens).otherwise(F.array().cast("array<bigint>"))
+        return flat.select("cls", "size", "l", F.col("e.token").alias("token"), F.col("e.p").alias("p"), earlier.alias("earlier"))
+
     def run(self) -> DataFrame:
         """Per document: doc_id, n_shingles, component_id."""
         ws, spark = self.ws, self.docs.sparkSession

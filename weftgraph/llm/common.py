@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on at most (one longer text is its own step).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Rows of two or three integers that may be broadcast; above it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -103,6 +105,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers are reused and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:

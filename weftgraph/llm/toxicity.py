@@ -40,7 +40,7 @@ BUCKETS = 1 << 20
 #: Lengths of the stems of a word that count as terms beside the word itself.
 STEMS = (4, 5, 6, 7, 8)
 #: Distinct words whose terms a task remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Characters that don't belong to a word at its ends.
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’…¡¿"
 
@@ -49,7 +49,7 @@ def _bucket(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode()) % BUCKETS
 
 
-_stem_bucket = lru_cache(maxsize=1 << 18)(_bucket)
+_stem_bucket = lru_cache(maxsize=1 << 16)(_bucket)
 
 
 def word_terms(word: bytes) -> list[int]:

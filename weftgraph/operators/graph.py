@@ -161,6 +161,15 @@ def powerlaw_r2(degree: DataFrame) -> DataFrame:
 
 
 def split_large(members: DataFrame, most: int) -> DataFrame:
-    """(community, id) with communities over ``most`` members cut in member order."""
-    rank = F.row_number().over(Window.partitionBy("community").orderBy("id")) - 1
-    return members.withColumn("part", F.floor(rank / most))
+    """(community, id) with communities over ``most`` members cut in member order.
+
+    Members are ranked inside ranges of (community, id) and moved by the counts
+    of the ranges before, so a giant community is not one task.
+    """
+    ranged = cut_lineage(cut_lineage(members).repartitionByRange("community", "id").withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("community", "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("community").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("community").alias("__community"), F.col("__range").alias("__at"), before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("community", "__range").orderBy("id")) - 1
+    ranked = ranged.withColumn("__rank", rank).join(starts, F.col("community").eqNullSafe(F.col("__community")) & (F.col("__range") == F.col("__at")))
+    return ranked.select(*members.columns, F.floor((F.col("__rank") + F.col("__before")) / most).alias("part"))

@@ -151,6 +151,24 @@ def split_communities(spark, d):
     return graph.split_large(graph.components(*_part_links(spark, d)).withColumnRenamed("component", "community"), 3)
 
 
+# the same three over the whole graph, where recursive SQL is too slow
+
+
+@query()
+def connected_components_all(spark, d):
+    return graph.components(*kg_tables(spark, d))
+
+
+@query()
+def largest_component_all(spark, d):
+    return graph.largest_component(*kg_tables(spark, d))[0].select("id")
+
+
+@query()
+def split_communities_all(spark, d):
+    return graph.split_large(graph.components(*kg_tables(spark, d)).withColumnRenamed("component", "community"), 3)
+
+
 @query(f"""WITH {KG}, freq AS (SELECT degree, count(*) AS freq FROM deg WHERE degree > 0 GROUP BY degree), fit AS (SELECT sum(freq) AS n, count(*) AS k, regr_r2(ln(freq), ln(degree)) AS r2 FROM freq)
 SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, round((SELECT count(*) FROM deg WHERE degree = 0) / (SELECT count(*) FROM nodes), 6) AS noise_ratio,
  round((SELECT avg(degree) FROM deg), 6) AS avg_degree, round((SELECT CASE WHEN n >= 10 AND k >= 3 THEN r2 END FROM fit), 6) AS powerlaw_r2""")

@@ -69,3 +69,11 @@ def test_a_giant_community_is_ranked_over_several_ranges(spark):
     for rest in (lambda i: i % 10 != 0, lambda i: i % 10 == 0):
         own = [x for i, x in enumerate(ids) if rest(i)]
         assert [found[x] for x in own] == [k // 7 for k in range(len(own))]
+
+
+def test_confidence_of_all_suppliers(spark, tables):
+    pairs = defaultdict(list)
+    for _, _, s, p, _, discount in TABLES["lineitem"][1]:
+        pairs[f"P{p}", f"S{s}"].append(discount)
+    found = {(r.src, r.dst): (r.confidence, r.n_confidence) for r in QUERIES["merge_confidence_all"](spark, tables).collect()}
+    assert found == {k: (sum(v) / len(v), len(v)) for k, v in pairs.items()}

@@ -298,14 +298,24 @@ def merge_descriptions(spark, d):
     return kg.merge_nodes(_mentions(spark, d)).select("id", "description")
 
 
-@query("WITH e AS (SELECT least('S' || l_suppkey, 'P' || l_partkey) AS src, greatest('S' || l_suppkey, 'P' || l_partkey) AS dst, l_discount FROM lineitem WHERE l_suppkey <= 50) SELECT src, dst, round(avg(l_discount), 6) AS confidence, count(*) AS n_confidence FROM e GROUP BY src, dst")
-def merge_confidence(spark, d):
+def _merged_confidence(spark, d, suppliers):
+    """Lineitems as relations of the given suppliers to parts, merged."""
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     r = table(spark, d, "lineitem").select(key("S", "l_suppkey").alias("src"), key("P", "l_partkey").alias("dst"), F.lit("supplies").alias("relation"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ord"))
-    nodes = table(spark, d, "supplier").filter("s_suppkey <= 50").select(key("S", "s_suppkey").alias("id")).unionByName(table(spark, d, "part").select(key("P", "p_partkey").alias("id")))
+    nodes = suppliers.select(key("S", "s_suppkey").alias("id")).unionByName(table(spark, d, "part").select(key("P", "p_partkey").alias("id")))
     return kg.merge_edges(r, nodes).select("src", "dst", F.round("confidence", 6).alias("confidence"), "n_confidence")
 
 
+@query("WITH e AS (SELECT least('S' || l_suppkey, 'P' || l_partkey) AS src, greatest('S' || l_suppkey, 'P' || l_partkey) AS dst, l_discount FROM lineitem WHERE l_suppkey <= 50) SELECT src, dst, round(avg(l_discount), 6) AS confidence, count(*) AS n_confidence FROM e GROUP BY src, dst")
+def merge_confidence(spark, d):
+    return _merged_confidence(spark, d, table(spark, d, "supplier").filter("s_suppkey <= 50"))
+
+
+@query("WITH e AS (SELECT least('S' || l_suppkey, 'P' || l_partkey) AS src, greatest('S' || l_suppkey, 'P' || l_partkey) AS dst, l_discount FROM lineitem) SELECT src, dst, round(avg(l_discount), 6) AS confidence, count(*) AS n_confidence FROM e GROUP BY src, dst")
+def merge_confidence_all(spark, d):
+    return _merged_confidence(spark, d, table(spark, d, "supplier"))
+
+
 @query("WITH e AS (SELECT DISTINCT l_orderkey AS chunk_id, 'S' || l_suppkey AS name FROM lineitem WHERE l_quantity > 25) SELECT DISTINCT l.l_orderkey AS chunk_id, 'S' || l.l_suppkey AS src, 'S' || m.l_suppkey AS dst FROM lineitem l JOIN lineitem m ON l.l_orderkey = m.l_orderkey AND m.l_linenumber = l.l_linenumber + 1 WHERE ('S' || l.l_suppkey) IN (SELECT name FROM e WHERE chunk_id = l.l_orderkey) AND ('S' || m.l_suppkey) IN (SELECT name FROM e WHERE chunk_id = l.l_orderkey)")
 def strict_triplets(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"), "l_linenumber", "l_quantity")

@@ -77,3 +77,32 @@ def test_confidence_of_all_suppliers(spark, tables):
         pairs[f"P{p}", f"S{s}"].append(discount)
     found = {(r.src, r.dst): (r.confidence, r.n_confidence) for r in QUERIES["merge_confidence_all"](spark, tables).collect()}
     assert found == {k: (sum(v) / len(v), len(v)) for k, v in pairs.items()}
+
+
+LONG = " ".join(f"word{i}" for i in range(900))
+DOCS = [(1, "Ein kurzer Text.", "de"), (2, LONG, "fr"), (3, None, "en"), (4, "x" + LONG[:400] + "y tail", "en"), (5, LONG[:200] + " other end", "en"), (6, "a\n b", "es")]
+ITEMS = [(10, LONG[:400]), (11, LONG[:200] + " something else"), (12, "kurzer  Text"), (13, "a b"), (14, "urzer Te"), (15, "Ein kurzer Tex"), (16, "word898 word899")]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("texts"))
+    spark.createDataFrame(DOCS, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_trees_hold_whole_texts_of_all_languages(spark, texts):
+    assert {r.doc_id for r in QUERIES["tree_parents_all"](spark, texts).collect()} == {d for d, _, _ in DOCS}
+    lengths = defaultdict(list)
+    for r in QUERIES["tree_chunks"](spark, texts).filter("type = 'text' AND path LIKE '%text%'").collect():
+        lengths[r.doc_id].append(r.length)
+    assert lengths[1] == [len("Ein kurzer Text.")]
+    assert len(lengths[2]) > 3 and sum(lengths[2]) >= len(LONG.replace(" ", ""))
+
+
+def test_evidence_is_tested_whole(spark, texts):
+    plain = lambda t: " ".join((t or "").split())
+    expected = sorted((i, d) for i, s in ITEMS for d, t, _ in DOCS if plain(s) in plain(t))
+    assert sorted(tuple(r) for r in QUERIES["evidence_join_all"](spark, texts).collect()) == expected
+    assert (10, 4) in expected and (11, 5) not in expected

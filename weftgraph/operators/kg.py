@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as tx
 from weftgraph.models.base import Model, complete
+from weftgraph.sources.storage import cut_lineage
 
 #: The delimiters of an extraction reply.
 FIELD, RECORD, DONE = "<|>", "##", "<|COMPLETE|>"
@@ -179,3 +180,29 @@ def filter_entities(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> tu
     gone = nodes.join(held, "id", "left_anti").select("id")
     left = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return kept, left.select(*edges.columns)
+
+
+def containing(docs: DataFrame, spans: DataFrame, *, words: int = 8) -> DataFrame:
+    """(doc_id, t, item_id, span) for each ``span`` that occurs whole in ``t``; runs of blanks are single spaces in both.
+
+    Inner words of a span are bounded by spaces, so they are words of the text
+    too: candidates share the hash of the first ``words`` of them (or all, if
+    fewer) and are then tested on the whole span. Spans without an inner word
+    are tested on every text.
+    """
+    inner = F.split("span", " ")
+    s = spans.withColumn("__inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).withColumn("__n", F.least(F.size("__inner"), F.lit(words)))
+    keyed = cut_lineage(s.filter("__n > 0").select("item_id", "span", "__n", F.xxhash64(F.slice("__inner", 1, F.col("__n"))).alias("__key")))
+    sizes = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())
+    gram = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(F.lit(n).alias("__n"), F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("__key")))
+    short = docs.join(s.filter("__n <= 0").select("item_id", "span"), F.contains("t", "span"))
+    if not sizes:
+        return short.select("doc_id", "t", "item_id", "span")
+    empty = F.array().cast("array<struct<__n:int,__key:bigint>>")
+    grams = lambda w: F.concat(*[F.when(F.size(w) >= n, gram(w, n)).otherwise(empty) for n in sizes])
+    # the words are bound by a lambda and taken one by one: an inlined column would split the text anew
+    # for each of them, and a slice copies all of them
+    own = docs.select("doc_id", F.explode(F.get(F.transform(F.array(F.split("t", " ")), grams), F.lit(0))).alias("g")).select("doc_id", "g.*")
+    pairs = own.join(keyed.select("item_id", "__n", "__key"), ["__n", "__key"]).select("doc_id", "item_id").distinct()
+    found = docs.join(pairs, "doc_id").join(keyed.select("item_id", "span"), "item_id").filter(F.contains("t", "span"))
+    return found.select("doc_id", "t", "item_id", "span").unionByName(short.select("doc_id", "t", "item_id", "span"))

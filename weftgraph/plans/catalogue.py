@@ -331,6 +331,13 @@ def evidence_join(spark, d):
     return table(spark, d, "documents").select("doc_id", plain("text").alias("t")).join(F.broadcast(b), F.contains("t", "span")).select("item_id", "doc_id")
 
 
+@query("SELECT item_id, doc_id FROM documents JOIN benchmark b ON contains(regexp_replace(documents.text, '\\s+', ' ', 'g'), regexp_replace(b.text, '\\s+', ' ', 'g'))")
+def evidence_join_all(spark, d):
+    plain = lambda c: F.regexp_replace(c, "[ \\t\\n\\r\\f]+", " ")
+    spans = table(spark, d, "benchmark").select("item_id", plain("text").alias("span"))
+    return kg.containing(table(spark, d, "documents").select("doc_id", plain("text").alias("t")), spans).select("item_id", "doc_id")
+
+
 @query("WITH n AS (SELECT doc_id, text, substr(text, 1, 20) || CASE WHEN doc_id % 3 = 0 THEN 'never said' ELSE '' END AS span FROM documents WHERE lang = 'en' AND length(text) > 40), ok AS (SELECT doc_id FROM n WHERE doc_id % 3 <> 0) SELECT 'D' || doc_id AS id FROM ok")
 def filter_entities(spark, d):
     t = table(spark, d, "documents").filter("lang = 'en' AND length(text) > 40")
@@ -541,20 +548,32 @@ def title_levels(spark, d):
     return spark.createDataFrame([(t,) for t in TITLES], "title string").select("title", tx.title_level(F.col("title")).alias("level"))
 
 
-def _markdown(spark, d):
-    t = table(spark, d, "documents").filter("lang = 'en'")
-    return t.select("doc_id", F.concat(F.lit("# 1 Part\n\n"), F.substring("text", 1, 300), F.lit("\n\n## 1.1 Sub\n\nTable 1: data\n\n<table><tr><td>1</td></tr></table>\n\n# 2 Part\n\n![x](a/b.png)\nFigure 1: shown\n\n"), F.substring("text", 301, 200)).alias("content"))
+def _markdown(docs):
+    """Whole texts behind sections, a table and an image."""
+    return docs.select("doc_id", F.concat(F.lit("# 1 Part\n\n## 1.1 Sub\n\nTable 1: data\n\n<table><tr><td>1</td></tr></table>\n\n# 2 Part\n\n![x](a/b.png)\nFigure 1: shown\n\n# 3 Text\n\n"), F.coalesce("text", F.lit(""))).alias("content"))
+
+
+def _tree(docs):
+    return tree.construct_tree(tree.assign_levels(tree.analyze_structure(_markdown(docs))))
+
+
+def _parents(docs):
+    return _tree(docs).filter("type = 'section' AND title IN ('# 1 Part', '## 1.1 Sub', '# 2 Part')").select("doc_id", "title", "parent_id", "level")
 
 
 @query("SELECT doc_id, title, parent_id, level FROM documents, (VALUES ('# 1 Part', 'root', 1), ('## 1.1 Sub', 'n1', 2), ('# 2 Part', 'root', 1)) AS t(title, parent_id, level) WHERE lang = 'en'")
 def tree_parents(spark, d):
-    rows = tree.construct_tree(tree.assign_levels(tree.analyze_structure(_markdown(spark, d))))
-    return rows.filter("type = 'section' AND title IN ('# 1 Part', '## 1.1 Sub', '# 2 Part')").select("doc_id", "title", "parent_id", "level")
+    return _parents(table(spark, d, "documents").filter("lang = 'en'"))
+
+
+@query("SELECT doc_id, title, parent_id, level FROM documents, (VALUES ('# 1 Part', 'root', 1), ('## 1.1 Sub', 'n1', 2), ('# 2 Part', 'root', 1)) AS t(title, parent_id, level)")
+def tree_parents_all(spark, d):
+    return _parents(table(spark, d, "documents"))
 
 
 @query()
 def tree_chunks(spark, d):
-    return tree.chunk_tree(tree.construct_tree(tree.assign_levels(tree.analyze_structure(_markdown(spark, d))))).select("doc_id", "chunk_id", "type", "path", "length")
+    return tree.chunk_tree(_tree(table(spark, d, "documents"))).select("doc_id", "chunk_id", "type", "path", "length")
 
 
 @query(f"WITH {KG_SMALL}, sym AS (SELECT src AS id, dst AS other FROM edges UNION SELECT dst, src FROM edges), near AS (SELECT id AS seed, id, 0 AS distance FROM nodes WHERE entity_type = 'REGION' UNION ALL SELECT n.id, s.other, 1 FROM nodes n JOIN sym s ON n.id = s.id WHERE entity_type = 'REGION'), r AS (SELECT seed, id, round(0.6 - 0.1 * distance, 6) AS score FROM near) SELECT seed, id, score, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM r")

@@ -106,3 +106,10 @@ def test_evidence_is_tested_whole(spark, texts):
     expected = sorted((i, d) for i, s in ITEMS for d, t, _ in DOCS if plain(s) in plain(t))
     assert sorted(tuple(r) for r in QUERIES["evidence_join_all"](spark, texts).collect()) == expected
     assert (10, 4) in expected and (11, 5) not in expected
+
+
+def test_communities_of_the_whole_graph(spark, tables):
+    nodes, edges = links()
+    rows = QUERIES["partition_bfs"](spark, tables).collect()
+    assert sorted(n for r in rows for n in r.nodes.split(",") if n) == sorted(nodes)
+    assert sorted(e for r in rows for e in r.edges.split(",") if e) == sorted("|".join(sorted(e)) for e in edges)

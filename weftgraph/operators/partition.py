@@ -180,10 +180,14 @@ def greedy_modularity(c: Component, most: int, seed: int) -> Iterator[Found]:
     groups: dict[str, list[str]] = {}
     for n in sorted(home):
         groups.setdefault(home[n], []).append(n)
-    for _, members in sorted(groups.items()):
+    part = {n: (g, i // most) for g, members in groups.items() for i, n in enumerate(members)}
+    inside: dict[tuple[str, int], list[tuple[str, str]]] = {}
+    for e in sorted(c.edge):
+        if part[e[0]] == part[e[1]]:
+            inside.setdefault(part[e[0]], []).append(e)
+    for g, members in sorted(groups.items()):
         for i in range(0, len(members), most):
-            part = set(members[i : i + most])
-            yield f"{members[0]}#{i // most}", sorted(part), [e for e in sorted(c.edge) if e[0] in part and e[1] in part]
+            yield f"{members[0]}#{i // most}", members[i : i + most], inside.get((g, i // most), [])
 
 
 def _run(nodes: DataFrame, edges: DataFrame, grow: Callable[[Component], Iterator[Found]]) -> DataFrame:

@@ -644,7 +644,7 @@ def platform_run_stats(spark, d):
 
 
 def _community_graph(spark, d):
-    nodes, edges = kg_tables(spark, d, parts=False)
+    nodes, edges = kg_tables(spark, d)
     return nodes.withColumn("length", F.length("description")).withColumn("loss", F.when(F.col("entity_type") == "NATION", 0.5)).withColumn("section", F.lit("")), edges.withColumn("length", F.lit(3))
 
 
@@ -680,7 +680,7 @@ def build_kg_stub(spark, d):
 def quiz_judge_stub(spark, d):
     from weftgraph.models.base import yes_no
 
-    items = kg_tables(spark, d, parts=False)[0].select("id", "description")
+    items = kg_tables(spark, d)[0].select("id", "description")
     quiz = generate.judge_prompts(generate.quiz_prompts(items, samples=2).withColumn("statement", F.col("prompt")))
     judged = yes_no(quiz, StubModel(), "prompt", "candidates").select(F.col("id").alias("unit"), F.concat("kind", F.col("n").cast("string")).alias("n"), "candidates", F.when(F.col("kind") == "anti", "no").otherwise("yes").alias("truth"))
     return evaluate.unit_losses(judged)
@@ -699,7 +699,7 @@ def generate_stub(spark, d):
 
 @query()
 def sample_families_stub(spark, d):
-    nodes, edges = kg_tables(spark, d, parts=False)
+    nodes, edges = kg_tables(spark, d)
     pairs = graph.symmetric(edges).select(F.col("id").alias("parent"), F.col("other").alias("id"))
     near = graph.k_hop(edges, nodes.filter("entity_type = 'REGION'").select(F.col("id").alias("seed")), 1)
     cands = near.select("seed", F.col("id").alias("parent")).join(pairs, "parent").withColumn("score", F.lit(0.5)).withColumn("text", F.col("id"))

@@ -91,3 +91,9 @@ def test_components(spark):
     found = {r.node: r.root for r in components(Workspace(spark, "t"), spark.createDataFrame(links, "a long, b long")).collect()}
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert {k: v for k, v in found.items() if k != v} == {k: root[k] for k in linked if root[k] != k}
+
+
+def test_removal_goes_by_row_where_ids_repeat_or_are_null(spark):
+    docs = [(5, "A"), (5, "B"), (9, "B"), (None, "A"), (None, "C"), (None, "C"), (None, "D")]
+    kept = ed.remove_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(5, "A"), (9, "B"), (None, "C"), (None, "D")])

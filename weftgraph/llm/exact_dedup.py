@@ -240,12 +240,20 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
 
     The ids that go are the fewer ones: an anti join on them, broadcast only
     when their counted number is small. A row repeated with the kept id is cut
-    to one by its digest.
+    to one by its digest. Where an id holds a kept and a dropped text, or copies
+    have no id, rows are chosen by id and digest.
     """
     ws = Workspace(docs.sparkSession, "exact-dedup-rows")
     found = ws.table("found", find_duplicates(docs))
     gone = ws.table("gone", found.filter("NOT kept").select("doc_id").distinct())
-    left = without(docs, gone, gone.count(), "doc_id")
+    n_gone = gone.count()
+    kept = found.filter("kept")
+    both = kept.join(F.broadcast(gone) if n_gone <= 2_000_000 else gone, "doc_id", "left_semi")
+    if not both.isEmpty() or not found.filter("doc_id IS NULL AND group_size > 1").isEmpty():
+        own = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+        keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+        return own.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    left = without(docs, gone, n_gone, "doc_id")
     twice = ws.table("twice", found.filter("kept AND group_size > 1").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     n = twice.count()
     if not n:

@@ -14,13 +14,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on at most (one longer text is its own step).
 CHUNK_BYTES = 4 << 20
-#: Rows of two or three integers that may be broadcast; above it joins shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a few integers or one digest that may be broadcast; above it joins shuffle.
+BROADCAST_ROWS = 250_000
+#: Bytes of strings that may be broadcast beside that.
+BROADCAST_BYTES = 16 << 20
+#: A key is hot from this many rows on, and from this share of all rows on (so at most as many keys are hot).
+HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _R = 0x9E3779B97F4A7C15 | 1
@@ -28,12 +32,14 @@ _R_INV = pow(_R, -1, 1 << 64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs on this machine alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="weftgraph-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -94,6 +100,46 @@ def without(df: DataFrame, ids: DataFrame, n: int, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, on, "left_anti")
 
 
+def bounded(df: DataFrame, *texts: Column) -> DataFrame:
+    """``df`` marked for broadcast if its rows and the bytes of ``texts`` were measured to be few, else as it is."""
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0)).cast("bigint")
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row per key and the key's number of rows, ``n``.
+
+    Rows of hot keys never meet in one task: those keys are at most
+    ``HOT_KEYS``, so they are broadcast to where the rows are. Only the other
+    rows shuffle by the key.
+    """
+    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot, cold = keyed.filter(F.col("n") > least), keyed.filter(F.col("n") <= least)
+    if hot.isEmpty():
+        return rows.join(cold, on, how)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(cold, on, how))
+
+
+def row_key() -> Column:
+    """A 128-bit digest of a document's id and text: equal rows have equal keys, whatever their other columns."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part(F.col("doc_id").cast("string")), F.lit("\n"), part(F.col("text")))))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone``; of rows with a key in ``once`` one stays.
+
+    Both are written tables of one column ``key`` of distinct row keys. Rows
+    travel as one struct, so no column name of theirs can clash.
+    """
+    held = without(docs.select(F.struct("*").alias("doc"), row_key().alias("key")), gone, gone.count(), "key")
+    if once is not None and (n := once.count()):
+        held = without(held, once, n, "key").unionByName(restrict(held, once, n, "key").dropDuplicates(["key"]))
+    return held.select("doc.*")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``most`` bytes in ``column``, or one row."""
     for batch in batches:

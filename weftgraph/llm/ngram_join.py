@@ -17,19 +17,31 @@ Steps, each over all documents:
    shuffle partitions that spill, they are read as a stream: small lists emit
    their pairs that pass the size and position bounds, larger lists are set
    aside as rows.
-3. Set-aside lists (groups of many near copies) are first linked as stars, each
-   entry to one centre, so thousands of copies cost as many pairs. Lists whose
-   entries are then all in one component are done; from the others only pairs
-   of different components are joined, with size bands in the join key.
-4. Pairs are verified on their whole texts, which are smaller than their sets
-   and are shuffled for the candidates only; components of the links
-   give the classes. No link between different components is lost, as every
-   pair within the bounds is verified or already connected.
+3. Verification goes in rounds of one partner per class, as in a minimum
+   spanning forest, and after each round only pairs of different components
+   remain. A class of small lists first meets the partner that shares most
+   prefix shingles. A class of set-aside lists first meets the centre of most of
+   its lists: the entry with the smallest position, that is, the class with the
+   fewest rarer shingles, which is the likeliest to be close to the others.
+   So thousands of near copies cost one pair each.
+4. What is left of the set-aside lists is joined list by list, only entries
+   outside a list's most frequent component with the others, with size bands
+   and, for long lists, a salt in the join key. Shared prefix shingles are
+   counted over small and set-aside lists together, and a pair is verified only
+   if it has as many as its documents ask for.
+
+Pairs are verified on their whole texts, which are smaller than their sets and
+are shuffled for candidates only. No link between different components is lost,
+as every pair that passes the counts is verified or already connected. Links
+inside a component are not all visited, so there is no number of links.
 
 Defined cases: null and empty texts have no shingles and link with nothing;
-fewer than five words are one shingle; equal sets link; rows repeated with one
-id are one node; an empty table gives an empty result; further columns are
-ignored. Shingles and sets are told apart by 64-bit hashes.
+fewer than five words are one shingle; equal sets link; a row with a null id
+takes part like any other, and its component has the smallest id among the
+others (null if there is none); rows repeated with one id, with equal texts or
+not, are rows of their own; an empty table gives an empty result; further
+columns are ignored. Shingles and sets are told apart by 64-bit hashes, and a
+pair's texts are checked against their classes.
 """
 
 from __future__ import annotations
@@ -43,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BROADCAST_ROWS, CHUNK_BYTES, Workspace, components, gram_hashes, mix, pieces, signed, split_words, without, word_hashes
+from weftgraph.llm.common import CHUNK_BYTES, Workspace, bounded, components, drop_rows, gram_hashes, join_hot, mix, pieces, row_key, signed, split_words, word_hashes
 
 #: Counters of the sketch that orders shingles; fixed, so it can be broadcast (4 bytes each).
 SKETCH = 1 << 19
@@ -51,10 +63,10 @@ SKETCH_PARTS = 64
 #: Longest list of classes of one shingle whose pairs are emitted at once.
 SHORT_LIST = 32
 MAX_MATCHES = 4
-#: Rounds of stars over long lists before pairs of different components are joined.
-STAR_TURNS = 3
-#: Long lists of one class that its entries carry to meet a partner only once.
-EARLIER = 256
+#: Rounds of centres over set-aside lists; the second shifts the size bands by half their width.
+CENTRE_TURNS = 2
+#: Entries of one set-aside list and size band under one salt.
+SALTED = 2000
 #: Classes that a scan task remembers to skip the copies it meets.
 TASK_CLASSES = 200_000
 #: Pair rows that a task gathers before it combines and emits them.
@@ -84,7 +96,7 @@ def _bucket(found: np.ndarray) -> np.ndarray:
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        id_type = pa.int64()
+        id_type, names = pa.int64(), ["key", "doc_id", "n", "cls", "part", "counts"]
         for batch in pieces(batches, "text"):
             id_type, sizes, classes = batch.schema.field("doc_id").type, [], []
             for found in shingle_sets(batch.column("text"), width):
@@ -93,11 +105,11 @@ def _profile(width: int):
                 np.add.at(counts, _bucket(found), 1)
             classes = pa.array([None if c is None else c - (1 << 64) * (c >> 63) for c in classes], pa.int64())
             nothing = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), classes, nothing.cast(pa.int32()), nothing.cast(pa.binary())], ["doc_id", "n", "cls", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), classes, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         if counts.any():
             parts = [np.ascontiguousarray(x, "<i8").tobytes() for x in np.split(counts, SKETCH_PARTS)]
             empty = pa.nulls(SKETCH_PARTS)
-            yield pa.RecordBatch.from_arrays([empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "cls", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([empty.cast(pa.binary()), empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -252,7 +264,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _common(width: int, bounds: Bounds):
-    """Pairs of whole texts that link; a text of another class (a second row of that id) is passed over."""
+    """Pairs of whole texts that link; a text of another class is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text_x", CHUNK_BYTES // 2):
@@ -262,7 +274,7 @@ def _common(width: int, bounds: Bounds):
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * n >= bounds.t * (len(x) + len(y) - n) and (_class(x) - a) % (1 << 64) == 0 and (_class(y) - b) % (1 << 64) == 0:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in ("rep_x", "rep_y")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in "xy"], ["a", "b"])
 
     return run
 
@@ -271,132 +283,141 @@ class NgramJaccardJoin:
     """One run of the join over a table of documents (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, *, width: int = 5, percent: int = 75):
-        self.docs, self.width, self.bounds = docs.select("doc_id", "text"), width, Bounds(percent)
+        self.docs, self.width, self.bounds = docs.select("doc_id", "text", row_key().alias("key")), width, Bounds(percent)
         self.ws = Workspace(docs.sparkSession, "ngram-join")
-        self.tried: DataFrame | None = None
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The links (a, b), as representative ids, among distinct class pairs (x, y)."""
-        pairs = self.ws.table("candidates", pairs)
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(self.classes, "cls").select("cls", "rep")
-        ids = self.ws.table("candidate-ids", ids)
-        n = ids.count()
-        docs = self.docs.withColumnRenamed("doc_id", "rep")
-        texts = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "rep")
-        texts = self.ws.table("texts", texts)
-        one, two = (texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}"), F.col("rep").alias(f"rep_{k}")) for k in "xy")
-        kind = self.docs.schema["doc_id"].dataType.simpleString()
-        both = pairs.join(one, "x").join(two, "y").select("x", "y", "rep_x", "rep_y", "text_x", "text_y")
-        links = self.ws.table("links", both.mapInArrow(_common(self.width, self.bounds), f"a {kind}, b {kind}").distinct())
-        for t in (pairs, texts, ids):
+        """The links (a, b) among distinct class pairs (x, y)."""
+        pairs = self.ws.table("candidates", pairs.select("x", "y"))
+        wanted = pairs.select(F.col("x").alias("cls")).union(pairs.select(F.col("y").alias("cls"))).distinct()
+        wanted = self.ws.table("candidate-rows", wanted.join(self.classes, "cls").select("cls", "key"))
+        texts = self.ws.table("texts", self.docs.select("key", "text").join(bounded(wanted), "key"))
+        if texts.count() > wanted.count():  # repeated rows
+            texts = texts.dropDuplicates(["cls"])
+        one, two = (texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}")) for k in "xy")
+        both = pairs.join(one, "x").join(two, "y").select("x", "y", "text_x", "text_y")
+        links = self.ws.table("links", both.mapInArrow(_common(self.width, self.bounds), "a bigint, b bigint"))
+        for t in (pairs, wanted, texts):
             self.ws.drop(t)
         self.ws.release()
         return links
 
     def _named(self, links: DataFrame) -> DataFrame:
-        """(cls, root) of the classes that have links so far; root is a document id."""
-        roots = components(self.ws, links).select(F.col("node").alias("rep"), "root")
-        return self.ws.table("named", self.classes.join(roots, "rep").select("cls", "root"))
+        """(cls, root) of the classes that have links so far."""
+        return self.ws.table("named", components(self.ws, links).select(F.col("node").alias("cls"), "root"))
 
-    def _forest(self, pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs (x, y, n shared): each class's best partner first, then the pairs that are still apart."""
-        pairs = self.ws.table("short", pairs)
+    def _forest(self, pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        """Links with those that candidate pairs (x, y, n shared) add: each class's best partner first, then the pairs that are still apart."""
+        pairs = self.ws.table("pairs", pairs)
         both = pairs.select(F.col("x").alias("c"), F.col("y").alias("p"), "n").unionByName(pairs.select(F.col("y").alias("c"), F.col("x").alias("p"), "n"))
         best = both.groupBy("c").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
         best = self.ws.table("best", best.select(F.least("c", "p").alias("x"), F.greatest("c", "p").alias("y")).distinct())
-        links = self._verify(best)
+        found = self._verify(best)
+        links = found if links is None else links.unionByName(found)
         named = self._named(links)
         one, two = (named.select(F.col("cls").alias(k), F.col("root").alias(f"root_{k}")) for k in "xy")
-        apart = pairs.join(one, "x", "left").join(two, "y", "left").filter("root_x IS NULL OR root_y IS NULL OR root_x != root_y")
-        return links.unionByName(self._verify(apart.select("x", "y").join(best, ["x", "y"], "left_anti")))
+        apart = pairs.join(one, "x", "left").join(two, "y", "left").filter("coalesce(root_x, x) != coalesce(root_y, y)")
+        links = links.unionByName(self._verify(apart.join(best, ["x", "y"], "left_anti")))
+        self.ws.drop(named)
+        self.ws.drop(pairs)
+        return links
 
-    def _roots(self, links: DataFrame, entries: DataFrame) -> DataFrame:
+    def _rooted(self, links: DataFrame, entries: DataFrame) -> DataFrame:
         """``entries`` with ``root``, the component of their class so far."""
-        named = self._named(links).withColumn("linked", F.lit(True))
-        apart = F.struct(F.coalesce("linked", F.lit(False)), F.when(F.col("linked"), F.col("root")).otherwise(F.col("cls")))
-        return entries.join(named, "cls", "left").withColumn("root", apart).drop("linked")
-
-    def _long_lists(self, links: DataFrame, entries: DataFrame) -> DataFrame:
-        """The links that the entries of long lists add: stars first, then pairs of different components.
+        named = self._named(links)
+        rooted = self.ws.table("rooted", entries.join(bounded(named), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+        self.ws.drop(named)
+        return rooted
+
+    def _fit(self, a: str, b: str) -> str:
+        """SQL: may the classes of two entries of one list link, by their sizes and by their positions there?"""
+        t = self.bounds.t
+        return (
+            f"100 * least({a}.size, {b}.size) >= {t} * greatest({a}.size, {b}.size)"
+            f" AND least({a}.size - {a}.p, {b}.size - {b}.p) >= ceil({t} * ({a}.size + {b}.size) / {100 + t}) - least({a}.l, {b}.l) + 1"
+        )
 
-        In the first turn all lists choose their centre by the same hash of the
-        class, so near copies meet at few centres. Later turns let each list
-        choose its own, and only entries outside the centre's component pair
-        with it: the few that the first centre didn't reach.
-        """
-        size, t = F.shiftright("meta", 32), self.bounds.t
-        entries = entries.withColumn("size", size).withColumn("p", F.expr("shiftright(meta, 4) & 268435455")).withColumn("l", F.expr("meta & 15")).withColumn("band", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / t)))
-        for turn in range(STAR_TURNS):
-            rooted = self.ws.table("rooted", self._roots(links, entries))
-            order = F.xxhash64("cls", F.lit(0)) if not turn else F.xxhash64("cls", "token", F.lit(turn))
-            centre = rooted.groupBy("token", "band").agg(F.min_by(F.struct("cls", "size", "root"), order).alias("c"))
-            stars = rooted.join(centre, ["token", "band"]).filter(f"root != c.root AND 100 * least(size, c.size) >= {t} * greatest(size, c.size)")
-            links = links.unionByName(self._verify(stars.select(F.least("cls", "c.cls").alias("x"), F.greatest("cls", "c.cls").alias("y")).distinct()))
+    def _centres(self, links: DataFrame, entries: DataFrame) -> DataFrame:
+        """Links with those of each class to the centre of most of its lists; one pair per class and turn."""
+        width = math.log(100 / self.bounds.t)
+        one = F.struct("cls", "size", "p", "l", "root")
+        for turn in range(CENTRE_TURNS):
+            rooted = self._rooted(links, entries.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / width + turn / CENTRE_TURNS)))
+            centre = self.ws.table("centre", rooted.groupBy("token", "band").agg(F.min_by(one, F.struct("p", F.xxhash64("cls"))).alias("c")))
+            near = rooted.withColumn("e", one).join(bounded(centre), ["token", "band"]).filter(f"e.root != c.root AND {self._fit('e', 'c')}")
+            votes = near.groupBy("cls", F.col("c.cls").alias("p")).agg(F.count("*").alias("n")).groupBy("cls").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
+            links = links.unionByName(self._verify(votes.select(F.least("cls", "p").alias("x"), F.greatest("cls", "p").alias("y")).distinct()))
             self.ws.drop(rooted)
-        rooted = self.ws.table("rooted", self._roots(links, self._with_earlier(entries)))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-        open_ = rooted.join(mixed, "token", "left_semi").drop("band")
-        # the longer set probes the size bands of the shorter ones that the position leaves possible
-        width = math.log(1.05)
-        band = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / width)
-        longest = F.least("size", F.floor((F.col("size") - F.col("p") + F.col("l") - 1) * ((100 + t) / t) - F.col("size")))
-        shortest = F.ceil(F.col("size") * (t / 100))
-        probe = open_.filter(longest >= shortest).withColumn("band", F.explode(F.sequence(band(shortest), band(longest))))
-        index = open_.filter(longest >= F.col("size")).withColumn("band", band(F.col("size")))
-        p, i = (f.select("token", "band", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "size", "p", "l", "root", "earlier")]) for k, f in (("p", probe), ("i", index)))
-        pairs = p.join(i, ["token", "band"]).filter(
-            f"p_root != i_root AND (p_size > i_size OR p_cls > i_cls) AND p_size >= i_size AND 100 * i_size >= {t} * p_size"
-            f" AND least(p_size - p_p, i_size - i_p) >= ceil({t} * (p_size + i_size) / {100 + t}) - least(p_l, i_l) + 1"
-            " AND NOT arrays_overlap(p_earlier, i_earlier)"
-        )
-        found = pairs.select(F.least("p_cls", "i_cls").alias("x"), F.greatest("p_cls", "i_cls").alias("y")).distinct()
-        return links.unionByName(self._verify(found))
+            self.ws.drop(centre)
+        return links
 
-    def _with_earlier(self, entries: DataFrame) -> DataFrame:
-        """Entries with ``earlier``: the long lists that their class stands in at smaller positions.
+    def _across(self, links: DataFrame, entries: DataFrame, few: DataFrame) -> DataFrame:
+        """Candidate pairs (x, y, n) of different components that share set-aside lists.
 
-        Two classes meet in the first long list that they share and in no other,
-        so a pair is joined once, not once for every shared shingle. If the
-        bound fails there, it fails at every later position. Classes in more
-        than ``EARLIER`` long lists carry none and may meet more than once.
+        ``few`` holds the pairs of small lists whose count is too low by itself.
         """
-        lists = entries.groupBy("cls", "size", "l").agg(F.sort_array(F.collect_list(F.struct("p", "token"))).alias("s"))
-        flat = lists.select("cls", "size", "l", "s", F.posexplode("s").alias("i", "e"))
-        tokens = F.slice(F.transform("s", lambda x: x["token"]), F.lit(1), F.col("i"))
-        earlier = F.when(F.size("s") <= EARLIER, tokens).otherwise(F.array().cast("array<bigint>"))
-        return flat.select("cls", "size", "l", F.col("e.token").alias("token"), F.col("e.p").alias("p"), earlier.alias("earlier"))
+        rooted, t = self._rooted(links, entries), self.bounds.t
+        sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+        mixed = self.ws.table("mixed", mixed.select("token", "main", F.ceil(F.col("n") / SALTED).alias("salts")))
+        open_ = rooted.join(bounded(mixed), "token").withColumn("e", F.struct("cls", "size", "p", "l", "root"))
+        width = math.log(1.05)
+        band = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / width)
+        size = F.col("size")
+        longest = F.least(F.floor(size * 100 / t), F.floor((size - F.col("p") + F.col("l") - 1) * ((100 + t) / t) - size))
+        shortest = F.ceil(size * (t / 100))
+        index = open_.select("token", band(size).alias("band"), F.pmod(F.xxhash64("cls"), "salts").alias("salt"), F.col("e").alias("i"), (F.col("root") == F.col("main")).alias("i_main"))
+        probe = open_.filter((F.col("root") != F.col("main")) & (longest >= shortest)).withColumn("band", F.explode(F.sequence(band(shortest), band(longest))))
+        probe = probe.select("token", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("e").alias("e"))
+        met = probe.join(index, ["token", "band", "salt"]).filter(f"e.root != i.root AND (i_main OR e.cls < i.cls) AND {self._fit('e', 'i')}")
+        pairs = met.groupBy(F.least("e.cls", "i.cls").alias("x"), F.greatest("e.cls", "i.cls").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("e.l", "i.l")).alias("need"))
+        few = few.select("x", "y", F.col("n").alias("more"))
+        return pairs.join(few, ["x", "y"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).filter("n >= need").select("x", "y", "n")
 
     def run(self) -> DataFrame:
-        """Per document: doc_id, n_shingles, component_id."""
+        """Per document: key, doc_id, n, cls and root, the class that names its component (null without shingles)."""
         ws, spark = self.ws, self.docs.sparkSession
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        profile = ws.table("profile", self.docs.mapInArrow(_profile(self.width), f"doc_id {kind}, n bigint, cls bigint, part int, counts binary"))
+        profile = ws.table("profile", self.docs.mapInArrow(_profile(self.width), f"key binary, doc_id {kind}, n bigint, cls bigint, part int, counts binary"))
         sketch = spark.sparkContext.broadcast(sketch_counts(profile))
-        sized = profile.filter("part IS NULL").select("doc_id", "n", "cls")
-        self.classes = ws.table("classes", sized.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")))
-        postings = self.docs.mapInArrow(_postings(self.width, self.bounds, sketch), "token bigint, cls bigint, meta bigint")
+        sized = profile.filter("part IS NULL").select("key", "doc_id", "n", "cls")
+        self.classes = ws.table("classes", sized.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key")))
+        postings = self.docs.select("text").mapInArrow(_postings(self.width, self.bounds, sketch), "token bigint, cls bigint, meta bigint")
         matches = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_pairs(self.bounds), "x bigint, y bigint, n bigint, need bigint, token bigint")
         matches = ws.table("matches", matches)
-        short = matches.filter("token IS NULL").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("x", "y", "n")
+        small = ws.table("small", matches.filter("token IS NULL").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")))
         self.ws.release()
-        links = self._forest(short)
-        entries = matches.filter("token IS NOT NULL").select("token", F.col("x").alias("cls"), F.col("need").alias("meta"))
+        links = self._forest(small.filter("n >= need").select("x", "y", "n"))
+        entries = matches.filter("token IS NOT NULL").select("token", F.col("x").alias("cls"), *[F.expr(f"{e} AS {k}") for k, e in (("size", "shiftright(need, 32)"), ("p", "shiftright(need, 4) & 268435455"), ("l", "need & 15"))])
         if not entries.isEmpty():
-            links = self._long_lists(links, entries)
-        roots = components(ws, links).select(F.col("node").alias("rep"), "root")
-        named = self.classes.join(roots, "rep", "left").select("cls", F.coalesce("root", "rep").alias("component_id"))
-        return sized.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+            links = self._centres(links, entries)
+            links = self._forest(self._across(links, entries, small.filter("n < need")), links)
+        return sized.join(bounded(self._named(links)), "cls", "left").select("key", "doc_id", "n", "cls", F.coalesce("root", "cls").alias("root"))
 
 
 def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
-    return NgramJaccardJoin(docs, width=width, percent=percent).run()
+    """Per document: doc_id, n_shingles, component_id."""
+    join = NgramJaccardJoin(docs, width=width, percent=percent)
+    rows = join.ws.table("rows", join.run())
+    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    joined = join_hot(rows.select("doc_id", F.col("n").alias("n_shingles"), "root"), join.ws.table("least", least), "root", "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def remove_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
-    """One document of each component stays, the one with the smallest id, with all its columns."""
-    ws = Workspace(docs.sparkSession, "near-duplicates")
-    gone = ws.table("gone", link_documents(docs, width=width, percent=percent).filter("doc_id != component_id").select("doc_id").distinct())
-    return without(docs, gone, gone.count(), "doc_id")
+    """One row of each component stays, with all its columns: the one with the smallest id, null ids last.
+
+    Where that id stands in several rows of the component, the one with the
+    smallest key stays; rows without shingles stay all.
+    """
+    join = NgramJaccardJoin(docs, width=width, percent=percent)
+    rows = join.ws.table("rows", join.run().filter("root IS NOT NULL"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = join.ws.table("kept", rows.groupBy("root").agg(F.min(first)["key"].alias("kept"), F.count("*").alias("n")).filter("n > 1"))
+    found = join.ws.table("found", join_hot(rows.select("key", "root"), kept, "root"))
+    gone = join.ws.table("gone", found.filter("key != kept").select("key").distinct())
+    once = join.ws.table("once", found.filter("key = kept").groupBy("key").count().filter("count > 1").select("key"))
+    return drop_rows(docs, gone, once)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from weftgraph.llm import exact_dedup as ed
 from weftgraph.llm.common import Workspace, components
 
@@ -70,10 +72,17 @@ def test_failed_insert_leaves_the_filter_as_it_was():
 
 def test_changes_to_a_live_index(spark):
     rows = lambda *r: ed.digests(spark.createDataFrame(r, "doc_id long, text string"))
-    index = ed.build_index(rows((1, "a"), (2, "a"), (3, "b"), (4, "c")))
-    after = ed.apply_changes(index, rows((9, "b"), (10, "d")), rows((1, "a"), (4, "c")))
-    text = {hashlib.sha256(t.encode()).digest(): t for t in "abcd"}
-    assert {(text[bytes(r.sha)], r.top_id, r.n) for r in after.collect()} == {("a", 2, 1), ("b", 9, 2), ("d", 10, 1)}
+    live = rows((1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "e"), (6, "e"), (6, "e"))
+    index = ed.build_index(live)
+    after = ed.apply_changes(index, live, rows((9, "b"), (10, "d"), (11, "c")), rows((2, "a"), (4, "c"), (6, "e"), (8, "never there")))
+    text = {hashlib.sha256(t.encode()).digest(): t for t in "abcde"}
+    assert {(text[bytes(r.sha)], r.top_id, r.n) for r in after.collect()} == {("a", 1, 1), ("b", 9, 2), ("c", 11, 1), ("d", 10, 1), ("e", 6, 2)}
+
+
+def test_groups_are_verified_on_their_texts(spark):
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string")
+    found = ed.find_duplicates(frame, short=lambda full: F.substring(full, 1, 1))
+    assert Counter(tuple(r) for r in found.collect()) == brute(corpus())
 
 
 def test_components(spark):
@@ -97,3 +106,12 @@ def test_removal_goes_by_row_where_ids_repeat_or_are_null(spark):
     docs = [(5, "A"), (5, "B"), (9, "B"), (None, "A"), (None, "C"), (None, "C"), (None, "D")]
     kept = ed.remove_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
     assert Counter(tuple(r) for r in kept.collect()) == Counter([(5, "A"), (9, "B"), (None, "C"), (None, "D")])
+
+
+def test_removal_of_null_and_empty_texts_repeats_and_clashing_names(spark):
+    docs = [(1, None, 1), (1, "", 2), (1, "", 3), (2, "x", 4), (2, "x", 5), (3, "y", 6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, key int")
+    kept = ed.remove_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter([(1, ""), (2, "x"), (3, "y")])
+    assert ed.remove_duplicates(frame.limit(0)).collect() == []

@@ -74,3 +74,36 @@ def test_removal_keeps_one_of_each_component(spark):
 def test_frequent_shingles_ask_for_more_matches():
     assert ngram_join.choose_matches(np.zeros(40), 10, 4) == 1
     assert ngram_join.choose_matches(np.full(40, 1000.0), 10, 4) > 1
+
+
+def test_signatures_never_exceed_the_shingles_apart():
+    rng = np.random.default_rng(3)
+    for n in (1, 100, 130, 3000, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n * 4 // 5], rng.integers(0, 1 << 63, n // 4).astype(np.uint64)]))
+        x, y = ngram_join.signature(a), ngram_join.signature(b)
+        if len(x) != len(y):
+            x, y = (v if len(v) == min(len(x), len(y)) else v[: len(v) // 2] ^ v[len(v) // 2 :] for v in (x, y))
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
+def test_null_ids_and_one_id_with_two_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w3 ", "other ")
+    rows = [(None, base), (7, near), (9, base), (4, "quite another text of some words here"), (4, near), (None, "x y"), (None, "x y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((tuple(r) for r in ngram_join.link_documents(frame).collect()), key=str)
+    assert found == sorted([(None, 56, 4), (7, 56, 4), (9, 56, 4), (4, 3, 4), (4, 56, 4), (None, 1, None), (None, 1, None)], key=str)
+    kept = sorted((tuple(r) for r in ngram_join.remove_near_duplicates(frame).collect()), key=str)
+    assert kept == sorted([(4, near), (4, "quite another text of some words here"), (None, "x y")], key=str)
+
+
+def test_removal_of_repeated_rows_clashing_names_and_very_long_texts(spark):
+    long_ = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(1, long_, "a", 1), (1, long_, "b", 2), (2, long_ + " end", "c", 3), (3, None, "d", 4), (3, None, "d", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string, cls int")
+    kept = ngram_join.remove_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.cls) for r in kept.collect() if r.doc_id != 3) in ([(1, 1)], [(1, 2)])
+    assert kept.filter("doc_id = 3").count() == 2
+    assert ngram_join.remove_near_duplicates(frame.limit(0)).collect() == []

@@ -8,7 +8,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ BROADCAST_BYTES = 16 << 20
 #: A key is hot from this many rows on, and from this share of all rows on (so at most as many keys are hot).
 HOT_ROWS, HOT_KEYS = 1000, 100_000
 
+#: Bytes of one Arrow batch between the JVM and a Python worker.
+ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -57,6 +60,10 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
+        # rows are texts of any length: bound Arrow batches by bytes, which the JVM and a worker hold side by side
+        now = spark.conf.get(ARROW_BATCH)
+        if not now.isdigit() or int(now) > ARROW_BYTES:
+            spark.conf.set(ARROW_BATCH, str(ARROW_BYTES))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -151,7 +158,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    give_back()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; when its task has ended and its caches are gone, their memory goes back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
 
 
 def give_back() -> None:

@@ -3,7 +3,8 @@
 The index holds one live entry per distinct text: its SHA-256, the largest
 document id seen and the number of documents. A cuckoo filter of 16-bit
 fingerprints answers most new digests without touching the stored keys; a hit
-is verified against the full digests kept beside the fingerprint's bucket. The
+is verified against the full digests kept beside the fingerprint's bucket, and
+groups of equal digests are verified on their texts, bucketed by digest. The
 filter deletes as well as inserts, so documents can leave the index
 (:func:`apply_changes`), and grows by rebuilding from the stored keys when an
 insertion overflows.
@@ -12,23 +13,25 @@ Two levels bound memory and skew. Every scan task keeps its own index over the
 rows it reads and hands on one row per digest it met, so a text that a third of
 the corpus repeats reaches the shuffle once per task. Shards of those rows, by
 digest, merge them in a second index. Digests (never texts) are written to the
-shared folder in between; texts are read once and not shuffled.
+shared folder in between; of the texts only those of repeated digests are shuffled,
+one lowest and one highest a task, to verify that they are equal.
 
 Defined cases: a null text equals the empty text; of equal texts the largest id
 stays, and a null id stays only in a group of nulls; a row repeated with the
-same id and text counts in ``group_size`` and is kept like its twin; an empty
-table gives an empty result; further columns are ignored.
+same id and text counts in ``group_size`` and is kept like its twin (removal
+keeps one of the two); an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace, without
+from weftgraph.llm.common import Workspace, drop_rows, join_hot, row_key, tidy
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -182,84 +185,97 @@ def _merge(limit: int | None):
     return run
 
 
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, sha) per row: SHA-256 of the UTF-8 text, null as empty; computed in the JVM."""
-    return docs.select("doc_id", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("sha"))
+    return docs.select("doc_id", _sha(F.col("text")).alias("sha"))
 
 
 def build_index(rows: DataFrame) -> DataFrame:
     """The live index (sha, top_id, n) of (doc_id, sha) rows, by the two levels of cuckoo indexes."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"sha binary, top_id {kind}, n bigint"
-    local = rows.select("sha", F.col("doc_id").alias("top_id"), F.lit(1).cast("bigint").alias("n")).mapInArrow(_merge(TASK_KEYS), schema)
+    local = rows.select("sha", F.col("doc_id").alias("top_id"), F.lit(1).cast("bigint").alias("n")).mapInArrow(tidy(_merge(TASK_KEYS)), schema)
     shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // SHARD_KEYS + 1)
-    return local.repartition(shards, "sha").mapInArrow(_merge(None), schema)
+    return local.repartition(shards, "sha").mapInArrow(tidy(_merge(None)), schema)
 
 
-def apply_changes(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """The index after documents were added and removed ((doc_id, sha) rows each).
+def apply_changes(index: DataFrame, live: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The index of the ``live`` (doc_id, sha) rows after some were ``added`` and some ``removed``.
 
-    Shards by digest replay the live entries, then insertions, then deletions.
-    A digest whose largest document leaves keeps the largest id of the entries
-    that remain only if the caller adds them again; its count is exact.
+    Rows count by id and digest before anything is shuffled by digest. Digests
+    that lost a row leave the filter and come back with what is left of them,
+    so their largest id is right again; the others only gain. Shards by digest
+    replay the live entries, then deletions, then insertions.
     """
-    schema = index.schema
-    steps = index.select("sha", "top_id", "n", F.lit(0).alias("step"))
-    steps = steps.unionByName(build_index(added).withColumn("step", F.lit(1))).unionByName(removed.groupBy("sha").agg(F.max("doc_id").alias("top_id"), F.count("*").alias("n")).withColumn("step", F.lit(2)))
+    count = lambda df, sign: df.groupBy("doc_id", "sha").agg((sign * F.count("*")).alias("n"))
+    touched = removed.select("sha").distinct()
+    rows = count(live.join(touched, "sha", "left_semi"), 1).unionByName(count(added, 1)).unionByName(count(removed, -1))
+    rest = rows.groupBy("doc_id", "sha").agg(F.sum("n").alias("n")).filter("n > 0").groupBy("sha").agg(F.max("doc_id").alias("top_id"), F.sum("n").alias("n"))
+    step = lambda df, k: df.select("sha", "top_id", "n", F.lit(k).alias("step"))
+    steps = step(index, 0).unionByName(step(index.join(touched, "sha", "left_semi"), 1)).unionByName(step(rest, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live, id_type = DigestIndex(), pa.int64()
+        held, id_type = DigestIndex(), pa.int64()
         for batch in batches:
             id_type = batch.schema.field("top_id").type
-            for sha, doc_id, n, step in zip(*(batch.column(c).to_pylist() for c in ("sha", "top_id", "n", "step")), strict=True):
-                if step == 2:
-                    live.remove(sha, n)
+            for sha, doc_id, n, k in zip(*(batch.column(c).to_pylist() for c in ("sha", "top_id", "n", "step")), strict=True):
+                if k == 1:
+                    held.remove(sha, n)
                 else:
-                    live.add(sha, doc_id, n)
-        yield from _rows(live.entries(), id_type)
+                    held.add(sha, doc_id, n)
+        yield from _rows(held.entries(), id_type)
+
+    return steps.repartition("sha").sortWithinPartitions("step").mapInArrow(run, index.schema)
+
 
-    return steps.repartition("sha").sortWithinPartitions("step").mapInArrow(run, schema)
+def _grouped(ws: Workspace, docs: DataFrame, short: Callable[[Column], Column]) -> DataFrame:
+    """(key, doc_id, full, keep_id, n) per row: the group of its text, found by the index and verified on the texts."""
+    rows = ws.table("digests", docs.select("doc_id", _sha(F.col("text")).alias("full"), row_key().alias("key"))).withColumn("sha", short(F.col("full")))
+    groups = ws.table("groups", build_index(rows).filter("n > 1"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _sha(F.col("text")).alias("full"), row_key().alias("key")).withColumn("sha", short(F.col("full")))
+    # all texts of a digest are equal if its lowest and its highest are
+    content = join_hot(texts.select("sha", "text"), groups.select("sha", "n"), "sha").groupBy("sha").agg((F.min("text") != F.max("text")).alias("mixed"))
+    mixed = ws.table("mixed", content.filter("mixed").select("sha"))
+    group = lambda df: df.select("key", "doc_id", "full", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("n"))
+    if mixed.isEmpty():
+        return group(join_hot(rows, groups, "sha", "left"))
+    apart = texts.join(mixed, "sha", "left_semi")
+    by_text = apart.groupBy("text").agg(F.max("doc_id").alias("top_id"), F.count("*").alias("n"))
+    return group(join_hot(rows.join(mixed, "sha", "left_anti"), groups, "sha", "left")).unionByName(group(apart.join(by_text, "text")))
 
 
-def find_duplicates(docs: DataFrame) -> DataFrame:
+def find_duplicates(docs: DataFrame, *, short: Callable[[Column], Column] = lambda full: full) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Only groups of two or more take part in the join back (a left join on the
-    digest, which adaptive execution splits where a digest is frequent).
+    Only groups of two or more take part in the join back, and digests of many
+    rows are broadcast there. ``short`` may cut the digest that the index works
+    on, since groups are verified on their texts.
     """
-    ws = Workspace(docs.sparkSession, "exact-dedup")
-    rows = ws.table("digests", digests(docs))
-    groups = build_index(rows).filter("n > 1")
-    joined = rows.join(groups, "sha", "left")
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    rows = _grouped(Workspace(docs.sparkSession, "exact-dedup"), docs, short)
+    return rows.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("full")).alias("text_sha256"))
 
 
 def remove_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of equal texts, with all its columns.
+    """One row of each group of equal texts, with all its columns.
 
-    The ids that go are the fewer ones: an anti join on them, broadcast only
-    when their counted number is small. A row repeated with the kept id is cut
-    to one by its digest. Where an id holds a kept and a dropped text, or copies
-    have no id, rows are chosen by id and digest.
+    Rows go by their key (id and text), so an id that holds another text too
+    keeps it, and copies without an id go like others. Of rows repeated with
+    the kept id and text one stays.
     """
     ws = Workspace(docs.sparkSession, "exact-dedup-rows")
-    found = ws.table("found", find_duplicates(docs))
-    gone = ws.table("gone", found.filter("NOT kept").select("doc_id").distinct())
-    n_gone = gone.count()
-    kept = found.filter("kept")
-    both = kept.join(F.broadcast(gone) if n_gone <= 2_000_000 else gone, "doc_id", "left_semi")
-    if not both.isEmpty() or not found.filter("doc_id IS NULL AND group_size > 1").isEmpty():
-        own = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-        keys = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
-        return own.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
-    left = without(docs, gone, n_gone, "doc_id")
-    twice = ws.table("twice", found.filter("kept AND group_size > 1").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    n = twice.count()
-    if not n:
-        return left
-    once = docs.join(F.broadcast(twice) if n <= 100_000 else twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(left, twice, n, "doc_id").unionByName(once)
+    found = ws.table("found", _grouped(ws, docs, lambda full: full).filter("n > 1"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # null and empty texts are equal but have different keys: of the kept rows of a group one key stays
+    first = found.filter(kept).groupBy("full").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    first = ws.table("first", first)
+    again = ws.table("again", join_hot(found.filter(kept).select("key", "full"), first, "full"))
+    gone = ws.table("gone", found.filter(~kept).select("key").union(again.filter("key != first").select("key")).distinct())
+    once = ws.table("once", again.filter("key = first").groupBy("key").count().filter("count > 1").select("key"))
+    return drop_rows(docs, gone, once)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

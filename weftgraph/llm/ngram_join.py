@@ -28,7 +28,9 @@ Steps, each over all documents:
    outside a list's most frequent component with the others, with size bands
    and, for long lists, a salt in the join key. Shared prefix shingles are
    counted over small and set-aside lists together, and a pair is verified only
-   if it has as many as its documents ask for.
+   if it has as many as its documents ask for. A pair isn't even counted if the
+   signatures of its sets (a bit per hash value, set where an odd number of
+   shingles fall) differ in more bits than linked sets have shingles apart.
 
 Pairs are verified on their whole texts, which are smaller than their sets and
 are shuffled for candidates only. No link between different components is lost,
@@ -55,7 +57,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import CHUNK_BYTES, Workspace, bounded, components, drop_rows, gram_hashes, join_hot, mix, pieces, row_key, signed, split_words, word_hashes
+from weftgraph.llm.common import CHUNK_BYTES, Workspace, bounded, components, drop_rows, gram_hashes, join_hot, mix, pieces, row_key, signed, split_words, tidy, word_hashes
 
 #: Counters of the sketch that orders shingles; fixed, so it can be broadcast (4 bytes each).
 SKETCH = 1 << 19
@@ -67,6 +69,8 @@ MAX_MATCHES = 4
 CENTRE_TURNS = 2
 #: Entries of one set-aside list and size band under one salt.
 SALTED = 2000
+#: Bits of a set's signature: two or more for each shingle, a power of two within these bounds.
+SIGNATURE = (256, 8192)
 #: Classes that a scan task remembers to skip the copies it meets.
 TASK_CLASSES = 200_000
 #: Pair rows that a task gathers before it combines and emits them.
@@ -93,23 +97,32 @@ def _bucket(found: np.ndarray) -> np.ndarray:
     return (mix(found) % np.uint64(SKETCH)).astype(np.int64)
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash value, as 64-bit words; two signatures differ in no more bits than their sets do in shingles."""
+    low, high = SIGNATURE
+    n = min(high, max(low, 1 << (2 * len(found) - 1).bit_length()))
+    odd = np.bincount((mix(found) >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        id_type, names = pa.int64(), ["key", "doc_id", "n", "cls", "part", "counts"]
+        id_type, names = pa.int64(), ["key", "doc_id", "n", "cls", "bits", "part", "counts"]
         for batch in pieces(batches, "text"):
-            id_type, sizes, classes = batch.schema.field("doc_id").type, [], []
+            id_type, sizes, classes, bits = batch.schema.field("doc_id").type, [], [], []
             for found in shingle_sets(batch.column("text"), width):
                 sizes.append(len(found))
                 classes.append(_class(found) if len(found) else None)
+                bits.append(signature(found) if len(found) else None)
                 np.add.at(counts, _bucket(found), 1)
             classes = pa.array([None if c is None else c - (1 << 64) * (c >> 63) for c in classes], pa.int64())
             nothing = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), classes, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), classes, pa.array(bits, pa.list_(pa.int64())), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         if counts.any():
             parts = [np.ascontiguousarray(x, "<i8").tobytes() for x in np.split(counts, SKETCH_PARTS)]
             empty = pa.nulls(SKETCH_PARTS)
-            yield pa.RecordBatch.from_arrays([empty.cast(pa.binary()), empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([empty.cast(pa.binary()), empty.cast(id_type), empty.cast(pa.int64()), empty.cast(pa.int64()), empty.cast(pa.list_(pa.int64())), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -296,7 +309,7 @@ class NgramJaccardJoin:
             texts = texts.dropDuplicates(["cls"])
         one, two = (texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}")) for k in "xy")
         both = pairs.join(one, "x").join(two, "y").select("x", "y", "text_x", "text_y")
-        links = self.ws.table("links", both.mapInArrow(_common(self.width, self.bounds), "a bigint, b bigint"))
+        links = self.ws.table("links", both.mapInArrow(tidy(_common(self.width, self.bounds)), "a bigint, b bigint"))
         for t in (pairs, wanted, texts):
             self.ws.drop(t)
         self.ws.release()
@@ -337,6 +350,14 @@ class NgramJaccardJoin:
             f" AND least({a}.size - {a}.p, {b}.size - {b}.p) >= ceil({t} * ({a}.size + {b}.size) / {100 + t}) - least({a}.l, {b}.l) + 1"
         )
 
+    def _near(self, a: str, b: str) -> str:
+        """SQL: do the signatures differ in at most as many bits as linked sets of these sizes have shingles apart?"""
+        t, halves = self.bounds.t, "zip_with(slice({0}.bits, 1, size({0}.bits) div 2), slice({0}.bits, size({0}.bits) div 2 + 1, size({0}.bits) div 2), (u, v) -> u ^ v)"
+        # sizes within the bounds differ by less than a factor of two, so signatures do by one doubling at most
+        one, two = (f"CASE WHEN size({x}.bits) > size({y}.bits) THEN {halves.format(x)} ELSE {x}.bits END" for x, y in ((a, b), (b, a)))
+        apart = f"aggregate(zip_with({one}, {two}, (u, v) -> bit_count(u ^ v)), 0, (n, m) -> n + m)"
+        return f"{apart} <= {a}.size + {b}.size - 2 * ceil({t} * ({a}.size + {b}.size) / {100 + t})"
+
     def _centres(self, links: DataFrame, entries: DataFrame) -> DataFrame:
         """Links with those of each class to the centre of most of its lists; one pair per class and turn."""
         width = math.log(100 / self.bounds.t)
@@ -360,7 +381,7 @@ class NgramJaccardJoin:
         sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
         mixed = self.ws.table("mixed", mixed.select("token", "main", F.ceil(F.col("n") / SALTED).alias("salts")))
-        open_ = rooted.join(bounded(mixed), "token").withColumn("e", F.struct("cls", "size", "p", "l", "root"))
+        open_ = rooted.join(bounded(mixed), "token").join(self.classes.select("cls", "bits"), "cls").withColumn("e", F.struct("cls", "size", "p", "l", "root", "bits"))
         width = math.log(1.05)
         band = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / width)
         size = F.col("size")
@@ -369,7 +390,7 @@ class NgramJaccardJoin:
         index = open_.select("token", band(size).alias("band"), F.pmod(F.xxhash64("cls"), "salts").alias("salt"), F.col("e").alias("i"), (F.col("root") == F.col("main")).alias("i_main"))
         probe = open_.filter((F.col("root") != F.col("main")) & (longest >= shortest)).withColumn("band", F.explode(F.sequence(band(shortest), band(longest))))
         probe = probe.select("token", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("e").alias("e"))
-        met = probe.join(index, ["token", "band", "salt"]).filter(f"e.root != i.root AND (i_main OR e.cls < i.cls) AND {self._fit('e', 'i')}")
+        met = probe.join(index, ["token", "band", "salt"]).filter(f"e.root != i.root AND (i_main OR e.cls < i.cls) AND {self._fit('e', 'i')} AND {self._near('e', 'i')}")
         pairs = met.groupBy(F.least("e.cls", "i.cls").alias("x"), F.greatest("e.cls", "i.cls").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("e.l", "i.l")).alias("need"))
         few = few.select("x", "y", F.col("n").alias("more"))
         return pairs.join(few, ["x", "y"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).filter("n >= need").select("x", "y", "n")
@@ -378,12 +399,12 @@ class NgramJaccardJoin:
         """Per document: key, doc_id, n, cls and root, the class that names its component (null without shingles)."""
         ws, spark = self.ws, self.docs.sparkSession
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        profile = ws.table("profile", self.docs.mapInArrow(_profile(self.width), f"key binary, doc_id {kind}, n bigint, cls bigint, part int, counts binary"))
+        profile = ws.table("profile", self.docs.mapInArrow(tidy(_profile(self.width)), f"key binary, doc_id {kind}, n bigint, cls bigint, bits array<bigint>, part int, counts binary"))
         sketch = spark.sparkContext.broadcast(sketch_counts(profile))
-        sized = profile.filter("part IS NULL").select("key", "doc_id", "n", "cls")
-        self.classes = ws.table("classes", sized.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key")))
-        postings = self.docs.select("text").mapInArrow(_postings(self.width, self.bounds, sketch), "token bigint, cls bigint, meta bigint")
-        matches = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_pairs(self.bounds), "x bigint, y bigint, n bigint, need bigint, token bigint")
+        sized = profile.filter("part IS NULL").select("key", "doc_id", "n", "cls", "bits")
+        self.classes = ws.table("classes", sized.filter("cls IS NOT NULL").groupBy("cls").agg(F.min_by(F.struct("key", "bits"), "key").alias("r")).select("cls", "r.*"))
+        postings = self.docs.select("text").mapInArrow(tidy(_postings(self.width, self.bounds, sketch)), "token bigint, cls bigint, meta bigint")
+        matches = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(tidy(_pairs(self.bounds)), "x bigint, y bigint, n bigint, need bigint, token bigint")
         matches = ws.table("matches", matches)
         small = ws.table("small", matches.filter("token IS NULL").groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("need").alias("need")))
         self.ws.release()

@@ -22,6 +22,7 @@ columns are ignored. Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections import Counter
@@ -35,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace, pieces
+from weftgraph.llm.common import Workspace, pieces, tidy
 
 #: Distinct lower-case words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: Words that are encoded at once.
 TOGETHER = 1000
 #: Fixed value: characters that, behind letters, form a part of their own.
@@ -56,6 +57,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own cost memory only
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -116,7 +118,7 @@ class WordTokenizer:
         ids.append(np.array([end_id], np.uint32).tobytes())
         codes = np.insert(coded.indices.to_numpy(), offsets[1:], len(ids) - 1)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        known, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        known, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         n = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
         at = np.repeat((first[codes] - ends[:-1]).astype(np.int32), n)
@@ -215,18 +217,23 @@ def cut(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen, task = WordTokenizer(tokenizer_path), Counter(), TaskContext.get().partitionId()
-        for batch in pieces(batches, "text", 4 << 20):
+        names = schema.replace(",", "").split()[::2]
+        for batch in pieces(batches, "text", 2 << 20):
             ids, ends = tokenizer.encode(batch.column("text"), end_id)
-            raw, rows = memoryview(ids.astype("<u4").tobytes()), []
-            for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                for at in range(a, b, window):
-                    size = min(window, b - at)
-                    rows.append((row, at - a, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), b - a, task, seen[size]))
-                    seen[size] += 1
-            row, *rest = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *[pa.array(x, pa.int64()) for x in rest]], schema.replace(",", "").split()[::2])
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            raw = memoryview(ids).cast("B")
+            # each text's pieces: full windows, then what is left
+            of = np.repeat(np.arange(batch.num_rows), -(-np.diff(ends) // window))
+            start = np.concatenate([np.arange(0, n, window) for n in np.diff(ends)]) if len(of) else of
+            size = np.minimum(window, (ends[of + 1] - ends[of]) - start)
+            at, rank = 4 * (ends[of] + start), np.empty(len(of), np.int64)
+            crc = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+            for i, n in enumerate(size.tolist()):
+                rank[i] = seen[n]
+                seen[n] += 1
+            columns = (start, size, np.array(crc, np.int64), ends[of + 1] - ends[of], np.full(len(of), task), rank)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), *[pa.array(c.astype(np.int64)) for c in columns]], names)
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int = 1) -> DataFrame:

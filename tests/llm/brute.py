@@ -84,7 +84,7 @@ def contamination(docs, items, window=10):
     out = []
     for d, t in docs:
         w, hit, found = folded_words(t), set(), set()
-        for n in lengths if d is not None else ():
+        for n in lengths:
             for k in range(len(w) - n + 1):
                 if (x := tuple(w[k : k + n])) in wins:
                     hit.update(range(k, k + n))

@@ -52,10 +52,21 @@ def test_empty_tables(spark):
 
 def test_proximity(spark):
     docs = [(1, "a x x b a"), (2, "b x x x a"), (3, "a")]
-    index = decontaminate.PositionalIndex(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(tuple(r) for r in index.near("a", "b", 3).collect()) == [(1, 0, 3), (1, 4, 3)]
+    found = decontaminate.near_terms(spark.createDataFrame(docs, "doc_id long, text string"), "a", "b", 3)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 3), (1, 4, 3)]
 
 
 def test_query_matches_brute_force(spark, sf001):
     docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf001}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     assert Counter(tuple(r) for r in decontaminate.op9_benchmark_decontamination(spark, sf001).collect()) == rows_of(docs, items, 10)
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    leak = "so One two three four five six seven eight nine ten " + "filler " * 20_000
+    docs = [(4, "clean"), (4, leak), (None, "one two three four five six seven eight nine ten"), (None, "clean"), (4, "clean")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = Counter((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.find_contamination(frame, items).collect())
+    assert found == Counter([(4, 1, 0), (4, 20_011, 10), (None, 10, 10), (None, 1, 0), (4, 1, 0)])
+    kept = Counter((r.doc_id, r.text) for r in decontaminate.remove_contaminated(frame, items).collect())
+    assert kept == Counter([(4, "clean"), (4, "clean"), (None, "clean")])

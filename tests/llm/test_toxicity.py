@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from brute import lower
 from weftgraph.llm import toxicity as tox
 
 
@@ -77,3 +78,28 @@ def test_accuracy_on_the_driver_tables(spark):
     assert sum(r.predicted == r.toxic for r in train) >= 0.97 * len(train)
     held = [r for r in rows if r.held_out]
     assert sum(r.predicted == r.toxic for r in held) >= 0.9 * len(held)
+
+
+def test_query_matches_the_naive_sum_over_all_pairs(spark, sf001):
+    docs, labels = spark.read.parquet(f"{sf001}/documents.parquet"), spark.read.parquet(f"{sf001}/labels.parquet")
+    model = tox.train(docs, labels)
+    found = {r.doc_id: r for r in tox.op4_toxicity(spark, sf001).collect()}
+    assert len(found) == docs.count()
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        slots = {s for word in lower(text).encode().split() for s in model.word_slots(word)}
+        active = sorted(slots)
+        logit = model.bias + sum(model.w[i] for i in active) + sum(float(model.v[i] @ model.v[j]) for k, i in enumerate(active) for j in active[k + 1 :])
+        assert abs(found[doc_id].score - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-9
+        assert found[doc_id].predicted == int(found[doc_id].score >= 0.7)
+
+
+def test_choice_counts_terms_that_tell_only_beside_others():
+    rng, rows = np.random.default_rng(0), []
+    for _ in range(6000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.03
+        toxic = group or rng.random() < 0.55 if insult else not group and rng.random() < 0.2
+        rows.append((int(toxic), np.array([1] * insult + [2] * group + [int(rng.integers(10, 400))], np.int32)))
+    y, of = np.array([r[0] for r in rows], float), np.repeat(np.arange(6000), [len(r[1]) for r in rows])
+    buckets = np.concatenate([r[1] for r in rows])
+    assert tox._chi_squared(buckets, y, of)[0][2] < 10.8
+    assert {1, 2} <= set(tox.choose(buckets, y, of, least=3, level=10.8).tolist())

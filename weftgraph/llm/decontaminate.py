@@ -1,24 +1,27 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z became a-z. The
-index stores postings (term, document, position) of training documents. A
-phrase is looked up from its rarest terms: the posting lists of its two rarest
-terms, each shifted by the term's offset in the phrase, are intersected on
-(document, start), and what is left is held against the document's words, so
-the matches are exact.
-
-Term frequencies are counted over all documents, but only for terms that occur
-in a benchmark item; postings are stored only for the rarest terms that a
-phrase asks for. The benchmark's phrases are the small side: they are broadcast
-while their counted number is within a bound and shuffled beyond it. Frequent
-posting lists aren't gathered: joins are on (document, start), never on a term
-alone against another list.
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z became a-z. One pass
+over the documents splits them into words and writes the index: postings (term,
+row, position) of every term that occurs in a benchmark item, and one closing
+posting per row, which carries its number of words. All that follows reads the
+index, never a text.
+
+A phrase is looked up from its rarest terms. The posting lists of the two
+rarest, each shifted by the term's offset in the phrase, are intersected on
+(row, start); the lists of the other terms, restricted to the rows that are
+left, are intersected with that in one step, and only starts that all terms
+reach are matches. Rows are told apart by a 128-bit key of id and text.
+
+The benchmark's terms and the probed terms of its phrases are the small side:
+they are broadcast while their measured rows and bytes are within bounds, and
+joined by a shuffle beyond, where adaptive execution splits frequent terms.
+Posting lists are never gathered: they meet on (phrase, row, start).
 
 Defined cases: null texts and items have no words; an item shorter than a
 window, but not empty, is one window; equal windows of several items are looked
-up once; rows repeated with one id share their hits; null document ids match
-nothing; an empty table on either side gives no hits; further columns are
-ignored.
+up once; a row is judged by its own text, whatever its id, null ids too;
+repeated rows are judged each; an empty table on either side gives no hits;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BROADCAST_ROWS, Workspace, restrict, without
+from weftgraph.llm.common import Workspace, bounded, drop_rows, row_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,57 +42,61 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
-class PositionalIndex:
-    """Postings of training documents for the terms that a benchmark needs."""
+#: The term of a row's closing posting; no word is empty.
+END = ""
 
-    def __init__(self, docs: DataFrame):
-        self.ws = Workspace(docs.sparkSession, "positional-index")
-        self.docs = docs.select("doc_id", words(F.col("text")).alias("words"))
-        self.postings: DataFrame | None = None
 
-    def _terms(self, terms: DataFrame, n: int) -> DataFrame:
-        """(term, doc_id, pos) of the listed terms."""
-        flat = self.docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode("words").alias("pos", "term"))
-        return flat.join(F.broadcast(terms) if n <= BROADCAST_ROWS else terms, "term", "left_semi")
+class PositionalIndex:
+    """Postings (term, key, pos) of training documents for the listed terms, as a table.
 
-    def frequencies(self, terms: DataFrame, n: int) -> DataFrame:
-        """(term, df): occurrences over all documents; terms that occur nowhere are absent."""
-        flat = self.docs.filter("doc_id IS NOT NULL").select(F.explode("words").alias("term"))
-        return flat.join(F.broadcast(terms) if n <= BROADCAST_ROWS else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    The closing posting of each row has the term ``END``, its number of words
+    as position, and its ``doc_id``.
+    """
+
+    def __init__(self, docs: DataFrame, terms: DataFrame):
+        self.ws = Workspace(docs.sparkSession, "positional-index")
+        known = self.ws.table("terms", terms.select("term").union(docs.sparkSession.range(1).select(F.lit(END))).distinct())
+        flat = docs.select(row_key().alias("key"), "doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "term"))
+        held = flat.join(bounded(known, F.col("term")), "term", "left_semi")
+        self.table = self.ws.table("postings", held.select("term", "key", "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")))
+        self.postings = self.table.filter(F.col("term") != END).select("term", "key", "pos")
+        self.rows = self.table.filter(F.col("term") == END).select("key", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
 
     def phrases(self, wanted: DataFrame) -> DataFrame:
-        """Exact matches (phrase_id, doc_id, start) of ``wanted`` (phrase_id, seq array<string>)."""
-        terms = self.ws.table("terms", wanted.select(F.explode("seq").alias("term")).distinct())
-        df = self.ws.table("frequencies", self.frequencies(terms, terms.count()))
-        flat = wanted.select("phrase_id", "seq", F.posexplode("seq").alias("at", "term")).join(df, "term", "left")
+        """Exact matches (phrase_id, key, start, len) of ``wanted`` (phrase_id, seq array<string>); all its terms have to be listed."""
+        df = self.ws.table("frequencies", self.postings.groupBy("term").agg(F.count("*").alias("df")))
+        flat = wanted.select("phrase_id", F.size("seq").alias("len"), F.posexplode("seq").alias("at", "term")).join(bounded(df, F.col("term")), "term", "left")
+        by_phrase = Window.partitionBy("phrase_id")
+        flat = flat.withColumn("rank", F.row_number().over(by_phrase.orderBy("df", "term", "at"))).withColumn("absent", F.max(F.col("df").isNull()).over(by_phrase))
         # a phrase with a term that occurs nowhere has no match
-        order = Window.partitionBy("phrase_id").orderBy("df", "term", "at")
-        flat = flat.withColumn("rank", F.row_number().over(order)).withColumn("absent", F.max(F.col("df").isNull()).over(Window.partitionBy("phrase_id")))
-        probes = self.ws.table("probes", flat.filter("NOT absent AND rank <= 2").select("phrase_id", "seq", "at", "term", "rank", F.size("seq").alias("len")))
-        n = probes.count()
-        rare = probes.select("term").distinct()
-        self.postings = self.ws.table("postings", self._terms(rare, n))
-        hint = F.broadcast if n <= BROADCAST_ROWS // 10 else lambda x: x
-        shifted = self.postings.join(hint(probes.select("phrase_id", "term", "at", "rank", "len")), "term").select("phrase_id", "doc_id", (F.col("pos") - F.col("at")).alias("start"), "rank", "len").filter("start >= 0")
-        met = shifted.groupBy("phrase_id", "doc_id", "start").agg(F.count_distinct("rank").alias("terms"), F.first("len").alias("len")).filter("terms = least(2, len)")
-        met = self.ws.table("met", met.select("phrase_id", "doc_id", "start", "len"))
-        # the rest of the phrase: its words against the document's
-        ids = self.ws.table("ids", met.select("doc_id").distinct())
-        texts = restrict(self.docs, ids, ids.count(), "doc_id").distinct()
-        per_doc = met.join(hint(wanted), "phrase_id").join(texts, "doc_id")
-        return per_doc.filter("start + len <= size(words) AND slice(words, start + 1, len) = seq").select("phrase_id", "doc_id", "start", "len").distinct()
+        flat = self.ws.table("terms-of-phrases", flat.filter("NOT absent").drop("absent", "df"))
+        probes = self.ws.table("probes", flat.filter("rank <= 2").select("phrase_id", "term", "at", "len", F.expr("shiftleft(1, rank - 1)").alias("bit")))
+        lists = self.postings.join(bounded(probes, F.col("term"), F.col("phrase_id")), "term").select("phrase_id", "key", "len", (F.col("pos") - F.col("at")).alias("start"), "bit").filter("start >= 0")
+        met = lists.groupBy("phrase_id", "key", "start", "len").agg(F.bit_or("bit").alias("bits")).filter("bits = if(len = 1, 1, 3)")
+        met = self.ws.table("met", met.select("phrase_id", "key", "start", "len"))
+        rest = self.ws.table("rest", flat.filter("rank > 2").select("phrase_id", "at", "term"))
+        due = met.join(bounded(rest, F.col("term"), F.col("phrase_id")), "phrase_id").select("phrase_id", "key", "start", (F.col("start") + F.col("at")).alias("pos"), "term")
+        ids = self.ws.table("ids", met.select("key").distinct())
+        near = self.postings.join(bounded(ids), "key", "left_semi")
+        found = due.join(near, ["key", "pos", "term"], "left_semi").groupBy("phrase_id", "key", "start").agg(F.count("*").alias("n"))
+        return met.join(found, ["phrase_id", "key", "start"], "left").filter("coalesce(n, 0) = len - least(2, len)").select("phrase_id", "key", "start", "len")
 
     def near(self, first: str, second: str, within: int) -> DataFrame:
-        """Proximity: (doc_id, pos, other) where the two terms stand at most ``within`` words apart.
+        """Proximity: (key, pos, other) where two listed terms stand at most ``within`` words apart.
 
-        Posting lists meet on (document, block of positions): each posting of
-        the first term probes its own block and the two beside it.
+        Posting lists meet on (row, block of positions): each posting of the
+        first term probes its own block and the two beside it.
         """
-        terms = self.docs.sparkSession.createDataFrame([(first,), (second,)], "term string").distinct()
-        held = self._terms(terms, 2).withColumn("block", F.floor(F.col("pos") / max(1, within)))
-        a = held.filter(F.col("term") == first).select("doc_id", "pos", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-        b = held.filter(F.col("term") == second).select("doc_id", F.col("pos").alias("other"), "block")
-        return a.join(b, ["doc_id", "block"]).filter((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).select("doc_id", "pos", "other")
+        held = self.postings.withColumn("block", F.floor(F.col("pos") / max(1, within)))
+        a = held.filter(F.col("term") == first).select("key", "pos", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+        b = held.filter(F.col("term") == second).select("key", F.col("pos").alias("other"), "block")
+        return a.join(b, ["key", "block"]).filter((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).select("key", "pos", "other").distinct()
+
+
+def near_terms(docs: DataFrame, first: str, second: str, within: int) -> DataFrame:
+    """(doc_id, pos, other) of the places where the two terms stand at most ``within`` words apart."""
+    index = PositionalIndex(docs, docs.sparkSession.createDataFrame([(first,), (second,)], "term string"))
+    return index.near(first, second, within).join(index.rows.select("key", "doc_id").distinct(), "key").select("doc_id", "pos", "other")
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -99,30 +106,32 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("seq"))
 
 
+def _lookup(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[PositionalIndex, DataFrame, DataFrame]:
+    """The index for the benchmark's terms, its windows (item_id, phrase_id, seq) and their matches."""
+    windows = Workspace(docs.sparkSession, "benchmark").table("windows", item_windows(benchmark, window).select("item_id", F.md5(F.concat_ws(" ", "seq")).alias("phrase_id"), "seq").distinct())
+    index = PositionalIndex(docs, windows.select(F.explode("seq").alias("term")))
+    hits = index.phrases(windows.select("phrase_id", "seq").dropDuplicates(["phrase_id"]))
+    return index, windows, index.ws.table("hits", hits)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    index = PositionalIndex(docs)
-    of_items = index.ws.table("windows", item_windows(benchmark, window).select("item_id", "seq", F.md5(F.concat_ws(" ", "seq")).alias("phrase_id")).distinct())
-    hits = index.ws.table("hits", index.phrases(of_items.select("phrase_id", "seq").distinct()))
+    index, windows, hits = _lookup(docs, benchmark, window)
     # covered words: each start covers up to the next start of the document or its own end
-    spans = hits.groupBy("doc_id", "start").agg(F.max("len").alias("len"))
-    reach = F.max(F.col("start") + F.col("len")).over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    covered = spans.withColumn("before", F.coalesce(reach, F.lit(0))).select("doc_id", F.greatest(F.col("start") + F.col("len") - F.greatest("start", "before"), F.lit(0)).alias("new")).groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
-    pairs = hits.select("doc_id", "phrase_id").distinct().join(of_items.select("phrase_id", F.col("item_id").cast("string").alias("item")), "phrase_id").select("doc_id", "item").distinct()
-    items = pairs.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    found = covered.join(items, "doc_id", "left")
-    counted = index.docs.select("doc_id", F.size("words").cast("bigint").alias("n_words"))
-    none = F.sha2(F.lit(""), 256)
+    spans = hits.groupBy("key", "start").agg(F.max("len").alias("len"))
+    reach = F.max(F.col("start") + F.col("len")).over(Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    covered = spans.withColumn("before", F.coalesce(reach, F.lit(0))).select("key", F.greatest(F.col("start") + F.col("len") - F.greatest("start", "before"), F.lit(0)).alias("new")).groupBy("key").agg(F.sum("new").alias("n_hit"))
+    pairs = hits.select("key", "phrase_id").distinct().join(windows.select("phrase_id", F.col("item_id").cast("string").alias("item")), "phrase_id").select("key", "item").distinct()
+    items = pairs.groupBy("key").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    found = index.ws.table("found", covered.join(items, "key", "left"))
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return counted.join(found, "doc_id", "left").select("doc_id", "n_words", n_hit.cast("bigint").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return index.rows.join(bounded(found), "key", "left").select("doc_id", "n_words", n_hit.cast("bigint").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
-    """The documents without a hit word, with all their columns."""
-    index = PositionalIndex(docs)
-    wanted = item_windows(benchmark, window).select("seq", F.md5(F.concat_ws(" ", "seq")).alias("phrase_id")).distinct()
-    gone = index.ws.table("gone", index.phrases(index.ws.table("windows", wanted)).select("doc_id").distinct())
-    return without(docs, gone, gone.count(), "doc_id")
+    """The rows without a hit word, with all their columns."""
+    index, _, hits = _lookup(docs, benchmark, window)
+    return drop_rows(docs, index.ws.table("gone", hits.select("key").distinct()))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,29 @@
 """Substring deduplication by level-wise doubling.
 
-A window is a run of consecutive words of one document. Levels go 25, 50, 100,
-... words: only windows that repeat in another document at one level are
+A window is a run of consecutive words of one document. The first level is the
+wanted length halved as long as it is even and 25 or more (50: 25; 400: 25, 50,
+100, 200). Only windows that repeat in another document at one level are
 extended to twice that length, until the wanted length is reached or no
 candidate survives.
 
 The first level doesn't index every window. It takes the windows that are
-minimal by hash among those inside some 50-word run (winnowing): equal runs pick
-equal windows, so a repeated 50-word run always has a repeated first-level
-window at the same place, and about one window in thirteen is enough. A second
-scan, only over documents with a surviving window, emits the 50-word windows
-around survivors; those whose smallest document is another one mark the words
-they cover. Windows are told apart by 64-bit hashes.
-
-Repeats are found by grouped minima and maxima with map-side combining and
-joined back on the hash (adaptive execution splits a frequent one), so a passage
-that a third of the corpus holds is never gathered in one place.
+minimal by hash among those inside some run of twice the length (winnowing):
+equal runs pick equal windows, so a repeated run always has a repeated
+first-level window at the same place. Each further level reads only documents
+with a surviving window and emits the windows around survivors. At the wanted
+length, windows whose smallest document is another one mark the words they
+cover. There windows are told apart by two independent 64-bit hashes, as words
+are removed; at the levels before by one, as a false repeat only costs time.
+
+Repeats are found by grouped minima and maxima with map-side combining. They
+are joined back on the hash, frequent ones by broadcast, so a passage that a
+third of the corpus holds is never gathered in one place.
 
 Defined cases: a null text has no words; documents shorter than a window lose
 nothing; a window counts as repeated only in a document with a smaller id, so
 rows repeated with one id don't remove each other, and rows with a null id
 neither remove nor lose words; an empty table gives an empty result; further
-columns are ignored.
+columns are ignored, or kept by ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +36,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace, gram_hashes, pieces, restrict, signed, split_words, word_hashes
+from weftgraph.llm.common import Workspace, bounded, gram_hashes, join_hot, pieces, restrict, row_key, signed, split_words, tidy, word_hashes
+
+
+def first_level(length: int) -> int:
+    """The length halved while it is even and stays 25 or more; once at least."""
+    half = length // 2
+    while half % 2 == 0 and half >= 50:
+        half //= 2
+    return half
 
 
-def _windows(texts: pa.Array, width: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    offsets, flat = split_words(texts, lower=False)
-    return offsets, flat, gram_hashes(word_hashes(flat), width)
+def _emit(batch: pa.RecordBatch, offsets: np.ndarray, rows: list[np.ndarray], places: list[np.ndarray], grams: np.ndarray, second: np.ndarray | None) -> pa.RecordBatch:
+    rows, places = np.concatenate(rows), np.concatenate(places)
+    of = pa.array(rows)
+    check = pa.nulls(len(rows), pa.int64()) if second is None else pa.array(signed(second[places]))
+    return pa.RecordBatch.from_arrays([pa.array(signed(grams[places])), check, batch.column("row_id").take(of), batch.column("doc_id").take(of), pa.array((places - offsets[rows]).astype(np.int32))], ["gram", "check", "row_id", "doc_id", "at"])
 
 
 def winnow(grams: np.ndarray, span: int) -> np.ndarray:
@@ -50,31 +62,33 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.argmin(view, axis=1) + np.arange(len(view)))
 
 
-def _anchors(length: int):
-    half = length // 2
+def _anchors(half: int, least: int):
+    """Winnowed windows of ``half`` words, of documents with ``least`` words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            offsets, _, grams = _windows(batch.column("text"), half)
+            offsets, flat = split_words(batch.column("text"), lower=False)
+            grams = gram_hashes(word_hashes(flat), half)
             rows, places = [], []
             for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                if b - a >= length:
-                    found = winnow(grams[a : b - half + 1], length - half + 1)
+                if b - a >= least:
+                    found = winnow(grams[a : b - half + 1], half + 1)
                     places.append(found + a)
                     rows.append(np.full(len(found), row))
             if rows:
-                rows, places = np.concatenate(rows), np.concatenate(places)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[places])), batch.column("row_id").take(pa.array(rows)), batch.column("doc_id").take(pa.array(rows)), pa.array((places - offsets[rows]).astype(np.int32))], ["gram", "row_id", "doc_id", "at"])
+                yield _emit(batch, offsets, rows, places, grams, None)
 
     return run
 
 
-def _extend(length: int, half: int):
+def _extend(length: int, half: int, last: bool):
     """Windows of ``length`` words that contain a surviving window of ``half`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            offsets, _, grams = _windows(batch.column("text"), length)
+            offsets, flat = split_words(batch.column("text"), lower=False)
+            grams = gram_hashes(word_hashes(flat), length)
+            second = gram_hashes(word_hashes(flat, 1), length) if last else None
             rows, places = [], []
             for row, at in enumerate(batch.column("at")):
                 a, n = int(offsets[row]), int(offsets[row + 1] - offsets[row])
@@ -88,8 +102,7 @@ def _extend(length: int, half: int):
                 places.append(found + a)
                 rows.append(np.full(len(found), row))
             if rows:
-                rows, places = np.concatenate(rows), np.concatenate(places)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[places])), batch.column("row_id").take(pa.array(rows)), batch.column("doc_id").take(pa.array(rows)), pa.array((places - offsets[rows]).astype(np.int32))], ["gram", "row_id", "doc_id", "at"])
+                yield _emit(batch, offsets, rows, places, grams, second)
 
     return run
 
@@ -143,38 +156,45 @@ class SubstringDedup:
             raise ValueError("length must be even and at least 4")
         self.ws, self.length = Workspace(docs.sparkSession, "substring-dedup"), length
         self.kind = docs.schema["doc_id"].dataType.simpleString()
-        # rows are told apart by a hash of id and text: equal rows have equal results
-        self.docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_id"))
+        # rows are told apart by a key of id and text: equal rows have equal results
+        self.docs = docs.select("doc_id", "text", row_key().alias("row_id"))
 
-    def _places(self, found: DataFrame) -> tuple[DataFrame, int]:
+    def _places(self, found: DataFrame) -> DataFrame:
         """Documents (row_id, doc_id, text) with the positions ``at`` of ``found``; each is gathered by its own row only."""
         per_row = self.ws.table("places", found.groupBy("row_id").agg(F.sort_array(F.collect_set("at")).alias("at")))
-        n = per_row.count()
-        texts = restrict(self.docs, per_row.select("row_id"), n, "row_id").dropDuplicates(["row_id"])
-        return texts.join(per_row, "row_id"), n
+        texts = restrict(self.docs, per_row.select("row_id"), per_row.count(), "row_id").dropDuplicates(["row_id"])
+        return texts.join(per_row, "row_id")
+
+    def _repeated(self, level: DataFrame, on: str) -> DataFrame:
+        """(on, low, n) of windows that stand in two documents or more: the smallest id and the number of windows."""
+        seen = level.groupBy(on).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+        return self.ws.table("repeated", seen.filter("low != high").select(on, "low", "n"))
 
     def windows(self) -> DataFrame:
         """(row_id, at): starts of windows whose words also start in a document with a smaller id."""
-        schema = f"gram bigint, row_id bigint, doc_id {self.kind}, at int"
-        level = self.ws.table("level", self.docs.filter("doc_id IS NOT NULL").mapInArrow(_anchors(self.length), schema))
-        span = level.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("gram")
-        held, n = self._places(level.join(span, "gram", "left_semi"))
-        if not n:
-            return level.select("row_id", "at").limit(0)
-        # the doubled level; ``low`` decides who keeps the words
-        doubled = self.ws.table("doubled", held.mapInArrow(_extend(self.length, self.length // 2), schema))
-        self.ws.drop(level)
-        low = doubled.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high").select("gram", "low")
-        found = self.ws.table("found", doubled.join(low, "gram").filter("doc_id > low").groupBy("row_id").agg(F.sort_array(F.collect_set("at")).alias("at")))
-        self.ws.drop(doubled)
-        return found.select("row_id", F.explode("at").alias("at"))
+        schema = f"gram bigint, check bigint, row_id binary, doc_id {self.kind}, at int"
+        width = first_level(self.length)
+        level = self.ws.table("level", self.docs.filter("doc_id IS NOT NULL").mapInArrow(tidy(_anchors(width, 2 * width)), schema))
+        while width < self.length:
+            survivors = join_hot(level, self._repeated(level, "gram"), "gram").select("row_id", "at")
+            held = self._places(survivors)
+            self.ws.drop(level)
+            last = 2 * width == self.length
+            level = self.ws.table("level", held.mapInArrow(tidy(_extend(2 * width, width, last)), schema))
+            width *= 2
+            if level.isEmpty():
+                return level.select("row_id", "at")
+        # ``low`` decides who keeps the words
+        level = level.withColumn("window", F.struct("gram", "check"))
+        found = join_hot(level, self._repeated(level, "window"), "window").filter("doc_id > low")
+        return self.ws.table("found", found.select("row_id", "at"))
 
     def report(self) -> DataFrame:
         """Per document: doc_id, n_words, n_removed, kept_sha256."""
-        whole = self.docs.mapInArrow(_words_only, f"row_id bigint, doc_id {self.kind}, n_words bigint, kept_sha256 string")
-        held, _ = self._places(self.windows())
-        cut = held.mapInArrow(_cover(self.length, False), "row_id bigint, n_removed bigint, kept_sha256 string").withColumnRenamed("kept_sha256", "cut_sha256")
-        return whole.join(cut, "row_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
+        whole = self.docs.mapInArrow(tidy(_words_only), f"row_id binary, doc_id {self.kind}, n_words bigint, kept_sha256 string")
+        cut = self._places(self.windows()).mapInArrow(tidy(_cover(self.length, False)), "row_id binary, n_removed bigint, kept_sha256 string").withColumnRenamed("kept_sha256", "cut_sha256")
+        cut = self.ws.table("cut", cut)
+        return whole.join(bounded(cut), "row_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
 
 
 def find_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
@@ -184,11 +204,9 @@ def find_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
     """The documents with repeated words cut from their texts; texts without repeats stay as they are."""
     run = SubstringDedup(docs, length=length)
-    held, _ = run._places(run.windows())
-    cut = held.mapInArrow(_cover(length, True), "row_id bigint, n_removed bigint, kept_sha256 string, text string").select("row_id", F.col("text").alias("cut_text"))
-    names = docs.columns
-    joined = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(cut.withColumnRenamed("row_id", "__row"), "__row", "left")
-    return joined.select(*[F.coalesce("cut_text", "text").alias("text") if c == "text" else docs[c] for c in names])
+    cut = run._places(run.windows()).mapInArrow(tidy(_cover(length, True)), "row_id binary, n_removed bigint, kept_sha256 string, text string").select("row_id", F.col("text").alias("cut"))
+    held = docs.select(F.struct("*").alias("doc"), row_key().alias("row_id")).join(cut, "row_id", "left")
+    return held.select(*[(F.coalesce("cut", "doc.text") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

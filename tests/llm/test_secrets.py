@@ -78,3 +78,21 @@ def test_merging_shrinks_the_prefix_tree():
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_credentials_of_other_formats_and_without_digits_are_found():
+    rng, scanner = random.Random(99), secrets.SecretScanner()
+    letters = secrets.UPPER + secrets.LOWER_HEX + secrets.LOWER
+    draw = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    formats = {
+        "known prefix, letters alone": lambda: "ghp_" + draw(letters, 36),
+        "base 64, letters alone": lambda: draw(letters, 40),
+        "unknown prefix": lambda: "npm_" + draw(letters + secrets.DIGITS, 36),
+        "two parts": lambda: "SG." + draw(letters + secrets.DIGITS, 22) + "." + draw(letters + secrets.DIGITS, 43),
+        "behind a path": lambda: "src/main/AIza" + draw(letters + secrets.DIGITS + "-_", 35),
+    }
+    for name, make in formats.items():
+        found = sum(any(k == 3 for _, k, _ in scanner.spans(f"see {make()} there")) for _ in range(100))
+        assert found >= 90, (name, found)
+    prose = "Internationalization/responsibilities characteristically_misunderstood Geschwindigkeitsbegrenzungen www.example.org/some/longer/path"
+    assert scanner.spans(prose) == []

@@ -56,7 +56,9 @@ class PositionalIndex:
     def __init__(self, docs: DataFrame, terms: DataFrame):
         self.ws = Workspace(docs.sparkSession, "positional-index")
         known = self.ws.table("terms", terms.select("term").union(docs.sparkSession.range(1).select(F.lit(END))).distinct())
-        flat = docs.select(row_key().alias("key"), "doc_id", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "term"))
+        # key and words are made before the words are dealt out, once a row
+        split = docs.select(row_key().alias("key"), "doc_id", F.concat(words(F.col("text")), F.array(F.lit(END))).alias("words"))
+        flat = split.select("key", "doc_id", F.posexplode("words").alias("pos", "term"))
         held = flat.join(bounded(known, F.col("term")), "term", "left_semi")
         self.table = self.ws.table("postings", held.select("term", "key", "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")))
         self.postings = self.table.filter(F.col("term") != END).select("term", "key", "pos")

@@ -4,10 +4,11 @@ Base patterns find assignments, access keys and long hex runs. Beside them,
 each labelled credential format is learned as a probabilistic automaton: the
 format's strings form a prefix tree with counts, and states whose futures are
 statistically compatible (Hoeffding bound on every outgoing frequency) are
-merged, red-blue order, folding subtrees together. Every long run of credential
-characters is scored by the log-likelihood ratio, per symbol, of the likeliest
-format against a character model of ordinary tokens; above the threshold it is
-a finding of kind ``grammar``. Symbols are the literal character at the first
+merged, red-blue order, folding subtrees together. Every run of 16 credential
+characters or more is scored, from its start and from behind each joint (one of
+``/ . = _``) inside it, by the log-likelihood ratio, per symbol, of the likeliest
+format against a character model of ordinary tokens; the best start above the
+threshold is a finding of kind ``grammar``. Symbols are the literal character at the first
 positions (where formats carry their marks) and the character's class behind.
 
 One pass over the documents, no shuffle; the automata are small and fixed.
@@ -31,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm.common import pieces
+from weftgraph.llm.common import pieces, tidy
 
 #: The base kinds in their order, with the least length of the part that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -39,7 +40,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "grammar")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
+LEAST_RUN = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Where one token of a run may end and another begin.
+JOINT = re.compile(r"[/.=_]+")
 #: What any finding holds; RE2 decides with it which texts are scanned at all.
 ANY = r"""[0-9a-f]{24}|AKIA[A-Z0-9]{16}|(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|[A-Za-z0-9+/_.=-]{16}"""
 
@@ -209,8 +213,12 @@ class SecretScanner:
         for m in CANDIDATE.finditer(text):
             token = m[0].rstrip(".=-_/")
             a, b = m.start(), m.start() + len(token)
-            if len(token) >= 16 and not ((i := bisect_right(starts, a)) and b <= ends[i - 1]) and any(c in DIGITS for c in token) and any(c not in DIGITS for c in token) and self.score(token)[0] >= self.threshold:
-                out.append((a, 3, b))
+            if len(token) < LEAST_RUN or ((i := bisect_right(starts, a)) and b <= ends[i - 1]):
+                continue
+            tails = [0, *(j.end() for j in JOINT.finditer(token) if len(token) - j.end() >= LEAST_RUN)]
+            best, at = max((self.score(token[t:])[0], -t) for t in tails)
+            if best >= self.threshold:
+                out.append((a - at, 3, b))
         return sorted(out)
 
 
@@ -237,7 +245,7 @@ def scan(docs: DataFrame, scanner: SecretScanner | None = None) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,15 @@ no payload. Records go through Spark's text writer, whose line separator is the
 blank line pair that ends a WARC record, so every part file is an archive on
 any file system that Spark writes to.
 
+Each record has the fields that WARC 1.1 asks for (date, target URI where the
+page has one, profile of a revisit); ``WARC-Payload-Length`` is an extension that
+tells the length a revisit leaves out.
+
 Reading: the files are split at every occurrence of the record magic, wherever
 it stands, so tasks of one file work apart. Each piece has an offset from the
-summed lengths before it. A piece that looks like a record emits its offset and
+summed lengths before it. The pieces and their order are read once and written
+to the shared folder, so that every later step sees the same numbering, however
+the executors come and go. A piece that looks like a record emits its offset and
 the offset its header names as its successor; a payload that holds the magic
 (even a whole embedded record) emits a candidate too. Pointer jumping from
 offset 0 of each file, doubling the distance each round, keeps only the
@@ -27,12 +33,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace, restrict, without
+from weftgraph.llm.common import Workspace, bounded, restrict, without
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
-#: Rows of (page id, page id) that may be broadcast while writing.
-BROADCAST_REVISITS = 1_000_000
 
 
 def _payload() -> Column:
@@ -46,19 +50,25 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
     return digests.join(first.select("sha", "refers_to"), "sha").filter("NOT page_id <=> refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
-def records(pages: DataFrame, least: int) -> DataFrame:
+#: Fixed value: the profile of a revisit that has the same payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def records(pages: DataFrame, least: int, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """One string per page: the WARC header block, a blank line and the payload."""
     ws = Workspace(pages.sparkSession, "warc-write")
     again = ws.table("revisits", revisits(pages, least))
-    again = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
+    again = bounded(again, F.col("sha"))
     sha = F.sha2(_payload(), 256)
-    p = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"), sha.alias("digest"))
+    url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "") if "url" in pages.columns else F.lit(None).cast("string")
+    p = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"), sha.alias("digest"), url.alias("uri"))
     r = again.select(F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), "refers_to")
     p = p.join(r, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_sha")), "left")
     revisit = F.col("r_sha").isNotNull()
     size = F.octet_length("html")
     header = [
         F.lit(MAGIC), F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nContent-Type: text/html; charset=utf-8"),
+        F.lit(f"\r\nWARC-Date: {date}"), F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), "uri"), F.lit("")), F.when(revisit, f"\r\nWARC-Profile: {PROFILE}").otherwise(""),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nWARC-Payload-Length: "), size.cast("string"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Length: "), F.when(revisit, "0").otherwise(size.cast("string")), F.lit(END), F.when(revisit, "").otherwise(F.col("html")),
@@ -89,7 +99,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Reached records: page_id, record_type, digest, length, refers_to, payload."""
     ws = Workspace(spark, "warc-read")
-    raw = _pieces(spark, path)
+    raw = ws.table("raw", _pieces(spark, path))
     has_end = F.instr("value", END) > 0
     head = F.substring_index("value", END, 1)
     length = F.when(F.col("length").rlike("^[0-9]{1,15}$"), F.col("length").cast("bigint"))

@@ -27,7 +27,7 @@ BROADCAST_BYTES = 16 << 20
 HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 #: Bytes of one Arrow batch between the JVM and a Python worker.
-ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _R = 0x9E3779B97F4A7C15 | 1

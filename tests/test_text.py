@@ -81,3 +81,8 @@ def test_chunk_keeps_other_types(spark):
     rows = {r.doc_trace_id: r for r in sp.chunk(docs).collect()}
     assert rows["a"].content == "one two" and rows["a"].length == 2
     assert rows["b"].type == "image" and '"img_path":"g"' in rows["b"].metadata
+
+
+def test_rows_without_a_type_stay(spark):
+    docs = spark.createDataFrame([("a", None, "one two")], "_trace_id string, type string, content string")
+    assert [(r.doc_trace_id, r.content) for r in sp.chunk(docs).collect()] == [("a", "one two")]

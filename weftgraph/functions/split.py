@@ -151,14 +151,14 @@ def split_udf(by_language: dict[str, Splitter]):
 def chunk(docs: DataFrame, *, size: int = 1024, overlap: int = 100, splitters: dict[str, Splitter] | None = None, length: Callable[[Column], Column] = tx.token_count) -> DataFrame:
     """Rows (doc_trace_id, ord, content, type, language, length, metadata) from documents.
 
-    Text rows are split by language; rows of other types pass as one chunk with
-    their further columns in ``metadata`` (a JSON string).
+    Text rows are split by language; rows of other types or without one pass as
+    one chunk with their further columns in ``metadata`` (a JSON string).
     """
     splitters = splitters or {"en": recursive(size, overlap), "zh": chinese(size, overlap)}
     rest = [c for c in docs.columns if c not in ("content", "type", "_trace_id")]
     base = docs.select(F.col("_trace_id").alias("doc_trace_id"), "type", "content", F.to_json(F.struct(*rest) if rest else F.struct(F.lit(None).cast("string").alias("none"))).alias("metadata"))
     text = base.filter("type = 'text'").withColumn("language", tx.main_language(F.coalesce("content", F.lit(""))))
     text = text.withColumn("parts", split_udf(splitters)("content", "language")).select("doc_trace_id", F.posexplode("parts").alias("ord", "content"), "type", "language", "metadata")
-    other = base.filter("type != 'text'").select("doc_trace_id", F.lit(0).alias("ord"), "content", "type", F.lit("").alias("language"), "metadata")
+    other = base.filter("type IS NULL OR type != 'text'").select("doc_trace_id", F.lit(0).alias("ord"), "content", "type", F.lit("").alias("language"), "metadata")
     out = text.unionByName(other).withColumn("length", length(F.col("content")))
     return out.withColumn("_trace_id", F.concat(F.lit("chunk-"), F.md5(F.concat_ws("|", "doc_trace_id", F.col("ord").cast("string"), "content"))))

@@ -51,6 +51,10 @@ class Component:
         return 0 if x is None or x != x else int(x)
 
 
+#: Entity types that are modalities of their own.
+SHOWN = ("image", "table", "video")
+
+
 def _shuffled(units: list, seed: int) -> list:
     return sorted(units, key=lambda u: hashlib.md5(f"{seed}|{u}".encode()).digest())
 
@@ -144,8 +148,10 @@ def grow_anchors(c: Component, most: int, least: int, types: tuple[str, ...], id
             else:
                 nodes.append(unit)
                 todo.extend(k for n in c.near[unit] if (k := c.key(unit, n)) not in used)
-        kinds = " ".join(str(c.node[n].get("entity_type") or "").lower() for n in nodes)
-        if len(nodes) + len(edges) >= least and all(m.lower() in kinds for m in modalities):
+        kinds = [str(c.node[n].get("entity_type") or "").lower() for n in nodes]
+        # whatever isn't shown counts as text
+        has = lambda m: any(m in k for k in kinds) or m == "text" and any(k not in SHOWN for k in kinds)  # noqa: B023, E731
+        if len(nodes) + len(edges) >= least and all(has(m.lower()) for m in modalities):
             taken.update(nodes)
             yield start, nodes, edges
 

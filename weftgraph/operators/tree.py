@@ -32,7 +32,7 @@ def _title(line: str) -> bool:
 
 def _image(line: str) -> str | None:
     if m := _MARK_IMAGE.match(line):
-        return m[1].split()[0]
+        return m[1] if m[1] and not re.search(r"\s", m[1]) else None
     return m[1] if (m := _HTML_IMAGE.search(line)) else None
 
 

@@ -24,7 +24,7 @@ BROADCAST_ROWS = 250_000
 #: Bytes of strings that may be broadcast beside that.
 BROADCAST_BYTES = 16 << 20
 #: A key is hot from this many rows on, and from this share of all rows on (so at most as many keys are hot).
-HOT_ROWS, HOT_KEYS = 1000, 100_000
+HOT_ROWS, HOT_KEYS = 1000, 2000
 
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
@@ -93,7 +93,7 @@ class Workspace:
             pass
 
 
-def restrict(df: DataFrame, ids: DataFrame, n: int, on: str) -> DataFrame:
+def restrict(df: DataFrame, ids: DataFrame, n: int, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (distinct keys, ``n`` of them).
 
     The keys are broadcast only when their counted number is within
@@ -114,7 +114,7 @@ def bounded(df: DataFrame, *texts: Column) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per key and the key's number of rows, ``n``.
 
     Rows of hot keys never meet in one task: those keys are at most

@@ -36,7 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace, bounded, gram_hashes, join_hot, pieces, restrict, row_key, signed, split_words, tidy, word_hashes
+from weftgraph.llm.common import Workspace, bounded, gram_hashes, join_hot, pieces, restrict, signed, split_words, tidy, word_hashes
+
+#: What tells the rows of documents apart.
+ROW = ["row_id", "doc_id"]
 
 
 def first_level(length: int) -> int:
@@ -139,8 +142,8 @@ def _cover(length: int, with_text: bool):
             sums = np.concatenate([[0], np.cumsum(~keep)])
             removed = sums[offsets[1:]] - sums[offsets[:-1]]
             texts = list(_joined(flat, offsets, keep))
-            arrays = [batch.column("row_id"), pa.array(removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            names = ["row_id", "n_removed", "kept_sha256"]
+            arrays = [batch.column("row_id"), batch.column("doc_id"), pa.array(removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+            names = ["row_id", "doc_id", "n_removed", "kept_sha256"]
             if with_text:
                 arrays, names = [*arrays, pa.array([t.decode("utf-8", "replace") for t in texts])], [*names, "text"]
             yield pa.RecordBatch.from_arrays(arrays, names)
@@ -156,45 +159,45 @@ class SubstringDedup:
             raise ValueError("length must be even and at least 4")
         self.ws, self.length = Workspace(docs.sparkSession, "substring-dedup"), length
         self.kind = docs.schema["doc_id"].dataType.simpleString()
-        # rows are told apart by a key of id and text: equal rows have equal results
-        self.docs = docs.select("doc_id", "text", row_key().alias("row_id"))
+        # rows are told apart by their id and a hash of id and text: equal rows have equal results
+        self.docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_id"))
 
     def _places(self, found: DataFrame) -> DataFrame:
         """Documents (row_id, doc_id, text) with the positions ``at`` of ``found``; each is gathered by its own row only."""
-        per_row = self.ws.table("places", found.groupBy("row_id").agg(F.sort_array(F.collect_set("at")).alias("at")))
-        texts = restrict(self.docs, per_row.select("row_id"), per_row.count(), "row_id").dropDuplicates(["row_id"])
-        return texts.join(per_row, "row_id")
+        per_row = self.ws.table("places", found.groupBy(*ROW).agg(F.sort_array(F.collect_set("at")).alias("at")))
+        texts = restrict(self.docs, per_row.select(*ROW), per_row.count(), ROW).dropDuplicates(ROW)
+        return texts.join(per_row, ROW)
 
-    def _repeated(self, level: DataFrame, on: str) -> DataFrame:
+    def _repeated(self, level: DataFrame, on: list[str]) -> DataFrame:
         """(on, low, n) of windows that stand in two documents or more: the smallest id and the number of windows."""
-        seen = level.groupBy(on).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-        return self.ws.table("repeated", seen.filter("low != high").select(on, "low", "n"))
+        seen = level.groupBy(*on).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+        return self.ws.table("repeated", seen.filter("low != high").select(*on, "low", "n"))
 
     def windows(self) -> DataFrame:
         """(row_id, at): starts of windows whose words also start in a document with a smaller id."""
-        schema = f"gram bigint, check bigint, row_id binary, doc_id {self.kind}, at int"
+        schema = f"gram bigint, check bigint, row_id bigint, doc_id {self.kind}, at int"
         width = first_level(self.length)
         level = self.ws.table("level", self.docs.filter("doc_id IS NOT NULL").mapInArrow(tidy(_anchors(width, 2 * width)), schema))
         while width < self.length:
-            survivors = join_hot(level, self._repeated(level, "gram"), "gram").select("row_id", "at")
+            survivors = join_hot(level, self._repeated(level, ["gram"]), ["gram"]).select(*ROW, "at")
             held = self._places(survivors)
             self.ws.drop(level)
             last = 2 * width == self.length
             level = self.ws.table("level", held.mapInArrow(tidy(_extend(2 * width, width, last)), schema))
             width *= 2
             if level.isEmpty():
-                return level.select("row_id", "at")
+                return level.select(*ROW, "at")
         # ``low`` decides who keeps the words
-        level = level.withColumn("window", F.struct("gram", "check"))
-        found = join_hot(level, self._repeated(level, "window"), "window").filter("doc_id > low")
-        return self.ws.table("found", found.select("row_id", "at"))
+        window = ["gram", "check"]
+        found = join_hot(level, self._repeated(level, window), window).filter("doc_id > low")
+        return self.ws.table("found", found.select(*ROW, "at"))
 
     def report(self) -> DataFrame:
         """Per document: doc_id, n_words, n_removed, kept_sha256."""
-        whole = self.docs.mapInArrow(tidy(_words_only), f"row_id binary, doc_id {self.kind}, n_words bigint, kept_sha256 string")
-        cut = self._places(self.windows()).mapInArrow(tidy(_cover(self.length, False)), "row_id binary, n_removed bigint, kept_sha256 string").withColumnRenamed("kept_sha256", "cut_sha256")
+        whole = self.docs.mapInArrow(tidy(_words_only), f"row_id bigint, doc_id {self.kind}, n_words bigint, kept_sha256 string")
+        cut = self._places(self.windows()).mapInArrow(tidy(_cover(self.length, False)), f"row_id bigint, doc_id {self.kind}, n_removed bigint, kept_sha256 string").withColumnRenamed("kept_sha256", "cut_sha256")
         cut = self.ws.table("cut", cut)
-        return whole.join(bounded(cut), "row_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
+        return whole.join(bounded(cut), ROW, "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
 
 
 def find_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
@@ -204,8 +207,8 @@ def find_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
     """The documents with repeated words cut from their texts; texts without repeats stay as they are."""
     run = SubstringDedup(docs, length=length)
-    cut = run._places(run.windows()).mapInArrow(tidy(_cover(length, True)), "row_id binary, n_removed bigint, kept_sha256 string, text string").select("row_id", F.col("text").alias("cut"))
-    held = docs.select(F.struct("*").alias("doc"), row_key().alias("row_id")).join(cut, "row_id", "left")
+    cut = run._places(run.windows()).mapInArrow(tidy(_cover(length, True)), f"row_id bigint, doc_id {run.kind}, n_removed bigint, kept_sha256 string, text string").select(*ROW, F.col("text").alias("cut"))
+    held = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64("doc_id", "text").alias("row_id")).join(cut, ROW, "left")
     return held.select(*[(F.coalesce("cut", "doc.text") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 

@@ -41,31 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- graphs from the tables
 
 
-def kg_tables(spark: SparkSession, d: str, parts: bool = True) -> tuple[DataFrame, DataFrame]:
+def kg_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = lambda n: table(spark, d, n)
-    node = lambda df, p, k, kind, text: df.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.lit(kind).alias("entity_type"), F.col(text).alias("description"))
-    nodes = node(t("region"), "R", "r_regionkey", "REGION", "r_name").unionByName(node(t("nation"), "N", "n_nationkey", "NATION", "n_name")).unionByName(node(t("supplier"), "S", "s_suppkey", "SUPPLIER", "s_name"))
+    node = lambda n, p, k, kind, text: t(n).select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.lit(kind).alias("entity_type"), F.col(text).alias("description"))
+    nodes = node("region", "R", "r_regionkey", "REGION", "r_name").unionByName(node("nation", "N", "n_nationkey", "NATION", "n_name")).unionByName(node("supplier", "S", "s_suppkey", "SUPPLIER", "s_name"))
+    nodes = nodes.unionByName(node("customer", "C", "c_custkey", "CUSTOMER", "c_name")).unionByName(node("part", "P", "p_partkey", "PART", "p_name"))
     edge = lambda df, a, x, b, y, kind, conf: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"), F.lit(kind).alias("relation_type"), conf.alias("confidence"))
     one = F.lit(1.0)
     edges = edge(t("nation"), "N", "n_nationkey", "R", "n_regionkey", "in_region", one).unionByName(edge(t("supplier"), "S", "s_suppkey", "N", "s_nationkey", "in_nation", one))
-    if parts:
-        nodes = nodes.unionByName(node(t("customer"), "C", "c_custkey", "CUSTOMER", "c_name")).unionByName(node(t("part"), "P", "p_partkey", "PART", "p_name"))
-        edges = edges.unionByName(edge(t("customer"), "C", "c_custkey", "N", "c_nationkey", "in_nation", one))
-        sold = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.round(F.avg("l_discount") * 10, 6).alias("confidence"))
-        edges = edges.unionByName(edge(sold, "S", "l_suppkey", "P", "l_partkey", "supplies", F.col("confidence")))
-    return nodes, graph.canonical(edges)
+    edges = edges.unionByName(edge(t("customer"), "C", "c_custkey", "N", "c_nationkey", "in_nation", one))
+    sold = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.round(F.avg("l_discount") * 10, 6).alias("confidence"))
+    return nodes, graph.canonical(edges.unionByName(edge(sold, "S", "l_suppkey", "P", "l_partkey", "supplies", F.col("confidence"))))
 
 
-KG_SMALL = """
-nodes AS (
-  SELECT 'R' || r_regionkey AS id, 'REGION' AS entity_type, r_name AS description FROM region
-  UNION ALL SELECT 'N' || n_nationkey, 'NATION', n_name FROM nation
-  UNION ALL SELECT 'S' || s_suppkey, 'SUPPLIER', s_name FROM supplier
-), raw AS (
-  SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, 'in_region' AS relation_type, 1.0::DOUBLE AS confidence FROM nation
-  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'in_nation', 1.0::DOUBLE FROM supplier
-), edges AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, relation_type, confidence FROM raw)
-"""
 KG = """
 nodes AS (
   SELECT 'R' || r_regionkey AS id, 'REGION' AS entity_type, r_name AS description FROM region
@@ -114,10 +102,19 @@ def graph_counts(spark, d):
     return graph.counts(*kg_tables(spark, d))
 
 
-@query(f"WITH {KG_SMALL}, sym AS (SELECT src AS id, dst AS other FROM edges UNION SELECT dst, src FROM edges), one AS (SELECT id AS seed, other AS id FROM sym), two AS (SELECT DISTINCT one.seed, sym.other AS id FROM one JOIN sym ON one.id = sym.id) SELECT id AS seed, id, 0 AS distance FROM nodes UNION ALL SELECT seed, id, 1 FROM one UNION ALL SELECT seed, id, 2 FROM two WHERE seed <> id AND (seed, id) NOT IN (SELECT seed, id FROM one)")
+#: Nodes within two hops of the ``seeds`` (seed), as a table ``near``.
+TWO_HOPS = """
+one AS MATERIALIZED (SELECT DISTINCT seed, other AS id FROM seeds JOIN sym ON seed = sym.id),
+two AS (SELECT DISTINCT one.seed, sym.other AS id FROM one JOIN sym ON one.id = sym.id),
+near AS (SELECT seed, seed AS id, 0 AS distance FROM seeds UNION ALL SELECT seed, id, 1 FROM one UNION ALL SELECT seed, id, 2 FROM two ANTI JOIN one USING (seed, id) WHERE seed <> id)
+"""
+
+
+@query(f"WITH {KG}, seeds AS (SELECT id AS seed FROM nodes WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0), {TWO_HOPS} SELECT seed, id, distance FROM near")
 def neighbors_2hop(spark, d):
-    nodes, edges = kg_tables(spark, d, parts=False)
-    return graph.k_hop(edges, nodes.select(F.col("id").alias("seed")), 2)
+    """A search: the nodes whose number is divisible by 50 against the whole graph."""
+    nodes, edges = kg_tables(spark, d)
+    return graph.k_hop(edges, nodes.filter("cast(substring(id, 2) AS bigint) % 50 = 0").select(F.col("id").alias("seed")), 2)
 
 
 #: Smallest label of the neighbours, twelve times over; no two nodes of this schema's graph are further apart.
@@ -169,9 +166,10 @@ def structure_eval(spark, d):
     return s.select("total_nodes", "total_edges", *[F.round(c, 6).alias(c) for c in ("noise_ratio", "avg_degree", "powerlaw_r2")])
 
 
-@query(f"WITH {KG_SMALL}, e AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges) SELECT e1.x AS a, e1.y AS b, e2.y AS c, e3.y AS d FROM e e1 JOIN e e2 ON e1.y = e2.x JOIN e e3 ON e2.y = e3.x WHERE e2.y <> e1.x AND e3.y <> e1.x AND e3.y <> e1.y")
+@query(f"WITH {KG}, e AS (SELECT src AS x, dst AS y FROM edges WHERE relation_type <> 'supplies' UNION SELECT dst, src FROM edges WHERE relation_type <> 'supplies') SELECT e1.x AS a, e1.y AS b, e2.y AS c, e3.y AS d FROM e e1 JOIN e e2 ON e1.y = e2.x JOIN e e3 ON e2.y = e3.x WHERE e2.y <> e1.x AND e3.y <> e1.x AND e3.y <> e1.y")
 def simple_paths_3(spark, d):
-    return baselines.simple_paths(kg_tables(spark, d, parts=False)[1])
+    """Over the relations of place; with sales the paths would be hubs cubed."""
+    return baselines.simple_paths(kg_tables(spark, d)[1].filter("relation_type != 'supplies'"))
 
 
 @query("SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey < 5 THEN 'changed' ELSE n_name END AS description FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 'N99', 'changed'")
@@ -181,9 +179,9 @@ def graph_upsert_delete(spark, d):
     return graph.delete_nodes(graph.upsert_nodes(nodes, new), spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([("N7",)], "id string"))[0]
 
 
-@query(f"WITH {KG_SMALL} SELECT 'N' || n_nationkey AS community_id, string_agg(id, ',' ORDER BY id) AS members, CAST(count(*) AS INTEGER) AS n FROM nation JOIN nodes ON id IN ('N' || n_nationkey, 'R' || n_regionkey) GROUP BY n_nationkey")
+@query(f"WITH {KG} SELECT 'N' || n_nationkey AS community_id, string_agg(id, ',' ORDER BY id) AS members, CAST(count(*) AS INTEGER) AS n FROM nation JOIN nodes ON id IN ('N' || n_nationkey, 'R' || n_regionkey) GROUP BY n_nationkey")
 def community_payloads(spark, d):
-    nodes, edges = kg_tables(spark, d, parts=False)
+    nodes, edges = kg_tables(spark, d)
     pair = F.struct(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("dst"))
     c = table(spark, d, "nation").select(pair["dst"].alias("community_id"), F.array(pair["dst"], pair["src"], F.lit("X404")).alias("nodes"), F.array(pair).alias("edges"))
     out = graph.community_payloads(c, nodes, edges).filter("size(edges) = 1")
@@ -380,9 +378,9 @@ def entropy_loss(spark, d):
     return t.select("user_id", F.round(cf.entropy_loss(dist, F.transform("tokens", lambda x: F.lit("yes"))), 6).alias("loss"))
 
 
-@query(f"WITH {KG_SMALL} SELECT id, round(CASE WHEN entity_type = 'REGION' THEN 0.25 ELSE -ln(0.1) END, 6) AS loss FROM nodes")
+@query(f"WITH {KG} SELECT id, round(CASE WHEN entity_type = 'REGION' THEN 0.25 ELSE -ln(0.1) END, 6) AS loss FROM nodes")
 def default_losses(spark, d):
-    nodes = kg_tables(spark, d, parts=False)[0]
+    nodes = kg_tables(spark, d)[0]
     return evaluate.set_losses(nodes, nodes.filter("entity_type = 'REGION'").select(F.col("id").alias("unit"), F.lit(0.25).alias("loss"))).select("id", F.round("loss", 6).alias("loss"))
 
 
@@ -566,26 +564,31 @@ def tree_chunks(spark, d):
     return tree.chunk_tree(_tree(table(spark, d, "documents"))).select("doc_id", "chunk_id", "type", "path", "length")
 
 
-@query(f"WITH {KG_SMALL}, sym AS (SELECT src AS id, dst AS other FROM edges UNION SELECT dst, src FROM edges), near AS (SELECT id AS seed, id, 0 AS distance FROM nodes WHERE entity_type = 'REGION' UNION ALL SELECT n.id, s.other, 1 FROM nodes n JOIN sym s ON n.id = s.id WHERE entity_type = 'REGION'), r AS (SELECT seed, id, round(0.6 - 0.1 * distance, 6) AS score FROM near) SELECT seed, id, score, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM r")
+def _regions(nodes):
+    return nodes.filter("entity_type = 'REGION'").select(F.col("id").alias("seed"))
+
+
+@query(f"WITH {KG}, seeds AS (SELECT id AS seed FROM nodes WHERE entity_type = 'REGION'), {TWO_HOPS}, r AS (SELECT seed, id, round(0.6 - 0.1 * distance, 6)::DOUBLE AS score FROM near) SELECT seed, id, score, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM r")
 def neighborhood_rank(spark, d):
-    nodes, edges = kg_tables(spark, d, parts=False)
-    near = graph.k_hop(edges, nodes.filter("entity_type = 'REGION'").select(F.col("id").alias("seed")), 1)
-    return sample.rank_nodes(near, nodes.withColumn("evidence_span", F.lit(""))).select("seed", "id", "score", "rank")
+    nodes, edges = kg_tables(spark, d)
+    return sample.rank_nodes(graph.k_hop(edges, _regions(nodes), 2), nodes.withColumn("evidence_span", F.lit(""))).select("seed", "id", "score", "rank")
 
 
-@query(f"WITH {KG_SMALL}, sym AS (SELECT src AS id, dst AS other FROM edges UNION SELECT dst, src FROM edges) SELECT s.id AS seed, n.entity_type AS type, count(*) AS n FROM sym s JOIN nodes n ON s.other = n.id WHERE s.id LIKE 'N%' GROUP BY 1, 2 UNION ALL SELECT id, 'NATION', 1 FROM nodes WHERE entity_type = 'NATION'")
+@query(f"WITH {KG}, seeds AS (SELECT id AS seed FROM nodes WHERE entity_type = 'NATION'), {TWO_HOPS} SELECT seed, entity_type AS type, count(*) AS n FROM near JOIN nodes USING (id) GROUP BY 1, 2")
 def runtime_schema(spark, d):
-    nodes, edges = kg_tables(spark, d, parts=False)
-    near = graph.k_hop(edges, nodes.filter("entity_type = 'NATION'").select(F.col("id").alias("seed")), 1)
+    nodes, edges = kg_tables(spark, d)
+    near = graph.k_hop(edges, nodes.filter("entity_type = 'NATION'").select(F.col("id").alias("seed")), 2)
     return sample.runtime_schema(near, nodes).select("seed", "type", "n")
 
 
-@query(f"WITH {KG_SMALL}, sym AS (SELECT src AS a, dst AS b, relation_type FROM edges UNION SELECT dst, src, relation_type FROM edges) SELECT a AS seed, b AS id, 0.12 AS score FROM sym WHERE a LIKE 'R%'")
+@query(f"WITH {KG}, seeds AS (SELECT id AS seed FROM nodes WHERE entity_type = 'REGION'), {TWO_HOPS} SELECT seed, id, CASE WHEN entity_type = 'SUPPLIER' THEN 0.2 ELSE 0.12 END::DOUBLE AS score FROM near JOIN nodes USING (id) WHERE distance = 2")
 def candidate_score(spark, d):
-    nodes, edges = kg_tables(spark, d, parts=False)
-    none = lambda f: f.withColumn("evidence_span", F.lit("")).withColumn("source_id", F.lit(""))
-    seeds = nodes.filter("entity_type = 'REGION'").select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
-    return sample.candidates(seeds, none(nodes).withColumn("metadata", F.lit("{}")), none(edges)).select("seed", "id", "score")
+    """Regions and their nations are selected, suppliers have evidence."""
+    nodes, edges = kg_tables(spark, d)
+    bare = lambda f, said: f.withColumn("evidence_span", said).withColumn("source_id", F.lit(""))
+    selected = graph.k_hop(edges, _regions(nodes), 1).withColumnRenamed("distance", "depth")
+    nodes = bare(nodes, F.when(F.col("entity_type") == "SUPPLIER", F.col("description"))).withColumn("metadata", F.lit("{}"))
+    return sample.candidates(selected, nodes, bare(edges, F.lit(""))).select("seed", "id", "score")
 
 
 @query("WITH s AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100.0 AS a, ((o_orderkey * 7) % 100) / 100.0 AS b FROM orders) SELECT id, a >= 0.68 AND b <= 0.45 AS ok FROM s")

@@ -158,12 +158,14 @@ def split_communities_all(spark, d):
     return graph.split_large(graph.components(*kg_tables(spark, d)).withColumnRenamed("component", "community"), 3)
 
 
-@query(f"""WITH {KG}, freq AS (SELECT degree, count(*) AS freq FROM deg WHERE degree > 0 GROUP BY degree), fit AS (SELECT sum(freq) AS n, count(*) AS k, regr_r2(ln(freq), ln(degree)) AS r2 FROM freq)
-SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, round((SELECT count(*) FROM deg WHERE degree = 0) / (SELECT count(*) FROM nodes), 6) AS noise_ratio,
- round((SELECT avg(degree) FROM deg), 6) AS avg_degree, round((SELECT CASE WHEN n >= 10 AND k >= 3 THEN r2 END FROM fit), 6) AS powerlaw_r2""")
+@query(f"""WITH RECURSIVE {KG}, {COMP}, freq AS (SELECT degree, count(*) AS freq FROM deg WHERE degree > 0 GROUP BY degree), fit AS (SELECT sum(freq) AS n, count(*) AS k, regr_r2(ln(freq), ln(degree)) AS r2 FROM freq),
+m AS (SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, round((SELECT count(*) FROM deg WHERE degree = 0) / (SELECT count(*) FROM nodes), 6) AS noise_ratio,
+ round((SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) / (SELECT count(*) FROM nodes), 6) AS largest_cc_ratio,
+ round((SELECT avg(degree) FROM deg), 6) AS avg_degree, round((SELECT CASE WHEN n >= 10 AND k >= 3 THEN r2 END FROM fit), 6) AS powerlaw_r2)
+SELECT *, coalesce(noise_ratio < 0.15 AND largest_cc_ratio > 0.90 AND avg_degree BETWEEN 2 AND 5 AND powerlaw_r2 > 0.75, false) AS is_robust FROM m""")
 def structure_eval(spark, d):
     s = graph.structure(*kg_tables(spark, d))
-    return s.select("total_nodes", "total_edges", *[F.round(c, 6).alias(c) for c in ("noise_ratio", "avg_degree", "powerlaw_r2")])
+    return s.select("total_nodes", "total_edges", *[F.round(c, 6).alias(c) for c in ("noise_ratio", "largest_cc_ratio", "avg_degree", "powerlaw_r2")], "is_robust")
 
 
 @query(f"WITH {KG}, e AS (SELECT src AS x, dst AS y FROM edges WHERE relation_type <> 'supplies' UNION SELECT dst, src FROM edges WHERE relation_type <> 'supplies') SELECT e1.x AS a, e1.y AS b, e2.y AS c, e3.y AS d FROM e e1 JOIN e e2 ON e1.y = e2.x JOIN e e3 ON e2.y = e3.x WHERE e2.y <> e1.x AND e3.y <> e1.x AND e3.y <> e1.y")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat, decontaminate, exact_dedup, ngram_join, packing, secrets, substring_dedup, url_filter, warc
+from weftgraph.llm import chat, decontaminate, exact_dedup, infill, ngram_join, packing, pii, resample, secrets, substring_dedup, url_filter, warc
 from weftgraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_personal_data": pii.op12_personal_data,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +26,6 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_importance_resampling": resample.ORACLE,
+    "op13_fill_in_middle": infill.ORACLE,
 }

@@ -71,6 +71,57 @@ def test_ordinary_tokens_are_left_alone(scanner):
     assert [t for t in texts if scanner.spans(t)] == []
 
 
+def best_segments(scanner, run):
+    """The stretches with the largest sum of scores, by scoring each of them whole."""
+    n = len(run)
+    starts = [i for i in range(n) if run[i] not in secrets.JOINTS and (not i or run[i - 1] in secrets.JOINTS)]
+    ends = [i for i in range(1, n + 1) if run[i - 1] not in secrets.JOINTS and (i == n or run[i] in secrets.JOINTS)]
+    best = [(0.0, [])] * (n + 1)
+    for i in range(1, n + 1):
+        best[i] = best[i - 1]
+        for a in starts if i in ends else ():
+            if i - a >= secrets.LEAST_RUN:
+                token = run[a:i]
+                x = scanner.score(token)[0] * (len(token) + 1) - scanner.threshold * (len(token) + 1) - secrets.COST + best[a][0]
+                if x > best[i][0] + 1e-9:
+                    best[i] = (x, [*best[a][1], (a, i)])
+    return best[n][1]
+
+
+def test_segments_have_the_largest_sum(scanner):
+    rng = random.Random(8)
+    fresh = [s for samples in secrets.labelled(6, seed=12).values() for s in samples]
+    words = ["src", "main", "internationalization", "2024", "readme", "x"]
+    for _ in range(150):
+        run = "".join(rng.choice(fresh if rng.random() < 0.5 else words) + rng.choice("/._-=") for _ in range(rng.randint(1, 4)))
+        assert scanner.segments(run) == best_segments(scanner, run), run
+
+
+def test_all_credentials_of_a_run_are_found(scanner):
+    rng = random.Random(3)
+    letters = secrets.UPPER + secrets.LOWER_HEX + secrets.LOWER + secrets.DIGITS
+    draw = lambda k: "".join(rng.choices(letters, k=k))
+    for _ in range(30):
+        one, two = "ghp_" + draw(36), "AIza" + draw(35)
+        found = [(a, b) for a, k, b in scanner.spans(f"{one}/{two}") if k == 3]
+        assert found == [(0, len(one)), (len(one) + 1, len(one) + 1 + len(two))]
+    for make in (lambda: f"xoxp-{rng.randint(10**10, 10**11)}-{draw(32)}", lambda: "pk_live_51" + draw(24), lambda: "sk-" + draw(48), lambda: "sk-proj-" + draw(40), lambda: "npm_" + draw(36)):
+        assert sum(any(k == 3 for _, k, _ in scanner.spans(f"use {make()} now")) for _ in range(50)) >= 45, make()
+
+
+def test_long_runs_take_time_in_proportion(scanner):
+    import time
+
+    rng = random.Random(2)
+    blob = "".join(rng.choices(secrets.UPPER + secrets.LOWER + secrets.LOWER_HEX + secrets.DIGITS + "+/", k=400_000))
+    for text in (blob, "-".join(blob[i : i + 7] for i in range(0, 200_000, 7)), "a" * 400_000):
+        began = time.time()
+        scanner.spans(text[: len(text) // 8])
+        part = time.time() - began
+        scanner.spans(text)
+        assert time.time() - began < 16 * part + 3
+
+
 def test_merging_shrinks_the_prefix_tree():
     samples = secrets.labelled()["repository token"]
     assert len(secrets.Automaton(samples).next) < 60

@@ -5,17 +5,26 @@ each labelled credential format is learned as a probabilistic automaton: the
 format's strings form a prefix tree with counts, and states whose futures are
 statistically compatible (Hoeffding bound on every outgoing frequency) are
 merged, red-blue order, folding subtrees together. Every run of 16 credential
-characters or more is scored, from its start and from behind each joint (one of
-``/ . = _``) inside it, by the log-likelihood ratio, per symbol, of the likeliest
-format against a character model of ordinary tokens; the best start above the
-threshold is a finding of kind ``grammar``. Symbols are the literal character at the first
-positions (where formats carry their marks) and the character's class behind.
+characters or more is read once from left to right by all automata. A finding
+starts at the run's start or behind a joint (one of ``/ . = _ -``) and ends at
+its end or before a joint; its score is the log-likelihood ratio of its symbols
+under one format against a character model of ordinary tokens, less a threshold
+for each symbol. The findings of kind ``grammar`` are the stretches, side by side,
+whose scores have the largest sum. For each state and format only the best
+start is carried on, so a run takes time in proportion to its symbols, whatever
+its joints. Symbols are the literal character at the first positions (where
+formats carry their marks) and the character's class behind.
+
+A finding has at least 16 symbols, which is less than any labelled format, and a
+format is given up where its own score falls ``DROP`` below zero, as no
+credential has so unlikely a part.
 
 One pass over the documents, no shuffle; the automata are small and fixed.
 
 Defined cases: a null text is empty; offsets are code points, ends exclusive; a
 grammar finding inside a base span is not reported again; repeated rows are
-scanned each; an empty table gives an empty result; further columns are ignored.
+scanned each; texts of any length are scanned whole; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,21 +52,25 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 LEAST_RUN = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Where one token of a run may end and another begin.
-JOINT = re.compile(r"[/.=_]+")
+JOINTS = frozenset("/.=_-")
+#: What each finding of a run costs, and how far below zero a format is followed.
+COST, DROP = 4.0, 40.0
 #: What any finding holds; RE2 decides with it which texts are scanned at all.
 ANY = r"""[0-9a-f]{24}|AKIA[A-Z0-9]{16}|(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|[A-Za-z0-9+/_.=-]{16}"""
 
 UPPER, LOWER_HEX, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdef", "ghijklmnopqrstuvwxyz", "0123456789"
 MARK = 4
-FLOOR = 1e-4
+#: Log-probabilities of a symbol that a state never saw, and of a literal character given its class.
+FLOOR, LITERAL = math.log(1e-4), math.log(1 / 16)
+
+
+def character_class(c: str) -> str:
+    return "d" if c in DIGITS else "h" if c in LOWER_HEX else "l" if c in LOWER else "u" if c in UPPER else c
 
 
 def symbols(token: str) -> list[str]:
     """The token's symbols: first characters themselves, then classes; the end is a symbol too."""
-    out = list(token[:MARK])
-    for c in token[MARK:]:
-        out.append("d" if c in DIGITS else "h" if c in LOWER_HEX else "l" if c in LOWER else "u" if c in UPPER else c)
-    return [*out, "$"]
+    return [*token[:MARK], *map(character_class, token[MARK:]), "$"]
 
 
 class Automaton:
@@ -129,6 +142,8 @@ class Automaton:
         self.next = [{s: place[t] for s, t in self.next[r].items()} for r in red]
         totals = [max(1, sum(self.count[r].values())) for r in red]
         self.log = [{s: math.log(n / totals[i]) for s, n in self.count[r].items()} for i, r in enumerate(red)]
+        #: (next state, log-probability) of each symbol that a state has seen
+        self.step = [{s: (self.next[i].get(s, i), x) for s, x in log.items()} for i, log in enumerate(self.log)]
 
     def loglik(self, syms: Sequence[str]) -> float:
         """Log-probability; a symbol that the state never saw costs the floor and keeps the state."""
@@ -138,7 +153,7 @@ class Automaton:
                 out += self.log[state][s]
                 state = self.next[state][s]
             else:
-                out += math.log(FLOOR)
+                out += FLOOR
         return out
 
 
@@ -152,10 +167,12 @@ class Background:
             self.pairs.update(zip(syms, syms[1:], strict=False))
             self.ones.update(syms[:-1])
 
+    def pair(self, a: str, b: str) -> float:
+        return math.log((self.pairs[a, b] + 1) / (self.ones[a] + 12))
+
     def loglik(self, token: str) -> float:
         syms = ["^", *symbols("----" + token)[MARK:]]
-        first = math.log(1 / 16) * min(MARK, len(token))  # automata see literal characters there
-        return first + sum(math.log((self.pairs[a, b] + 1) / (self.ones[a] + 12)) for a, b in zip(syms, syms[1:], strict=False))
+        return LITERAL * min(MARK, len(token)) + sum(self.pair(a, b) for a, b in zip(syms, syms[1:], strict=False))
 
 
 #: Labelled formats: (prefix, alphabet, lengths); the labelled strings are drawn from them by rule.
@@ -164,7 +181,11 @@ FORMATS = {
     "digest or key in hex": ("", LOWER_HEX + DIGITS, (32, 40, 64)),
     "repository token": ("ghp_", UPPER + LOWER_HEX + LOWER + DIGITS, (36,)),
     "payment key": ("sk_live_", UPPER + LOWER_HEX + LOWER + DIGITS, (24, 32)),
+    "publishable key": ("pk_live_", UPPER + LOWER_HEX + LOWER + DIGITS, (24, 32)),
+    "model key": ("sk-", UPPER + LOWER_HEX + LOWER + DIGITS, (32, 48)),
     "chat token": ("xoxb-", DIGITS, (11,)),
+    "user's chat token": ("xoxp-", DIGITS, (11,)),
+    "key of letters and digits": ("", UPPER + LOWER_HEX + LOWER + DIGITS, (24, 32)),
     "maps key": ("AIza", UPPER + LOWER_HEX + LOWER + DIGITS + "-_", (35,)),
     "secret in base 64": ("", UPPER + LOWER_HEX + LOWER + DIGITS + "+/", (40,)),
     "web token": ("eyJ", UPPER + LOWER_HEX + LOWER + DIGITS + "-_", (60, 90)),
@@ -186,7 +207,8 @@ def labelled(n: int = 60, seed: int = 5) -> dict[str, list[str]]:
     out = {}
     for name, (prefix, alphabet, lengths) in FORMATS.items():
         out[name] = [prefix + "".join(rng.choices(alphabet, k=lengths[i % len(lengths)])) for i in range(n)]
-    out["chat token"] = [f"{x}-{''.join(rng.choices(UPPER + LOWER + DIGITS, k=24))}" for x in out["chat token"]]
+    for name in ("chat token", "user's chat token"):
+        out[name] = [f"{x}-{''.join(rng.choices(UPPER + LOWER + DIGITS, k=24))}" for x in out[name]]
     return out
 
 
@@ -201,6 +223,63 @@ class SecretScanner:
         syms, base = symbols(token), self.background.loglik(token)
         return max(((a.loglik(syms) - base) / len(syms), name) for name, a in self.automata.items())
 
+    def segments(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the findings of a run, side by side, with the largest sum of scores."""
+        n, classes = len(run), [character_class(c) for c in run]
+        known: dict[tuple[str, str], float] = {}
+
+        def pair(a: str, b: str) -> float:
+            if (a, b) not in known:
+                known[a, b] = self.background.pair(a, b)
+            return known[a, b]
+
+        automata = list(self.automata.values())
+        best, chain = 0.0, None
+        # of each automaton, by state and age up to LEAST_RUN: (sum so far, start, sum before the start, findings before)
+        active: list[dict] = [{} for _ in automata]
+        for i in range(n + 1):
+            joint = i == n or run[i] in JOINTS
+            if joint and i and run[i - 1] not in JOINTS:
+                more = pair(classes[i - 1], "$") + self.threshold
+                top, over = best, chain
+                for a, held in zip(automata, active, strict=True):
+                    for (state, age), (total, start, _, before) in held.items():
+                        if age == LEAST_RUN and (x := total + a.log[state].get("$", FLOOR) - more) > top:
+                            top, over = x, (start, i, before)
+                best, chain = top, over
+            if i == n:
+                break
+            begins = not joint and (not i or run[i - 1] in JOINTS) and n - i >= LEAST_RUN
+            c, cls = run[i], classes[i]
+            cost = self.threshold + (pair(classes[i - 1], cls) if i else 0.0)
+            opening = self.threshold + pair("^", cls) + LITERAL
+            for k, a in enumerate(automata):
+                held = active[k]
+                if not held and not begins:
+                    continue
+                moved: dict = {}
+                if begins:
+                    state, x = a.step[0].get(c, (0, FLOOR))
+                    moved[state, 1] = (best - COST + x - opening, i, best, chain)
+                for (state, age), (total, start, floor, before) in held.items():
+                    if age < MARK:
+                        to, x = a.step[state].get(c, (state, FLOOR))
+                        total += x - cost - LITERAL
+                    else:
+                        to, x = a.step[state].get(cls, (state, FLOOR))
+                        total += x - cost
+                    if total < floor - DROP:
+                        continue
+                    key = (to, age + 1 if age < LEAST_RUN else age)
+                    if key not in moved or moved[key][0] < total:
+                        moved[key] = (total, start, floor, before)
+                active[k] = moved
+        found = []
+        while chain:
+            found.append(chain[:2])
+            chain = chain[2]
+        return found[::-1]
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of all findings, sorted; kind is the place in ``KINDS``."""
         out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
@@ -211,14 +290,10 @@ class SecretScanner:
             starts.append(a)
             ends.append(max(b, ends[-1] if ends else 0))
         for m in CANDIDATE.finditer(text):
-            token = m[0].rstrip(".=-_/")
-            a, b = m.start(), m.start() + len(token)
-            if len(token) < LEAST_RUN or ((i := bisect_right(starts, a)) and b <= ends[i - 1]):
-                continue
-            tails = [0, *(j.end() for j in JOINT.finditer(token) if len(token) - j.end() >= LEAST_RUN)]
-            best, at = max((self.score(token[t:])[0], -t) for t in tails)
-            if best >= self.threshold:
-                out.append((a - at, 3, b))
+            for a, b in self.segments(m[0]):
+                a, b = m.start() + a, m.start() + b
+                if not ((i := bisect_right(starts, a)) and b <= ends[i - 1]):
+                    out.append((a, 3, b))
         return sorted(out)
 
 

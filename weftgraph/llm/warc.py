@@ -23,9 +23,11 @@ successor, are its payload.
 
 Defined cases: a null payload is empty; payloads shorter than ``least`` are
 never grouped; rows repeated with one id and payload are all responses of that
-id; a null page id is written as an empty one, read back as null, and is the
-response of a group only if no other id is in it; an empty table gives an empty
-result; further columns are ignored. A file whose chain breaks raises an error.
+id; ids may have any type that a string can be cast back to, and are written
+percent-encoded; a null page id is written as a record id without number, read
+back as null, and is the response of a group only if no other id is in it; an
+empty table gives an empty result; texts of any length are one record; further
+columns are ignored. A file whose chain breaks raises an error.
 """
 
 from __future__ import annotations
@@ -54,6 +56,11 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def _urn(page_id: str) -> Column:
+    """A record id; characters that could end it are encoded."""
+    return F.concat(F.lit("<urn:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(F.col(page_id).cast("string"))), F.lit("")), F.lit(">"))
+
+
 def records(pages: DataFrame, least: int, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """One string per page: the WARC header block, a blank line and the payload."""
     ws = Workspace(pages.sparkSession, "warc-write")
@@ -67,10 +74,10 @@ def records(pages: DataFrame, least: int, date: str = "1970-01-01T00:00:00Z") ->
     revisit = F.col("r_sha").isNotNull()
     size = F.octet_length("html")
     header = [
-        F.lit(MAGIC), F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nContent-Type: text/html; charset=utf-8"),
+        F.lit(MAGIC), F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), _urn("page_id"), F.lit("\r\nContent-Type: text/html; charset=utf-8"),
         F.lit(f"\r\nWARC-Date: {date}"), F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), "uri"), F.lit("")), F.when(revisit, f"\r\nWARC-Profile: {PROFILE}").otherwise(""),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nWARC-Payload-Length: "), size.cast("string"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), _urn("refers_to"))).otherwise(""),
         F.lit("\r\nContent-Length: "), F.when(revisit, "0").otherwise(size.cast("string")), F.lit(END), F.when(revisit, "").otherwise(F.col("html")),
     ]
     return p.select(F.concat(*header).alias("value"))
@@ -96,8 +103,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("size", F.octet_length("value").cast("bigint") + len(MAGIC))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Reached records: page_id, record_type, digest, length, refers_to, payload."""
+def read_archives(spark: SparkSession, path: str, *, id_type: str = "bigint") -> DataFrame:
+    """Reached records: page_id, record_type, digest, length, refers_to, payload; ids are read as ``id_type``."""
     ws = Workspace(spark, "warc-read")
     raw = ws.table("raw", _pieces(spark, path))
     has_end = F.instr("value", END) > 0
@@ -131,7 +138,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         whole = whole.unionByName(_joined(restrict(texts, split.select("ord"), n, "ord").join(split, "ord")))
     value, block = F.col("value"), F.substring_index("value", END, 1)
     named = whole.select("value", F.length(block).alias("head"), *[_header(value, n).alias(k) for k, n in (("rid", "WARC-Record-ID"), ("ref", "WARC-Refers-To"), ("type", "WARC-Type"), ("sum", "WARC-Payload-Digest"), ("len", "WARC-Payload-Length"))])
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:([^>]*)>', 1) AS BIGINT)")
+    number = lambda c: F.expr(f"CASE WHEN {c} LIKE '<urn:page:%' THEN try_cast(try_url_decode(regexp_extract({c}, '<urn:page:([^>]*)>', 1)) AS {id_type}) END")
     payload = value.substr(F.col("head") + len(END) + 1, F.length(value) - F.col("head") - 2 * len(END))
     return named.select(number("rid").alias("page_id"), F.col("type").alias("record_type"), F.regexp_replace("sum", "^sha256:", "").alias("digest"), F.expr("try_cast(len AS BIGINT)").alias("length"), number("ref").alias("refers_to"), payload.alias("payload"))
 
@@ -169,7 +176,7 @@ def round_trip(pages: DataFrame, *, least: int = 100) -> DataFrame:
         kind = pages.schema["page_id"].dataType
         return pages.select(F.col("page_id").cast(kind), F.lit(0).cast("bigint").alias("payload_bytes"), F.lit("").alias("payload_digest"), F.lit("").alias("record_type"), F.col("page_id").alias("refers_to"))
     write_archives(pages, ws.path("archives"), least=least)
-    read = read_archives(pages.sparkSession, ws.path("archives"))
+    read = read_archives(pages.sparkSession, ws.path("archives"), id_type=pages.schema["page_id"].dataType.simpleString())
     revisit = F.col("record_type") == "revisit"
     body = F.col("payload").cast("binary")
     return read.select("page_id", F.when(revisit, F.col("length")).otherwise(F.octet_length(body)).cast("bigint").alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.sha2(body, 256)).alias("payload_digest"), "record_type", F.when(revisit, F.col("refers_to")).alias("refers_to"))

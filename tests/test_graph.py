@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from collections import Counter
-
 import pytest
 
 from weftgraph.operators import graph, kg, partition
@@ -16,14 +14,6 @@ def grid(spark):
     return nodes, edges
 
 
-@pytest.mark.parametrize("method, params", [("bfs", {"max_units": 4}), ("dfs", {"max_units": 4}), ("ece", {"max_units": 4}), ("ece", {"max_units": 4, "order": "max_loss"})])
-def test_communities_cover_the_grid(grid, method, params):
-    found = partition.partition(*grid, method, **params).collect()
-    assert all(1 <= len(r.nodes) + len(r.edges) <= 4 for r in found)
-    assert Counter(n for r in found for n in r.nodes) == Counter(map(str, range(6)))
-    assert Counter(e.src + e.dst for r in found for e in r.edges) == Counter(GRID)
-
-
 def test_empty_and_single_node(spark):
     edges = spark.createDataFrame([], "src string, dst string")
     assert partition.bfs(spark.createDataFrame([], "id string"), edges).collect() == []
@@ -44,13 +34,6 @@ def test_section_scope(spark):
     assert sorted(c.nodes) == ["a", "img"] and len(c.edges) == 1
 
 
-def test_leiden_splits_two_cliques(spark):
-    left, right = [("a", "b"), ("b", "c"), ("a", "c")], [("x", "y"), ("y", "z"), ("x", "z")]
-    edges = spark.createDataFrame([*left, *right, ("c", "x")], "src string, dst string")
-    nodes = spark.createDataFrame([(n,) for n in "abcxyzq"], "id string")
-    assert sorted(sorted(r.nodes) for r in partition.leiden(nodes, edges).collect()) == [["a", "b", "c"], ["x", "y", "z"]]
-
-
 def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(i,) for i in range(70)], "id int")
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src int, dst int")

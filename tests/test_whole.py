@@ -48,13 +48,13 @@ def brute_components():
 
 def test_components_of_the_whole_graph(spark, tables):
     root = brute_components()
-    assert {r.id: r.component for r in QUERIES["connected_components_all"](spark, tables).collect()} == root
+    assert {r.id: r.component for r in QUERIES["connected_components"](spark, tables).collect()} == root
     groups = defaultdict(list)
     for n, c in sorted(root.items()):
         groups[c].append(n)
     largest = max(sorted(groups), key=lambda c: len(groups[c]))
-    assert sorted(r.id for r in QUERIES["largest_component_all"](spark, tables).collect()) == groups[largest]
-    split = {(r.community, r.id, r.part) for r in QUERIES["split_communities_all"](spark, tables).collect()}
+    assert sorted(r.id for r in QUERIES["largest_component"](spark, tables).collect()) == groups[largest]
+    split = {(r.community, r.id, r.part) for r in QUERIES["split_communities"](spark, tables).collect()}
     assert split == {(c, n, k // 3) for c, g in groups.items() for k, n in enumerate(g)}
 
 
@@ -75,7 +75,7 @@ def test_confidence_of_all_suppliers(spark, tables):
     pairs = defaultdict(list)
     for _, _, s, p, _, discount in TABLES["lineitem"][1]:
         pairs[f"P{p}", f"S{s}"].append(discount)
-    found = {(r.src, r.dst): (r.confidence, r.n_confidence) for r in QUERIES["merge_confidence_all"](spark, tables).collect()}
+    found = {(r.src, r.dst): (r.confidence, r.n_confidence) for r in QUERIES["merge_confidence"](spark, tables).collect()}
     assert found == {k: (sum(v) / len(v), len(v)) for k, v in pairs.items()}
 
 
@@ -93,7 +93,7 @@ def texts(spark, tmp_path_factory):
 
 
 def test_trees_hold_whole_texts_of_all_languages(spark, texts):
-    assert {r.doc_id for r in QUERIES["tree_parents_all"](spark, texts).collect()} == {d for d, _, _ in DOCS}
+    assert {r.doc_id for r in QUERIES["tree_parents"](spark, texts).collect()} == {d for d, _, _ in DOCS}
     lengths = defaultdict(list)
     for r in QUERIES["tree_chunks"](spark, texts).filter("type = 'text' AND path LIKE '%text%'").collect():
         lengths[r.doc_id].append(r.length)
@@ -104,7 +104,7 @@ def test_trees_hold_whole_texts_of_all_languages(spark, texts):
 def test_evidence_is_tested_whole(spark, texts):
     plain = lambda t: " ".join((t or "").split())
     expected = sorted((i, d) for i, s in ITEMS for d, t, _ in DOCS if plain(s) in plain(t))
-    assert sorted(tuple(r) for r in QUERIES["evidence_join_all"](spark, texts).collect()) == expected
+    assert sorted(tuple(r) for r in QUERIES["evidence_join"](spark, texts).collect()) == expected
     assert (10, 4) in expected and (11, 5) not in expected
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,45 +70,39 @@ class Splitter:
 
     def pack(self, parts: Sequence[str], glue: str) -> Iterator[str]:
         """Runs of parts up to ``size``; each run starts with up to ``overlap`` of the last one's end."""
-        run: deque[str] = deque()
-        used, gap = 0, self.length(glue)
-        for part in parts:
-            n = self.length(part)
-            if used + n + (gap if run else 0) > self.size:
-                if run:
-                    yield glue.join(run)
-                while run and (used > self.overlap or used + n + gap > self.size):
-                    first = run.popleft()
-                    used -= self.length(first) + (gap if run else 0)
-            used += n + (gap if run else 0)
-            run.append(part)
-        yield glue.join(run)
-
-    def _cut(self, text: str, level: int) -> Iterator[str]:
-        while level < len(self.separators) - 1:
-            s = self.separators[level]
-            if not s or re.search(s if self.regex else re.escape(s), text):
-                break
-            level += 1
-        finer = level + 1 if self.separators[level] and level < len(self.separators) - 1 else None
-        glue = "" if self.keep else self.separators[level]
-        short: list[str] = []
-        for piece in self._pieces(text, self.separators[level]):
-            if self.length(piece) < self.size:
-                short.append(piece)
-                continue
-            if short:
-                yield from self.pack(short, glue)
-                short = []
-            if finer is None:
+        gap, ends = self.length(glue), [0, *accumulate(map(self.length, parts))]
+        width = lambda a, b: ends[b] - ends[a] + gap * max(0, b - a - 1)
+        first = 0
+        for last in range(1, len(parts) + 1):
+            if first < last - 1 and width(first, last) > self.size:
+                yield glue.join(parts[first : last - 1])
+                first = next(a for a in range(first + 1, last) if a == last - 1 or width(a, last - 1) <= self.overlap and width(a, last) <= self.size)
+        yield glue.join(parts[first:])
+
+    def _occurs(self, level: int, text: str) -> bool:
+        s = self.separators[level]
+        return not s or bool(re.search(s if self.regex else re.escape(s), text))
+
+    def _step(self, text: str, level: int) -> Iterator[tuple[str, int | None]]:
+        """What cutting at the first separator from ``level`` on gives: finished chunks, and pieces for the level named."""
+        coarse = range(level, len(self.separators) - 1)
+        at = next((k for k in coarse if self._occurs(k, text)), len(self.separators) - 1)
+        finer = at + 1 if at in coarse and self.separators[at] else None
+        glue = "" if self.keep else self.separators[at]
+        for short, pieces in groupby(self._pieces(text, self.separators[at]), lambda x: self.length(x) < self.size):
+            yield from ((x, None) for x in self.pack(list(pieces), glue)) if short else ((x, finer) for x in pieces)
+
+    def _cut(self, text: str) -> Iterator[str]:
+        todo: list[tuple[str, int | None]] = [(text, 0)]
+        while todo:
+            piece, level = todo.pop()
+            if level is None:
                 yield piece
             else:
-                yield from self._cut(piece, finer)
-        if short:
-            yield from self.pack(short, glue)
+                todo += [*self._step(piece, level)][::-1]
 
     def split(self, text: str) -> list[str]:
-        out = [c.strip() for c in self._cut(text or "", 0)]
+        out = [c.strip() for c in self._cut(text or "")]
         if self.squeeze:
             out = [re.sub("\n{2,}", "\n", c) for c in out]
         return [c for c in out if c]

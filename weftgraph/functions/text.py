@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 CJK = "[\\u4e00-\\u9fff]"
-#: Entities that cleaning resolves beside the numeric forms.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+#: What titles, captions and image lines look like, for Python and for Spark alike.
+MARKED_TITLE = r"#{1,6}\s+.+"
+NUMBERED_TITLE = r"(?:\d+(?:\.\d+)+(?:\s+.*)?|\d+\s+.+)$"
+CHAPTER_TITLE = "第[一二三四五六七八九十百千万\\d]+[章节篇]\\s*.+"
+TABLE_CAPTION = r"(?i)(?:table|tab\.?)\s*\d+[\.:]?\s+"
+IMAGE_CAPTION = r"(?i)(?:figure|fig\.?|image|img\.?)\s*\d+[\.:]?\s+"
+CHINESE_CAPTION = "图\\s*\\d+[\\.:：]?\\s*"
+MARK_IMAGE = r"!\[[^\]]*\]\([^)]+\)"
+MARK_IMAGE_PATH = r'!\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
+HTML_IMAGE = r"(?i)<img\b[^>]*src=['\"]([^'\"]+)['\"][^>]*>"
 
 
 def main_language(text: Column) -> Column:
@@ -41,10 +55,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s \x1c-\x1f]+|[\s \x1c-\x1f]+$", "")
 
 
+@arrow_udf(StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+
 def unescape(text: Column) -> Column:
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """HTML entities resolved, by name or number; only texts with an ampersand leave the JVM."""
+    marked = F.contains(text, F.lit("&"))
+    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
 
 
 def clean(text: Column) -> Column:
@@ -160,24 +179,23 @@ def title_level(title: Column) -> Column:
 
 def is_title(line: Column) -> Column:
     t = strip(F.coalesce(line, F.lit("")))
-    return t.rlike(r"^#{1,6}\s+.+") | t.rlike(r"^(?:\d+(?:\.\d+)+(?:\s+.*)?|\d+\s+.+)$") | t.rlike("^第[一二三四五六七八九十百千万\\d]+[章节篇]\\s*.+")
+    return t.rlike(f"^{MARKED_TITLE}") | t.rlike(f"^{NUMBERED_TITLE}") | t.rlike(f"^{CHAPTER_TITLE}")
 
 
 def is_table_caption(line: Column) -> Column:
-    return strip(line).rlike(r"(?i)^(table|tab\.?)\s*\d+[\.:]?\s+")
+    return strip(line).rlike(f"^{TABLE_CAPTION}")
 
 
 def is_image_caption(line: Column) -> Column:
     t = strip(line)
-    return t.rlike(r"(?i)^(figure|fig\.?|image|img\.?)\s*\d+[\.:]?\s+") | t.rlike("^图\\s*\\d+[\\.:：]?\\s*")
+    return t.rlike(f"^{IMAGE_CAPTION}") | t.rlike(f"^{CHINESE_CAPTION}")
 
 
 def image_path(line: Column) -> Column:
     """The path of a markdown or HTML image; empty where there is none."""
     t = strip(line)
-    mark = F.regexp_extract(t, r'^!\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)', 1)
-    html = F.regexp_extract(t, r"(?i)<img\b[^>]*src=['\"]([^'\"]+)['\"][^>]*>", 1)
-    return F.when(mark != "", mark).otherwise(html)
+    mark = F.regexp_extract(t, f"^{MARK_IMAGE_PATH}", 1)
+    return F.when(mark != "", mark).otherwise(F.regexp_extract(t, HTML_IMAGE, 1))
 
 
 def section_slug(title: Column) -> Column:
@@ -186,9 +204,13 @@ def section_slug(title: Column) -> Column:
     return F.when(s == "", "section").otherwise(s)
 
 
+#: A token of the default counter: a CJK character, a word or a mark.
+TOKEN = "[\\u4e00-\\u9fff]|[A-Za-z0-9_\\u00c0-\\u024f]+|[^\\sA-Za-z0-9_\\u00c0-\\u024f\\u4e00-\\u9fff]"
+
+
 def token_count(text: Column) -> Column:
-    """Default token counter: each CJK character, word or mark is one token."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[\\u4e00-\\u9fff]|[A-Za-z0-9_\\u00c0-\\u024f]+|[^\\sA-Za-z0-9_\\u00c0-\\u024f\\u4e00-\\u9fff]")).cast("int")
+    """Default token counter."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("int")
 
 
 def words(text: Column) -> Column:

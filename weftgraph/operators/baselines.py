@@ -19,16 +19,30 @@ def simple_paths(edges: DataFrame, *, sources: int | None = None, limit: int | N
     return out if limit is None else out.orderBy("a", "b", "c", "d").limit(limit)
 
 
+#: Ranks that a document draws at most to find its pairs; with as many pairs or fewer all of them are ordered instead.
+DRAWS = 64
+
+
 def entity_pairs(entities: DataFrame, most: int = 10) -> DataFrame:
-    """(doc_id, one, two): unordered pairs of a document's entities, the ``most`` with the smallest hash.
+    """(doc_id, one, two): ``most`` unordered pairs of a document's entities, drawn by hash; all where there are no more.
 
-    Each document's list is one array, so its pairs come from positions, not
-    from a join of the table with itself.
+    Pairs of n sorted entities are numbered: the pair of positions i < j is
+    number j (j - 1) / 2 + i. Drawing numbers and turning them back into
+    positions takes no list of pairs, however many entities there are.
     """
-    held = entities.select("doc_id", "entity").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("e"))
-    pairs = held.select("doc_id", "e", F.posexplode("e").alias("i", "one")).select("doc_id", "one", F.explode(F.slice("e", F.col("i") + 2, F.greatest(F.size("e") - F.col("i") - 1, F.lit(0)))).alias("two"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("|", "one", "two").cast("binary")), "one", "two"))
-    return pairs.withColumn("n", rank).filter(F.col("n") <= most).drop("n")
+    held = entities.select("doc_id", "entity").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("e")).filter("size(e) > 1")
+    held = held.withColumn("total", F.expr("cast(size(e) AS bigint) * (size(e) - 1) div 2"))
+    few = F.col("total") <= DRAWS
+    drawn = held.select("doc_id", "e", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("total", F.lit(DRAWS).cast("bigint")) - 1)).alias("i"))
+    hashed = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("i").cast("string")).cast("binary"))
+    number = F.when(few, F.col("i")).otherwise(F.conv(F.substring(hashed, 1, 13), 16, 10).cast("bigint") % F.col("total"))
+    drawn = drawn.select("doc_id", "e", number.alias("r"), F.when(few, hashed).otherwise(F.format_string("%03d", "i")).alias("turn"))
+    # the first draw of each number counts; a document has at most DRAWS of them
+    turns = F.array_sort(F.collect_list(F.struct("turn", "r")))
+    top = drawn.groupBy("doc_id").agg(F.first("e").alias("e"), F.slice(F.array_distinct(F.transform(turns, lambda x: x["r"])), 1, most).alias("rs"))
+    out = top.select("doc_id", "e", F.explode("rs").alias("r")).withColumn("j", F.floor((1 + F.sqrt((8 * F.col("r") + 1).cast("double"))) / 2).cast("bigint"))
+    first = F.expr("cast(r - j * (j - 1) div 2 AS int)")
+    return out.select("doc_id", F.get("e", first).alias("one"), F.get("e", F.col("j").cast("int")).alias("two"))
 
 
 def dedupe_by_hash(docs: DataFrame) -> DataFrame:

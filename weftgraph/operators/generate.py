@@ -46,11 +46,12 @@ def _pairs(rows: DataFrame, reply: str) -> DataFrame:
     return rows.select("*", F.posexplode(tx.tags(F.col(reply), "qa_pair")).alias("qa_ord", "pair"))
 
 
-def options(block: Column) -> Column:
-    """map<letter,text> of lines such as ``A. text``."""
-    line = r"(?m)^\s*([A-Z])[.)、:]\s*(.+?)\s*$"
-    keys, values = (F.regexp_extract_all(block, F.lit(line), F.lit(i)) for i in (1, 2))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values))
+def options(block: Column, letters: str = "A-Z") -> Column:
+    """map<letter,text> of lines such as ``A. text`` or ``A text``; other lines don't count, the last of equal letters does."""
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: tx.strip(x)), lambda x: x.rlike(rf"^[{letters}][.\s]"))
+    entry = lambda x: F.struct(F.substring(x, 1, 1).alias("key"), tx.strip(F.regexp_replace(x, r"^.[.\s]\s*", "")).alias("value"))
+    last = F.filter(F.transform(lines, entry), lambda x, i: ~F.exists(F.slice(F.transform(lines, lambda y: F.substring(y, 1, 1)), i + 2, F.size(lines)), lambda k: k == x["key"]))
+    return F.map_from_entries(last)
 
 
 def parse_single(rows: DataFrame, reply: str = "reply") -> DataFrame:
@@ -58,18 +59,18 @@ def parse_single(rows: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def parse_multi_choice(rows: DataFrame, reply: str = "reply") -> DataFrame:
-    """Exactly the options A to D, and an answer that is one of them."""
-    p = _pairs(rows, reply).withColumn("question", tx.tag(F.col("pair"), "question")).withColumn("options", options(tx.tag(F.col("pair"), "options")))
-    p = p.withColumn("answer", F.upper(F.regexp_extract(tx.tag(F.col("pair"), "answer"), r"^\s*([A-Za-z])", 1)))
-    return p.filter((F.col("question") != "") & (F.array_sort(F.map_keys("options")) == F.array(*map(F.lit, "ABCD"))) & F.array_contains(F.map_keys("options"), F.col("answer"))).drop("pair")
+    """Exactly the options A to D, and an answer that is one of these letters and nothing else."""
+    p = _pairs(rows, reply).withColumn("question", tx.tag(F.col("pair"), "question")).withColumn("options", options(tx.tag(F.col("pair"), "options"), "A-D"))
+    p = p.withColumn("answer", tx.tag(F.col("pair"), "answer"))
+    return p.filter(F.col("question").isNotNull() & (F.size("options") == 4) & F.array_contains(F.map_keys("options"), F.col("answer"))).drop("pair")
 
 
 def parse_multi_answer(rows: DataFrame, reply: str = "reply") -> DataFrame:
-    """Every listed letter must be an option; records carry ``answers`` and an empty ``answer``."""
+    """Every listed letter, in either case, must be an option; records carry ``answers`` and an empty ``answer``."""
     p = _pairs(rows, reply).withColumn("question", tx.tag(F.col("pair"), "question")).withColumn("options", options(tx.tag(F.col("pair"), "options")))
-    letters = F.filter(F.transform(F.split(F.upper(tx.tag(F.col("pair"), "answer")), "[,，、]"), lambda x: tx.strip(x)), lambda x: x != "")
+    letters = F.filter(F.transform(F.split(F.upper(tx.tag(F.col("pair"), "answer")), ","), lambda x: tx.strip(x)), lambda x: x != "")
     p = p.withColumn("answers", letters).withColumn("answer", F.lit(""))
-    return p.filter((F.col("question") != "") & (F.size("answers") > 0) & F.forall("answers", lambda x: F.array_contains(F.map_keys("options"), x))).drop("pair")
+    return p.filter(F.col("question").isNotNull() & (F.size("answers") > 0) & F.forall("answers", lambda x: F.array_contains(F.map_keys("options"), x))).drop("pair")
 
 
 def parse_fill_in_blank(rows: DataFrame, reply: str = "reply") -> DataFrame:

@@ -6,10 +6,10 @@ until labels are stable, writing each round to the checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.sources.storage import cut_lineage
+from weftgraph.sources.storage import cut_lineage, release
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,30 @@ def canonical(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), *rest)
 
 
+#: Bits of ``monotonically_increasing_id`` that count the rows of a partition.
+PLACE_BITS = 33
+
+
+def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` with ``name``, the row's number from 0 in the given order, which should have no ties.
+
+    Rows are sorted across partitions; a row's number is its place in its
+    partition plus the rows of the partitions before. Only these counts, one for
+    each shuffle partition, reach the driver.
+    """
+    held = cut_lineage(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", PLACE_BITS).cast("int")
+    offsets, before = [], 0
+    for p, n in sorted((r.part, r.n) for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((p, before))
+        before += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __before bigint"))
+    number = F.col("__before") + F.col("__place").bitwiseAND((1 << PLACE_BITS) - 1)
+    out = cut_lineage(held.withColumn("__part", part).join(offsets, "__part").withColumn(name, number).select(*df.columns, name))
+    release(held)
+    return out
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """(id, other): every edge from both ends; a self-loop counts from both."""
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))

@@ -7,7 +7,7 @@ model. Multi-valued fields are arrays and joined with ``<SEP>`` at the edge.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as tx
@@ -82,34 +82,114 @@ def majority(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select(*key, value)
 
 
-def _texts(name: str) -> Column:
-    return F.array_sort(F.collect_set(F.when(F.col(name) != "", F.col(name))))
+#: Sums of confidences are exact decimals, so they don't depend on the order of the increments.
+EXACT = "decimal(38,18)"
 
 
-def merge_nodes(entities: DataFrame, *, limit: int = 200) -> DataFrame:
+class GraphState:
+    """What merging has to remember, as three tables that merge by one grouped union each.
+
+    ``labels``: (src, dst, label, n, first), how often a name (dst null) or pair was given a type or
+    relation, and the first mention (chunk_id, ord) that did. ``values``: (src, dst, field, value), the distinct descriptions,
+    evidence spans and chunks. ``sums``: (src, dst, total, n) of confidences.
+    Counts, sums, minima and sets of two states add up to those of all their
+    mentions, so increments in any order give what one run gives.
+    """
+
+    TABLES = ("labels", "values", "sums")
+
+    def __init__(self, labels: DataFrame, values: DataFrame, sums: DataFrame):
+        self.labels, self.values, self.sums = labels, values, sums
+
+    @classmethod
+    def of(cls, entities: DataFrame, relations: DataFrame) -> GraphState:
+        """The state of mentions; relations between a name and itself are none."""
+        one = F.struct(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ord").cast("bigint").alias("ord"))
+        e = entities.select(F.col("name").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("type").alias("label"), "description", "evidence", F.col("chunk_id").cast("string").alias("chunk"), one.alias("first"), F.lit(None).cast(EXACT).alias("confidence"))
+        r = relations.filter("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("relation").alias("label"), "description", "evidence", F.col("chunk_id").cast("string").alias("chunk"), one.alias("first"), F.col("confidence").cast(EXACT).alias("confidence"))
+        both = e.unionByName(r)
+        fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("description", "evidence", "chunk")])
+        return cls(
+            both.groupBy("src", "dst", "label").agg(F.count("*").alias("n"), F.min("first").alias("first")),
+            both.select("src", "dst", F.explode(fields).alias("x")).select("src", "dst", "x.*").filter("value != ''").distinct(),
+            r.groupBy("src", "dst").agg(F.sum("confidence").cast(EXACT).alias("total"), F.count("confidence").alias("n")),
+        )
+
+    def merge(self, other: GraphState) -> GraphState:
+        union = lambda t: getattr(self, t).unionByName(getattr(other, t))
+        return GraphState(
+            union("labels").groupBy("src", "dst", "label").agg(F.sum("n").alias("n"), F.min("first").alias("first")),
+            union("values").distinct(),
+            union("sums").groupBy("src", "dst").agg(F.sum("total").cast(EXACT).alias("total"), F.sum("n").alias("n")),
+        )
+
+    def save(self, path: str) -> GraphState:
+        """Writes the state below ``path``, which must be new, and reads it from there."""
+        for t in self.TABLES:
+            getattr(self, t).write.parquet(f"{path}/{t}")
+        return self.load(self.labels.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GraphState:
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in cls.TABLES])
+
+    def _label(self, rows: DataFrame, *key: str) -> DataFrame:
+        """The most frequent label of each key; ties go to the first seen, then the label. No key gathers its labels."""
+        top = rows.groupBy(*key).agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "first", "label")).alias("label"))
+        return top
+
+    def _joined(self, rows: DataFrame, key: list[str], most: int | None) -> DataFrame:
+        """Sorted values of each field, as arrays; with ``most``, tasks cut them before the shuffle."""
+        if most is not None:
+            place = F.row_number().over(Window.partitionBy(*key, "field").orderBy("value"))
+            rows = rows.withColumn("__n", place).filter(F.col("__n") <= most)
+        return rows.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("value")))).alias(f) for f in ("description", "evidence", "chunk")])
+
+    def _columns(self, limit: int) -> list[Column]:
+        described = F.array_join(F.coalesce("description", F.array()), SEP)
+        joined = lambda c: F.array_join(F.coalesce(c, F.array()), SEP)
+        return [described.alias("description"), joined("evidence").alias("evidence_span"), joined("chunk").alias("source_id"), tx.token_count(described).alias("length"), (tx.token_count(described) >= limit).alias("too_long")]
+
+    def nodes(self, *, limit: int = 200, most: int | None = None) -> DataFrame:
+        """One row per name; ``most`` bounds the values of a field that a row holds (the state keeps all)."""
+        label = self._label(self.labels.filter("dst IS NULL"), "src")
+        out = label.join(self._joined(self.values.filter("dst IS NULL"), ["src"], most), "src", "left")
+        description, evidence, source, length, too_long = self._columns(limit)
+        return out.select(F.col("src").alias("id"), F.col("label").alias("entity_type"), description, evidence, source, length, too_long)
+
+    def edges(self, *, limit: int = 200, most: int | None = None) -> DataFrame:
+        """One row per unordered pair whose ends are names; confidence is the mean."""
+        names = self.labels.filter("dst IS NULL").select("src").distinct()
+        key = ["src", "dst"]
+        label = self._label(self.labels.filter("dst IS NOT NULL"), *key).join(names, "src", "left_semi").join(names.withColumnRenamed("src", "dst"), "dst", "left_semi")
+        out = label.join(self._joined(self.values.filter("dst IS NOT NULL"), key, most), key, "left").join(self.sums, key)
+        description, evidence, source, length, too_long = self._columns(limit)
+        mean = F.col("total").cast("double") / F.col("n")
+        return out.select("src", "dst", F.col("label").alias("relation_type"), description, evidence, source, mean.alias("confidence"), F.col("total").cast("double").alias("sum_confidence"), F.col("n").alias("n_confidence"), length, too_long)
+
+
+def _no_relations(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "src string, dst string, relation string, description string, evidence string, confidence double, chunk_id string, ord bigint")
+
+
+def merge_nodes(entities: DataFrame, *, limit: int = 200, most: int | None = None) -> DataFrame:
     """One row per name: majority type, sorted distinct descriptions, evidence and sources, token length."""
-    merged = entities.groupBy("name").agg(_texts("description").alias("descriptions"), _texts("evidence").alias("evidence_spans"), F.array_sort(F.collect_set("chunk_id")).alias("source_ids"))
-    out = merged.join(majority(entities, ["name"], "type"), "name")
-    described = F.array_join("descriptions", SEP)
-    return out.select(F.col("name").alias("id"), F.col("type").alias("entity_type"), described.alias("description"), F.array_join("evidence_spans", SEP).alias("evidence_span"), F.array_join("source_ids", SEP).alias("source_id"), tx.token_count(described).alias("length")).withColumn("too_long", F.col("length") >= limit)
-
-
-def merge_edges(relations: DataFrame, nodes: DataFrame, *, limit: int = 200) -> DataFrame:
-    """One row per unordered pair whose ends are nodes; confidence is the mean, its sum and count are kept for increments."""
-    pairs = relations.filter("src != dst").withColumn("u", F.least("src", "dst")).withColumn("v", F.greatest("src", "dst"))
-    merged = pairs.groupBy("u", "v").agg(_texts("description").alias("descriptions"), _texts("evidence").alias("evidence_spans"), F.array_sort(F.collect_set("chunk_id")).alias("source_ids"), F.sum("confidence").alias("sum_confidence"), F.count("confidence").alias("n_confidence"))
-    out = merged.join(majority(pairs, ["u", "v"], "relation"), ["u", "v"])
-    ids = nodes.select("id")
-    out = out.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
-    described = F.array_join("descriptions", SEP)
-    return out.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("relation").alias("relation_type"), described.alias("description"), F.array_join("evidence_spans", SEP).alias("evidence_span"), F.array_join("source_ids", SEP).alias("source_id"), (F.col("sum_confidence") / F.col("n_confidence")).alias("confidence"), "sum_confidence", "n_confidence", tx.token_count(described).alias("length")).withColumn("too_long", F.col("length") >= limit)
-
-
-def summarize(rows: DataFrame, model: Model) -> DataFrame:
-    """Descriptions over the limit are replaced by the model's summary of their first tokens."""
-    prompt = F.when(F.col("too_long"), F.concat(F.lit("Summarize in a few sentences:\n"), F.substring_index("description", " ", 200)))
+    return GraphState.of(entities, _no_relations(entities.sparkSession)).nodes(limit=limit, most=most)
+
+
+def merge_edges(relations: DataFrame, nodes: DataFrame, *, limit: int = 200, most: int | None = None) -> DataFrame:
+    """One row per unordered pair whose ends are nodes (id)."""
+    named = nodes.select(F.col("id").alias("name"), F.lit("").alias("type"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.lit("").alias("chunk_id"), F.lit(0).alias("ord"))
+    return GraphState.of(named, relations).edges(limit=limit, most=most)
+
+
+def summarize(rows: DataFrame, model: Model, *, tokens: int = 200) -> DataFrame:
+    """Descriptions over the limit are replaced by the model's summary of their first ``tokens`` tokens."""
+    name = F.col("id") if "id" in rows.columns else F.concat_ws(" - ", "src", "dst")
+    first = F.regexp_extract("description", rf"(?s)^(?:\s*(?:{tx.TOKEN})){{0,{tokens}}}", 0)
+    prompt = F.when(F.col("too_long"), F.concat(F.lit("Summarize what is said of "), name, F.lit(" in a few sentences:\n"), F.replace(first, F.lit(SEP), F.lit("\n"))))
     out = complete(rows.withColumn("prompt", prompt), model, "prompt", "summary")
-    return out.withColumn("description", F.coalesce(F.nullif("summary", F.lit("")), "description")).drop("prompt", "summary", "too_long")
+    return out.withColumn("description", F.coalesce(F.nullif("summary", F.lit("")), "description")).drop("prompt", "summary").withColumn("length", tx.token_count(F.col("description")))
 
 
 EXTRACT_PROMPT = """Extract the entities and the relations between them from the text.
@@ -118,29 +198,57 @@ Write each entity as ("entity"<|>name<|>type<|>summary<|>evidence) and each rela
 Separate records with ## and end with <|COMPLETE|>. Evidence is quoted from the text.
 Text:
 """
-CONTINUE_PROMPT = "\nRecords so far are above. Add the ones that are missing, in the same format; write <|COMPLETE|> if none is."
+CONTINUE_PROMPT = "\nRecords so far are above. Add the ones that are missing, in the same format."
+AGAIN_PROMPT = "\nRecords so far are above. Are entities or relations missing? Answer yes or no."
 
 
 def extraction_replies(chunks: DataFrame, model: Model, *, max_loop: int = 3) -> DataFrame:
-    """(chunk_id, reply): the first reply and up to ``max_loop`` further rounds, while a round adds records."""
+    """(chunk_id, reply): the first reply and up to ``max_loop`` further ones, each after the model said that some are missing."""
     rows = chunks.select("chunk_id", "content").withColumn("prompt", F.concat(F.lit(EXTRACT_PROMPT), "content"))
-    rows = complete(rows, model, "prompt", "reply")
+    rows = complete(rows, model, "prompt", "reply").withColumn("open", F.col("reply").isNotNull())
+    asked = lambda more: F.when(F.col("open"), F.concat("prompt", F.lit("\n"), "reply", F.lit(more)))
     for _ in range(max_loop):
-        more = complete(rows.withColumn("prompt", F.concat("prompt", F.lit("\n"), "reply", F.lit(CONTINUE_PROMPT))), model, "prompt", "more")
-        adds = F.coalesce(F.contains(F.col("more"), F.lit(FIELD)), F.lit(False))
-        rows = more.withColumn("reply", F.when(adds, F.concat("reply", F.lit(RECORD), "more")).otherwise(F.col("reply"))).drop("more")
+        rows = complete(rows.withColumn("ask", asked(AGAIN_PROMPT)), model, "ask", "again")
+        said = F.lower(F.regexp_replace(tx.strip(F.col("again")), "^[\"']+|[\"']+$", ""))
+        rows = rows.withColumn("open", F.coalesce(said == "yes", F.lit(False)))
+        rows = complete(rows.withColumn("ask", asked(CONTINUE_PROMPT)), model, "ask", "more")
+        rows = rows.withColumn("reply", F.when(F.col("more").isNotNull(), F.concat("reply", F.lit(RECORD), "more")).otherwise(F.col("reply"))).drop("ask", "again", "more")
     return rows.select("chunk_id", "reply").filter("reply IS NOT NULL")
 
 
-def build(chunks: DataFrame, replies: DataFrame, *, require_entity_evidence: bool = False, require_relation_evidence: bool = True, validate: bool = True, least_confidence: float = 0.5, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges from text chunks (chunk_id, content) and their extraction replies."""
+def mentions(chunks: DataFrame, replies: DataFrame, *, require_entity_evidence: bool = False, require_relation_evidence: bool = True, validate: bool = True, least_confidence: float = 0.5, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Entity and relation mentions of text chunks (chunk_id, content) that pass the rules."""
     recs = records(replies)
     entities = ground(entity_mentions(recs), chunks, require=require_entity_evidence, validate=validate)
     relations = ground(relation_mentions(recs), chunks, require=require_relation_evidence, validate=validate, least=least_confidence)
-    if strict:
-        entities, relations = strict_triplets(entities, relations)
-    nodes = merge_nodes(entities)
-    return nodes, merge_edges(relations, nodes)
+    return strict_triplets(entities, relations) if strict else (entities, relations)
+
+
+def build(chunks: DataFrame, replies: DataFrame, *, multimodal: tuple[DataFrame, DataFrame] | None = None, summarizer: Model | None = None, limit: int = 200, **rules) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from chunks and their extraction replies.
+
+    ``multimodal`` holds chunks of images and tables as :func:`multimodal_text`
+    gives them, and their replies. No evidence rule applies to these, as what
+    they show isn't quoted; the node that stands for an image or table carries
+    the chunk's ``metadata`` as JSON. With ``summarizer`` descriptions of
+    ``limit`` tokens or more are summarised.
+    """
+    entities, relations = mentions(chunks, replies, **rules)
+    shown = None
+    if multimodal is not None:
+        rows, answers = multimodal
+        recs = records(answers.join(rows.select("chunk_id"), "chunk_id", "left_semi"))
+        more = entity_mentions(recs)
+        entities, relations = entities.unionByName(more), relations.unionByName(relation_mentions(recs))
+        of = rows.select("chunk_id", F.upper("type").alias("type"), "metadata")
+        shown = more.join(of, ["chunk_id", "type"]).groupBy(F.col("name").alias("id")).agg(F.min_by("metadata", F.struct("chunk_id", "ord")).alias("metadata"))
+    state = GraphState.of(entities, relations)
+    nodes, edges = state.nodes(limit=limit), state.edges(limit=limit)
+    if shown is not None:
+        nodes = nodes.join(shown, "id", "left")
+    if summarizer is not None:
+        nodes, edges = summarize(nodes, summarizer), summarize(edges, summarizer)
+    return nodes, edges
 
 
 def build_tree(chunks: DataFrame, replies: DataFrame, *, grounded: bool = False, **rules) -> tuple[DataFrame, DataFrame]:
@@ -155,16 +263,29 @@ def with_document_path(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("content", F.when(F.coalesce("path", F.lit("")) != "", F.concat(F.lit("[Document Path]\n"), "path", F.lit("\n\n"), "content")).otherwise(F.col("content")))
 
 
+#: An image's text that is shorter than this is too little to extract from.
+LEAST_IMAGE_TEXT = 40
+
+
 def multimodal_text(rows: DataFrame) -> DataFrame:
-    """The text that stands for an image or table: caption, notes or body, OCR; a fallback under 40 characters.
+    """(chunk_id, type, content, metadata) of images and tables: the text that stands for them.
 
-    Formulas give no text, and evidence rules don't apply to these chunks.
+    An image has its caption, the notes near it and its OCR lines; where that is
+    under 40 characters, its own content comes behind. A table has its caption
+    and body, or else its content. ``caption`` may be a string or an array.
+    Formulas and other types give no rows.
     """
-    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"[{label}]\n"), c))
-    image = F.concat_ws("\n\n", part("Caption", F.col("caption")), part("Nearby Text", F.col("note")), part("OCR", tx.ocr_lines(F.coalesce("ocr", F.lit("")))))
-    image = F.when(F.length(image) < 40, F.concat_ws("\n", image, F.lit("An image of this document."), F.col("path"))).otherwise(image)
-    table = F.concat_ws("\n\n", part("Table Caption", F.col("caption")), part("Table Body", F.col("body")))
-    return rows.withColumn("content", F.when(F.col("type") == "image", image).when(F.col("type") == "table", table)).filter("content IS NOT NULL")
+    flat = lambda c: F.coalesce(F.array_join(c, "\n") if dict(rows.dtypes)[c].startswith("array") else F.col(c), F.lit(""))
+    column = lambda c: tx.strip(flat(c)) if c in rows.columns else F.lit("")
+    part = lambda label, c: F.when(c != "", F.concat(F.lit(f"[{label}]\n"), c))
+    own = column("content")
+    packed = F.concat_ws("\n\n", part("Image Caption", column("caption")), part("Nearby Text", column("note")), part("OCR", tx.ocr_lines(column("ocr"))))
+    image = F.when((F.length(packed) >= LEAST_IMAGE_TEXT) | (own == ""), packed).when(packed == "", own).otherwise(F.concat(packed, F.lit("\n\n[Fallback Context]\n"), own))
+    body = F.concat_ws("\n\n", *[F.nullif(column(c), F.lit("")) for c in ("caption", "body")])
+    table = F.when(body != "", body).otherwise(own)
+    held = [c for c in ("caption", "note", "ocr", "body", "img_path") if c in rows.columns]
+    meta = F.to_json(F.struct(*held)) if held else F.lit("{}")
+    return rows.filter(F.col("type").isin("image", "table")).select("chunk_id", "type", F.when(F.col("type") == "image", image).otherwise(table).alias("content"), meta.alias("metadata"))
 
 
 def filter_entities(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,244 +1,113 @@
-"""Communities: growth over units (nodes and edges), anchors, and modularity.
+"""Communities of a graph: growth from seeds, around anchors, and by modularity.
 
-Growth never leaves a connected component, and what one community uses matters
-only inside its component, so components are grown independently: one grouped
-Arrow call per component gives what sequential growth gives. Order is by hash
-of seed and unit (or by loss), so results don't depend on partitioning. A
-component is the unit of work; scope a giant one by an explicit column first.
+All methods take nodes(id, ...) and undirected edges(src, dst, ...) and give
+(community_id, nodes array<string>, edges array<struct<src, dst>>). Order is by
+hash of seed and unit, or by loss, so results don't depend on partitioning. No
+step gathers a giant component; see :mod:`growth`, which takes ``block_units``
+too, and :mod:`leiden`.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections import deque
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftgraph.operators import graph
-
-OUT = "community_id string, nodes array<string>, edges array<struct<src:string,dst:string>>"
-DEFAULT_LOSS = -math.log(0.1)
-
-
-class Component:
-    """One component in memory: attributes, neighbours in id order, and units."""
+from weftgraph.operators import graph, leiden as modularity
+from weftgraph.operators.growth import Rule, around_anchors, grow
+from weftgraph.sources.storage import cut_lineage
 
-    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
-        self.node = {r["id"]: r for r in nodes.to_dict("records")}
-        self.edge = {(r["src"], r["dst"]): r for r in edges.to_dict("records") if r["src"] != r["dst"]}
-        self.near: dict[str, list[str]] = {n: [] for n in self.node}
-        for u, v in sorted(self.edge):
-            self.near[u].append(v)
-            self.near[v].append(u)
-        for held in self.near.values():
-            held.sort()
-
-    def key(self, a: str, b: str) -> tuple[str, str]:
-        return (a, b) if a < b else (b, a)
-
-    def units(self) -> list:
-        return [*sorted(self.node), *sorted(self.edge)]
+ORDERS = ("random", "min_loss", "max_loss")
+#: Entity types that are modalities of their own.
+SHOWN = ("image", "table", "video")
 
-    def data(self, unit) -> dict:
-        return self.edge[unit] if isinstance(unit, tuple) else self.node[unit]
 
-    def length(self, unit) -> int:
-        x = self.data(unit).get("length")
-        return 0 if x is None or x != x else int(x)
+def bfs(nodes: DataFrame, edges: DataFrame, *, max_units: int = 1, seed: int = 42, **blocks) -> DataFrame:
+    """Breadth first: all unused edges of a node are next."""
+    return grow(nodes, edges, Rule("bfs", max_units, seed=seed), **blocks)
 
 
-#: Entity types that are modalities of their own.
-SHOWN = ("image", "table", "video")
+def dfs(nodes: DataFrame, edges: DataFrame, *, max_units: int = 1, seed: int = 42, **blocks) -> DataFrame:
+    """Depth first: the first unused edge of a node is next."""
+    return grow(nodes, edges, Rule("dfs", max_units, seed=seed), **blocks)
 
 
-def _shuffled(units: list, seed: int) -> list:
-    return sorted(units, key=lambda u: hashlib.md5(f"{seed}|{u}".encode()).digest())
-
-
-def _by_loss(c: Component, units: list, order: str, seed: int) -> list:
-    if order == "random":
-        return _shuffled(units, seed)
-    loss = lambda u: DEFAULT_LOSS if (x := c.data(u).get("loss")) is None or x != x else float(x)
-    return sorted(units, key=lambda u: (loss(u) if order == "min_loss" else -loss(u), str(u)))
-
-
-Found = tuple[str, list[str], list[tuple[str, str]]]
-
-
-def _name(unit) -> str:
-    return "|".join(unit) if isinstance(unit, tuple) else unit
-
-
-def grow_units(c: Component, most: int, seed: int, depth_first: bool) -> Iterator[Found]:
-    """Breadth-first: all unused edges of a node queue up; depth-first: only its first unused edge is pushed."""
-    used: set = set()
-    for start in _shuffled(c.units(), seed):
-        if start in used:
-            continue
-        nodes, edges, todo = [], [], deque([start])
-        while todo and len(nodes) + len(edges) < most:
-            unit = todo.pop() if depth_first else todo.popleft()
-            if unit in used:
-                continue
-            used.add(unit)
-            if isinstance(unit, tuple):
-                edges.append(unit)
-                todo.extend(n for n in unit if n not in used)
-            else:
-                nodes.append(unit)
-                free = [k for n in c.near[unit] if (k := c.key(unit, n)) not in used]
-                todo.extend(free[:1] if depth_first else free)
-        yield _name(start), nodes, edges
-
-
-def grow_ece(c: Component, most: int, least: int, tokens: int, order: str, seed: int) -> Iterator[Found]:
-    """Units by loss; a community stops at ``most`` units or once it holds ``tokens`` tokens."""
-    used: set = set()
-    for start in _by_loss(c, c.units(), order, seed):
-        if start in used:
-            continue
-        held, total, todo = [start], c.length(start), deque([start])
-        used.add(start)
-        while todo and len(held) < most and total < tokens:
-            unit = todo.popleft()
-            around = list(unit) if isinstance(unit, tuple) else [c.key(unit, n) for n in c.near[unit]]
-            for nxt in _by_loss(c, [x for x in around if x not in used], order, seed):
-                if len(held) >= most or total >= tokens:
-                    break
-                used.add(nxt)
-                held.append(nxt)
-                total += c.length(nxt)
-                todo.append(nxt)
-        if len(held) >= least:
-            yield _name(start), [u for u in held if not isinstance(u, tuple)], [u for u in held if isinstance(u, tuple)]
-
-
-def _is_anchor(row: dict, types: tuple[str, ...], ids: frozenset[str]) -> bool:
-    return row["id"] in ids if ids else any(t.lower() in str(row.get("entity_type") or "").lower() for t in types)
-
-
-def grow_anchors(c: Component, most: int, least: int, types: tuple[str, ...], ids: frozenset[str], scoped: bool, modalities: tuple[str, ...], seed: int, shared: bool) -> Iterator[Found]:
-    """Communities around anchor nodes.
-
-    ``shared`` lets communities overlap (only seeds are used up); ``scoped``
-    keeps growth in the anchor's section; ``modalities`` must all occur among
-    the types of a community's nodes.
-    """
-    taken: set = set()
-    section = lambda n: str(c.node[n].get("section") or "")
-    for start in _shuffled([n for n, r in sorted(c.node.items()) if _is_anchor(r, types, ids)], seed):
-        if start in taken:
-            continue
-        here = section(start)
-        inside = lambda n: not (scoped and here and section(n) and section(n) != here)  # noqa: B023, E731
-        used = set() if shared else taken
-        nodes, edges, todo = [], [], deque([start])
-        while todo and len(nodes) + len(edges) < most:
-            unit = todo.popleft()
-            if unit in used or not all(map(inside, unit if isinstance(unit, tuple) else (unit,))):
-                continue
-            used.add(unit)
-            if isinstance(unit, tuple):
-                edges.append(unit)
-                todo.extend(n for n in unit if n not in used)
-            else:
-                nodes.append(unit)
-                todo.extend(k for n in c.near[unit] if (k := c.key(unit, n)) not in used)
-        kinds = [str(c.node[n].get("entity_type") or "").lower() for n in nodes]
-        # whatever isn't shown counts as text
-        has = lambda m: any(m in k for k in kinds) or m == "text" and any(k not in SHOWN for k in kinds)  # noqa: B023, E731
-        if len(nodes) + len(edges) >= least and all(has(m.lower()) for m in modalities):
-            taken.update(nodes)
-            yield start, nodes, edges
-
-
-def greedy_modularity(c: Component, most: int, seed: int) -> Iterator[Found]:
-    """Local moving by modularity gain until nothing moves, then cuts of ``most`` members in member order.
-
-    Stands in for Leiden, without its refinement; isolated nodes are left out.
-    """
-    m2 = 2 * len(c.edge)
-    if not m2:
-        return
-    home = {n: n for n in c.node if c.near[n]}
-    weight = {n: len(c.near[n]) for n in home}
-    moved, rounds = True, 0
-    while moved and rounds < 50:
-        moved, rounds = False, rounds + 1
-        for n in _shuffled(sorted(home), seed):
-            links: dict[str, int] = {}
-            for x in c.near[n]:
-                links[home[x]] = links.get(home[x], 0) + 1
-            k, own = len(c.near[n]), home[n]
-            weight[own] -= k
-            gain = lambda g: links.get(g, 0) - weight[g] * k / m2  # noqa: B023, E731
-            best = max(sorted({*links, own}), key=lambda g: (gain(g), g == own))
-            weight[best] += k
-            if best != own and gain(best) > gain(own) + 1e-12:
-                home[n], moved = best, True
-            else:
-                weight[best] -= k
-                weight[own] += k
-    groups: dict[str, list[str]] = {}
-    for n in sorted(home):
-        groups.setdefault(home[n], []).append(n)
-    part = {n: (g, i // most) for g, members in groups.items() for i, n in enumerate(members)}
-    inside: dict[tuple[str, int], list[tuple[str, str]]] = {}
-    for e in sorted(c.edge):
-        if part[e[0]] == part[e[1]]:
-            inside.setdefault(part[e[0]], []).append(e)
-    for g, members in sorted(groups.items()):
-        for i in range(0, len(members), most):
-            yield f"{members[0]}#{i // most}", members[i : i + most], inside.get((g, i // most), [])
-
-
-def _run(nodes: DataFrame, edges: DataFrame, grow: Callable[[Component], Iterator[Found]]) -> DataFrame:
-    wanted = {"entity_type": "string", "length": "int", "loss": "double", "section": "string"}
-    have = [F.col(c).cast(t).alias(c) if c in nodes.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()]
-    e_have = [F.col(c).cast(t).alias(c) if c in edges.columns else F.lit(None).cast(t).alias(c) for c, t in (("length", "int"), ("loss", "double"))]
-    label = graph.components(nodes, edges)
-    n = nodes.select(F.col("id").cast("string").alias("id"), *have).join(label.select(F.col("id").cast("string"), F.col("component").cast("string")), "id")
-    canonical = graph.canonical(edges).filter("src != dst").dropDuplicates(["src", "dst"])
-    e = canonical.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), *e_have).join(label.select(F.col("id").cast("string").alias("src"), F.col("component").cast("string")), "src")
-
-    def per_component(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(grow(Component(left, right))) if len(left) else []
-        columns = {"community_id": [f[0] for f in found], "nodes": [f[1] for f in found], "edges": [[{"src": u, "dst": v} for u, v in f[2]] for f in found]}
-        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
-
-    return n.groupBy("component").cogroup(e.groupBy("component")).applyInPandas(per_component, OUT)
-
-
-def bfs(nodes: DataFrame, edges: DataFrame, *, max_units: int = 1, seed: int = 42) -> DataFrame:
-    return _run(nodes, edges, lambda c: grow_units(c, max_units, seed, False))
-
-
-def dfs(nodes: DataFrame, edges: DataFrame, *, max_units: int = 1, seed: int = 42) -> DataFrame:
-    return _run(nodes, edges, lambda c: grow_units(c, max_units, seed, True))
-
-
-def ece(nodes: DataFrame, edges: DataFrame, *, max_units: int = 10, min_units: int = 1, max_tokens: int = 10240, order: str = "random", seed: int = 42) -> DataFrame:
-    if order not in ("random", "min_loss", "max_loss"):
+def ece(nodes: DataFrame, edges: DataFrame, *, max_units: int = 10, min_units: int = 1, max_tokens: int = 10240, order: str = "random", seed: int = 42, **blocks) -> DataFrame:
+    """Units by loss; a community stops at ``max_units`` units or once it holds ``max_tokens`` tokens."""
+    if order not in ORDERS:
         raise ValueError(f"unknown order {order}")
-    return _run(nodes, edges, lambda c: grow_ece(c, max_units, min_units, max_tokens, order, seed))
+    return grow(nodes, edges, Rule("ece", max_units, min_units, max_tokens, order, seed), **blocks)
 
 
-def leiden(nodes: DataFrame, edges: DataFrame, *, max_size: int = 20, use_lcc: bool = False, seed: int = 42) -> DataFrame:
+def leiden(nodes: DataFrame, edges: DataFrame, *, max_size: int | None = 20, use_lcc: bool = False, seed: int = 42) -> DataFrame:
+    """Modularity communities of linked nodes, cut to ``max_size`` members in the order of their ids (None or 0: not cut)."""
     if use_lcc:
         nodes, edges = graph.largest_component(nodes, edges)
-    return _run(nodes, edges, lambda c: greedy_modularity(c, max_size, seed))
-
-
-def anchor_bfs(nodes: DataFrame, edges: DataFrame, *, max_units: int = 1, types: tuple[str, ...] = ("image",), ids: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
-    return _run(nodes, edges, lambda c: grow_anchors(c, max_units, 1, types, frozenset(ids), False, (), seed, False))
-
-
-def aggregated_vqa(nodes: DataFrame, edges: DataFrame, *, max_units: int = 12, min_units: int = 6, section_scoped: bool = True, modalities: tuple[str, ...] = ("image", "text"), types: tuple[str, ...] = ("image",), seed: int = 42) -> DataFrame:
-    return _run(nodes, edges, lambda c: grow_anchors(c, max_units, min_units, types, frozenset(), section_scoped, modalities, seed, True))
+    ids = nodes.select(F.col("id").cast("string").alias("id")).distinct()
+    pairs = graph.canonical(edges.select(F.col("src").cast("string"), F.col("dst").cast("string"))).filter("src != dst").distinct()
+    pairs = cut_lineage(pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    members = modularity.communities(pairs, seed=seed)
+    members = cut_lineage(graph.split_large(members, max_size) if max_size else members.withColumn("part", F.lit(0).cast("bigint")))
+    name = F.concat_ws("#", "community", F.col("part").cast("string")).alias("community_id")
+    at = lambda c: members.select(F.col("id").alias(c), F.struct("community", "part").alias(f"at_{c}"))
+    inside = pairs.join(at("src"), "src").join(at("dst"), "dst").filter("at_src = at_dst").select("at_src.*", "src", "dst")
+    held = inside.groupBy("community", "part").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("edges"))
+    grouped = members.groupBy("community", "part").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+    empty = F.array().cast("array<struct<src:string,dst:string>>")
+    return grouped.join(held, ["community", "part"], "left").select(name, "nodes", F.coalesce("edges", empty).alias("edges"))
+
+
+def _anchors(nodes: DataFrame, types: tuple[str, ...], ids: tuple[str, ...]) -> Column:
+    if ids:
+        return F.col("id").cast("string").isin(*ids)
+    kind = F.lower("entity_type") if "entity_type" in nodes.columns else F.lit(None).cast("string")
+    wanted = F.lit(False)
+    for t in types:
+        wanted = wanted | F.coalesce(kind.contains(t.strip().lower()), F.lit(False))
+    return wanted
+
+
+def anchor_bfs(nodes: DataFrame, edges: DataFrame, *, max_units: int = 1, types: tuple[str, ...] = ("image",), ids: tuple[str, ...] = (), seed: int = 42, **blocks) -> DataFrame:
+    """Breadth first from anchor nodes alone; other units are only pulled in."""
+    return grow(nodes, edges, Rule("bfs", max_units, seed=seed), anchor=_anchors(nodes, types, ids), **blocks)
+
+
+def metadata(nodes: DataFrame, key: str) -> Column:
+    """A value of a node's ``metadata``, which may be a struct, a map or JSON; null where there is none."""
+    none = F.lit(None).cast("string")
+    if "metadata" not in nodes.columns:
+        return none
+    kind = nodes.schema["metadata"].dataType
+    if isinstance(kind, T.StructType):
+        return F.col("metadata")[key].cast("string") if key in kind.names else none
+    if isinstance(kind, T.MapType):
+        return F.element_at("metadata", F.lit(key)).cast("string")
+    return F.get_json_object(F.col("metadata").cast("string"), f"$.{key}")
+
+
+def section(nodes: DataFrame) -> Column:
+    """The section of a node: the path in its metadata, else its ``path``, else its ``section``; empty where there is none."""
+    full = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    own = [full(F.col(c).cast("string")) for c in ("path", "section") if c in nodes.columns]
+    return F.coalesce(full(metadata(nodes, "path")), *own, F.lit(""))
+
+
+def modality(nodes: DataFrame) -> Column:
+    """``image``, ``table`` or ``video`` by the entity type; else text, but for nodes without a type that of the metadata."""
+    kind = F.coalesce(F.lower("entity_type"), F.lit("")) if "entity_type" in nodes.columns else F.lit("")
+    out = F.when(kind != "", F.lit("text")).otherwise(F.coalesce(F.lower(F.nullif(metadata(nodes, "modality"), F.lit(""))), F.lit("text")))
+    for m in reversed(SHOWN):
+        out = F.when(kind.contains(m), m).otherwise(out)
+    return out
+
+
+def aggregated_vqa(nodes: DataFrame, edges: DataFrame, *, max_units: int = 12, min_units: int = 6, section_scoped: bool = True, modalities: tuple[str, ...] = ("image", "text"), types: tuple[str, ...] = ("image",), ids: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """Communities around anchors in their sections, which hold all ``modalities`` (or entity types of such names)."""
+    kind = F.coalesce(F.lower("entity_type"), F.lit("")) if "entity_type" in nodes.columns else F.lit("")
+    return around_anchors(
+        nodes, edges, anchor=_anchors(nodes, types, ids), section=section(nodes) if section_scoped else F.lit(""), kinds=F.array(modality(nodes), kind),
+        required=tuple(m.strip().lower() for m in modalities), most=max_units, least=min_units, seed=seed,
+    )
 
 
 METHODS = {"bfs": bfs, "dfs": dfs, "ece": ece, "leiden": leiden, "anchor_bfs": anchor_bfs, "aggregated_vqa_anchor_bfs": aggregated_vqa}

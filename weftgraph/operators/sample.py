@@ -19,8 +19,16 @@ from pyspark.sql import functions as F
 from weftgraph.functions import text as tx
 from weftgraph.operators import graph
 
-#: Words that mark technical content.
-KEYWORDS = "technical structure process system method parameter component mechanism module signal voltage current temperature pressure material figure table equation model algorithm".split()
+#: Terms that mark technical content, by subject.
+KEYWORDS = {
+    "timing": ["timing", "latency", "trcd", "trp", "tras", "cas", "activate", "precharge", "read", "write", "cycle", "delay"],
+    "architecture": ["bank", "channel", "rank", "row", "column", "array", "controller", "path", "topology", "architecture", "organization", "block"],
+    "performance": ["bandwidth", "throughput", "performance", "speed", "faster", "slower", "improve", "penalty", "efficiency"],
+    "comparison": ["compare", "difference", "versus", "higher", "lower", "better", "worse", "tradeoff"],
+    "constraint": ["constraint", "depends", "requires", "limit", "before", "after", "impact", "cause", "affect"],
+}
+#: What counts as a word where two nodes are compared.
+WORD = r"[a-zA-Z][a-zA-Z0-9_\-/]{2,}"
 #: Thresholds of the judge's gate; ``hallucination_risk`` is an upper bound.
 GATE = {"image_indispensability": 0.65, "answer_stability": 0.6, "evidence_closure": 0.6, "technical_relevance": 0.6, "hallucination_risk": 0.45, "overall_score": 0.68}
 FAMILIES = ("atomic", "aggregated", "multi_hop")
@@ -58,34 +66,45 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int
 
 
 def keyword_hits(text: Column) -> Column:
-    return F.size(F.array_intersect(F.array_distinct(tx.words(text)), F.array(*map(F.lit, KEYWORDS))))
+    """The number of technical terms that occur in the text, as words or inside of some."""
+    low = F.lower(text)
+    terms = F.array(*[F.lit(w) for held in KEYWORDS.values() for w in held])
+    return F.size(F.filter(terms, lambda w: F.contains(low, w)))
+
+
+def node_words(name: Column, description: Column, evidence: Column) -> Column:
+    said = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (name, description, evidence)])
+    return F.array_distinct(F.regexp_extract_all(F.lower(said), F.lit(WORD), F.lit(0)))
 
 
 def rank_nodes(near: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(seed, id, score, rank): evidence, closeness and keywords; by score then id, both descending."""
+    """(seed, id, score, rank): the seed first, then by evidence, closeness and technical terms; by score then id, both descending."""
     joined = near.join(nodes.select("id", "evidence_span", "description"), "id")
-    score = F.when(F.coalesce("evidence_span", F.lit("")) != "", 1.0).otherwise(0.0) + F.greatest(F.lit(0.0), 0.6 - 0.1 * F.col("distance")) + 0.15 * keyword_hits(F.concat_ws(" ", "id", "description"))
+    score = F.when(F.trim(F.coalesce("evidence_span", F.lit(""))) != "", 1.0).otherwise(0.0) + F.greatest(F.lit(0.0), 0.6 - 0.1 * F.col("distance")) + 0.15 * keyword_hits(F.concat_ws("\n", "description", F.col("id").cast("string")))
     out = joined.withColumn("score", F.round(score, 6))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), F.desc("id")))).select("seed", "id", "distance", "score", "rank")
+    order = (F.when(F.col("id") == F.col("seed"), 0).otherwise(1), F.desc("score"), F.desc("id"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).select("seed", "id", "distance", "score", "rank")
 
 
 def candidates(selected: DataFrame, nodes: DataFrame, edges: DataFrame, *, max_depth: int = 3) -> DataFrame:
     """Unselected neighbours of selected nodes (seed, id, depth) with uid, depth and score, in order.
 
     A candidate shares the seed's scope, or neither node nor edge has one. The
-    score is 0.12 per shared keyword, 0.12 for a named relation and 0.08 for
-    evidence, rounded to four digits.
+    score is 0.12 for each word that it shares with the node it hangs on, 0.12 if
+    their edge has a relation and 0.08 if it has evidence, rounded to four digits.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "relation_type", F.col("evidence_span").alias("edge_evidence"), F.col("source_id").alias("edge_source"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation_type", "edge_evidence", "edge_source"))
     out = selected.select("seed", F.col("id").alias("a"), "depth").join(both, "a").join(selected.select("seed", F.col("id").alias("b")), ["seed", "b"], "left_anti")
     s = scopes(nodes)
-    out = out.join(s.select(F.col("id").alias("seed"), F.col("scope").alias("seed_scope")), "seed").join(s.select(F.col("id").alias("b"), "scope"), "b").join(nodes.select(F.col("id").alias("b"), "description", "evidence_span"), "b").join(nodes.select(F.col("id").alias("seed"), F.col("description").alias("seed_text")), "seed")
+    out = out.join(s.select(F.col("id").alias("seed"), F.col("scope").alias("seed_scope")), "seed").join(s.select(F.col("id").alias("b"), "scope"), "b")
+    said = nodes.select("id", node_words(F.col("id").cast("string"), F.col("description"), F.col("evidence_span")).alias("words"))
+    out = out.join(said.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(said.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
     edge_scope = tx.source_ids(F.coalesce("edge_source", F.lit("")))
     free = (F.size("scope") == 0) & (F.size(edge_scope) == 0)
     out = out.filter(free | F.arrays_overlap("seed_scope", F.concat("scope", edge_scope))).withColumn("depth", F.col("depth") + 1).filter(F.col("depth") <= max_depth)
-    shared = F.size(F.array_intersect(F.array_intersect(tx.words(F.col("description")), tx.words(F.col("seed_text"))), F.array(*map(F.lit, KEYWORDS))))
-    score = 0.12 * shared + F.when(F.coalesce("relation_type", F.lit("")) != "", 0.12).otherwise(0.0) + F.when(F.coalesce("evidence_span", F.lit("")) != "", 0.08).otherwise(0.0)
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    score = 0.12 * shared + F.when(F.coalesce("relation_type", F.lit("")) != "", 0.12).otherwise(0.0) + F.when(F.coalesce("edge_evidence", F.lit("")) != "", 0.08).otherwise(0.0)
     out = out.select("seed", F.concat_ws("|", F.least("a", "b"), F.greatest("a", "b"), "b").alias("uid"), F.col("a").alias("parent"), F.col("b").alias("id"), "depth", F.round(score, 4).alias("score"), "relation_type")
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("seed").orderBy("depth", F.desc("score"), "uid")))
 

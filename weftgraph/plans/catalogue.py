@@ -140,24 +140,6 @@ def split_communities(spark, d):
     return graph.split_large(graph.components(*kg_tables(spark, d)).withColumnRenamed("component", "community"), 3)
 
 
-# the same three under their former names
-
-
-@query()
-def connected_components_all(spark, d):
-    return graph.components(*kg_tables(spark, d))
-
-
-@query()
-def largest_component_all(spark, d):
-    return graph.largest_component(*kg_tables(spark, d))[0].select("id")
-
-
-@query()
-def split_communities_all(spark, d):
-    return graph.split_large(graph.components(*kg_tables(spark, d)).withColumnRenamed("component", "community"), 3)
-
-
 @query(f"""WITH RECURSIVE {KG}, {COMP}, freq AS (SELECT degree, count(*) AS freq FROM deg WHERE degree > 0 GROUP BY degree), fit AS (SELECT sum(freq) AS n, count(*) AS k, regr_r2(ln(freq), ln(degree)) AS r2 FROM freq),
 m AS (SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, round((SELECT count(*) FROM deg WHERE degree = 0) / (SELECT count(*) FROM nodes), 6) AS noise_ratio,
  round((SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) / (SELECT count(*) FROM nodes), 6) AS largest_cc_ratio,
@@ -265,9 +247,14 @@ def compact_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.length("text") > 240).alias("cut"), tx.compact(F.col("text")).alias("short"))
 
 
-@query("WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS entity FROM documents WHERE lang = 'en'), p AS (SELECT a.doc_id, a.entity AS one, b.entity AS two FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.entity < b.entity), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(one || '|' || two), one, two) AS n FROM p) SELECT doc_id, one, two FROM r WHERE n <= 10")
+@query("""WITH d AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS e FROM documents),
+n AS (SELECT *, CAST(len(e) AS BIGINT) * (len(e) - 1) // 2 AS total FROM d WHERE len(e) > 1),
+drawn AS (SELECT doc_id, e, total, i, CASE WHEN total <= 64 THEN i ELSE CAST('0x' || substr(md5(doc_id || '|' || i), 1, 13) AS BIGINT) % total END AS r FROM (SELECT *, unnest(range(least(total, 64))) AS i FROM n)),
+one AS (SELECT doc_id, e, r, min(CASE WHEN total <= 64 THEN md5(doc_id || '|' || i) ELSE printf('%03d', i) END) AS turn FROM drawn GROUP BY doc_id, e, r),
+top AS (SELECT doc_id, e, r, CAST(floor((1 + sqrt(CAST(8 * r + 1 AS DOUBLE))) / 2) AS BIGINT) AS j FROM one QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn) <= 10)
+SELECT doc_id, e[r - j * (j - 1) // 2 + 1] AS one, e[j + 1] AS two FROM top""")
 def entity_pairs_topk(spark, d):
-    w = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("entity"))
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("entity"))
     return baselines.entity_pairs(w)
 
 
@@ -303,9 +290,22 @@ def merge_confidence(spark, d):
     return _merged_confidence(spark, d, table(spark, d, "supplier"))
 
 
-@query("WITH e AS (SELECT least('S' || l_suppkey, 'P' || l_partkey) AS src, greatest('S' || l_suppkey, 'P' || l_partkey) AS dst, l_discount FROM lineitem) SELECT src, dst, round(avg(l_discount), 6) AS confidence, count(*) AS n_confidence FROM e GROUP BY src, dst")
-def merge_confidence_all(spark, d):
-    return _merged_confidence(spark, d, table(spark, d, "supplier"))
+@query("""WITH m AS (SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, l_returnflag AS label, CAST(l_orderkey AS VARCHAR) AS chunk, l_linenumber AS ord, l_discount FROM lineitem),
+l AS (SELECT src, dst, label, count(*) AS n, min({'chunk': chunk, 'ord': ord}) AS first FROM m GROUP BY ALL),
+t AS (SELECT src, dst, label FROM l QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, first, label) = 1)
+SELECT least(src, dst) AS src, greatest(src, dst) AS dst, label AS relation_type, round(avg(l_discount), 6) AS confidence, count(*) AS n_confidence, string_agg(DISTINCT chunk, '<SEP>' ORDER BY chunk) AS source_id
+FROM m JOIN t USING (src, dst) GROUP BY ALL""".replace("label AS relation_type", "t.label AS relation_type"))
+def merge_increments(spark, d):
+    """Three increments by order, merged, against one run over all rows."""
+    li, state = table(spark, d, "lineitem"), None
+    named = lambda p, c, k: li.select(F.concat(F.lit(p), F.col(c).cast("string")).alias("name"), F.lit(k).alias("type"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ord"))
+    entities = named("S", "l_suppkey", "SUPPLIER").unionByName(named("P", "l_partkey", "PART"))
+    relations = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst"), F.col("l_returnflag").alias("relation"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("ord"))
+    for part in range(3):
+        of = F.pmod(F.col("chunk_id"), F.lit(3)) == part
+        more = kg.GraphState.of(entities.filter(of), relations.filter(of))
+        state = more if state is None else state.merge(more)
+    return state.edges().select("src", "dst", "relation_type", F.round("confidence", 6).alias("confidence"), "n_confidence", "source_id")
 
 
 @query("WITH e AS (SELECT DISTINCT l_orderkey AS chunk_id, 'S' || l_suppkey AS name FROM lineitem WHERE l_quantity > 25) SELECT DISTINCT l.l_orderkey AS chunk_id, 'S' || l.l_suppkey AS src, 'S' || m.l_suppkey AS dst FROM lineitem l JOIN lineitem m ON l.l_orderkey = m.l_orderkey AND m.l_linenumber = l.l_linenumber + 1 WHERE ('S' || l.l_suppkey) IN (SELECT name FROM e WHERE chunk_id = l.l_orderkey) AND ('S' || m.l_suppkey) IN (SELECT name FROM e WHERE chunk_id = l.l_orderkey)")
@@ -323,33 +323,34 @@ def evidence_join(spark, d):
     return kg.containing(table(spark, d, "documents").select("doc_id", plain("text").alias("t")), spans).select("item_id", "doc_id")
 
 
-@query("SELECT item_id, doc_id FROM documents JOIN benchmark b ON contains(regexp_replace(documents.text, '\\s+', ' ', 'g'), regexp_replace(b.text, '\\s+', ' ', 'g'))")
-def evidence_join_all(spark, d):
-    return evidence_join(spark, d)
-
-
-@query("WITH n AS (SELECT doc_id, text, substr(text, 1, 20) || CASE WHEN doc_id % 3 = 0 THEN 'never said' ELSE '' END AS span FROM documents WHERE lang = 'en' AND length(text) > 40), ok AS (SELECT doc_id FROM n WHERE doc_id % 3 <> 0) SELECT 'D' || doc_id AS id FROM ok")
+@query("WITH n AS (SELECT doc_id, text, substr(text, 1, 20) || CASE WHEN doc_id % 3 = 0 THEN 'never said' ELSE '' END AS span FROM documents WHERE length(text) > 40), ok AS (SELECT doc_id FROM n WHERE doc_id % 3 <> 0) SELECT 'D' || doc_id AS id FROM ok")
 def filter_entities(spark, d):
-    t = table(spark, d, "documents").filter("lang = 'en' AND length(text) > 40")
+    t = table(spark, d, "documents").filter("length(text) > 40")
     key = F.col("doc_id").cast("string")
     nodes = t.select(F.concat(F.lit("D"), key).alias("id"), key.alias("source_id"), F.concat(F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 == 0, "never said").otherwise("")).alias("evidence_span"))
     return kg.filter_entities(nodes, spark.createDataFrame([], "src string, dst string"), t.select(key.alias("chunk_id"), F.col("text").alias("content")))[0].select("id")
 
 
-REPLIES = [
-    (1, '("entity"<|>alpha<|>thing<|>first thing<|>Alpha)##("entity"<|>beta<|>"thing"<|>second)##("relationship"<|>alpha<|>beta<|>uses<|>alpha uses beta<|>alpha<|>0.9)<|COMPLETE|>'),
-    (2, '("relationship"<|>alpha<|>gamma<|>near it<|>x)##(entity<|>bad<|>t<|>d)##("entity"<|> <|>t<|>d)##("relationship"<|>b<|>a<|>r<|>d<|>e<|>7)##("relationship"<|>b<|>a<|>r<|>d<|>e<|>1.)'),
-]
+def _replies(spark, d):
+    """Extraction replies that tell each supplier and its nation, some of them with faults by the supplier's number."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    entity = F.concat(F.lit('("entity"<|>'), F.col("s_name"), F.lit("<|>supplier<|>sells parts<|>"), F.col("s_name"), F.lit(")"))
+    # no quotes around the kind; too few fields; a blank name
+    bad = F.when(F.col("s_suppkey") % 3 == 0, F.lit("##(entity<|>bad<|>t<|>d)")).when(F.col("s_suppkey") % 3 == 1, F.lit('##("entity"<|>short)')).otherwise(F.lit('##("entity"<|> <|>t<|>d)'))
+    short = F.concat(F.lit('##("relationship"<|>'), F.col("s_name"), F.lit("<|>"), F.col("n_name"), F.lit("<|>in it<|>said)"))
+    sure = F.when(F.col("s_suppkey") % 4 == 0, "0.9").when(F.col("s_suppkey") % 4 == 1, "7").otherwise("1.")
+    typed = F.concat(F.lit('##("relationship"<|>'), F.col("s_name"), F.lit("<|>"), F.col("n_name"), F.lit("<|>located_in<|>is there<|>said<|>"), sure, F.lit(")"))
+    return s.select(F.col("s_suppkey").alias("chunk_id"), F.concat(entity, bad, F.when(F.col("s_suppkey") % 4 == 3, short).otherwise(typed), F.lit("<|COMPLETE|>")).alias("reply"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ALPHA', 'THING', 'first thing', 'Alpha'), (1, 'BETA', 'THING', 'second', '')) AS t(chunk_id, name, type, description, evidence)")
+@query("SELECT s_suppkey AS chunk_id, upper(s_name) AS name, 'SUPPLIER' AS type, 'sells parts' AS description, s_name AS evidence FROM supplier")
 def parse_entities(spark, d):
-    return kg.entity_mentions(kg.records(spark.createDataFrame(REPLIES, "chunk_id int, reply string"))).drop("ord")
+    return kg.entity_mentions(kg.records(_replies(spark, d))).drop("ord")
 
 
-@query("SELECT * FROM (VALUES (1, 'ALPHA', 'BETA', 'uses', 0.9::DOUBLE), (2, 'ALPHA', 'GAMMA', 'related_to', 0.5::DOUBLE), (2, 'B', 'A', 'r', 1.0::DOUBLE), (2, 'B', 'A', 'r', 0.5::DOUBLE)) AS t(chunk_id, src, dst, relation, confidence)")
+@query("SELECT s_suppkey AS chunk_id, upper(s_name) AS src, upper(n_name) AS dst, CASE WHEN s_suppkey % 4 = 3 THEN 'related_to' ELSE 'located_in' END AS relation, (CASE s_suppkey % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 1.0 ELSE 0.5 END)::DOUBLE AS confidence FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def parse_relations(spark, d):
-    return kg.relation_mentions(kg.records(spark.createDataFrame(REPLIES, "chunk_id int, reply string"))).select("chunk_id", "src", "dst", "relation", "confidence")
+    return kg.relation_mentions(kg.records(_replies(spark, d))).select("chunk_id", "src", "dst", "relation", "confidence")
 
 
 # ---------------------------------------------------------------- confidence and losses
@@ -431,26 +432,30 @@ def qa_normalize_chatml(spark, d):
 
 def _metrics(spark, d):
     q = _qa(spark, d)
-    return evaluate.with_metrics(q, length=F.length("question") + F.length("answer"), turn=F.col("turn"))
+    return evaluate.with_metrics(q, length=evaluate.qa_length(F.col("question"), F.col("answer")), turn=F.col("turn"))
+
 
+#: Tokens of a pair by the default counter.
+_QA_LENGTH = "len(regexp_extract_all(question || answer, '[\\x{4e00}-\\x{9fff}]|[A-Za-z0-9_\\x{c0}-\\x{24f}]+|[^\\sA-Za-z0-9_\\x{c0}-\\x{24f}\\x{4e00}-\\x{9fff}]'))"
 
-@query(f"WITH {QA} SELECT conv_id, turn, CAST(length(question) + length(answer) AS DOUBLE) AS length FROM qa")
+
+@query(f"WITH {QA} SELECT conv_id, turn, CAST({_QA_LENGTH} AS DOUBLE) AS length FROM qa")
 def qa_metrics(spark, d):
     return _metrics(spark, d).select("conv_id", "turn", F.col("metrics")["length"].alias("length"))
 
 
 def _range(name: str, sql: str, **bounds):
     def f(spark, d):
-        return evaluate.range_filter(_metrics(spark, d), "length", 300, 900, **bounds).select("conv_id", "turn")
+        return evaluate.range_filter(_metrics(spark, d), "length", 60, 160, **bounds).select("conv_id", "turn")
 
     f.__name__ = name
-    query(f"WITH {QA} SELECT conv_id, turn FROM qa WHERE length(question) + length(answer) {sql}")(f)
+    query(f"WITH {QA} SELECT conv_id, turn FROM (SELECT *, {_QA_LENGTH} AS n FROM qa) WHERE n {sql}")(f)
 
 
-_range("range_filter_closed", "BETWEEN 300 AND 900")
-_range("range_filter_open", "> 300 AND length(question) + length(answer) < 900", with_low=False, with_high=False)
-_range("range_filter_left_open", "> 300 AND length(question) + length(answer) <= 900", with_low=False)
-_range("range_filter_right_open", ">= 300 AND length(question) + length(answer) < 900", with_high=False)
+_range("range_filter_closed", "BETWEEN 60 AND 160")
+_range("range_filter_open", "> 60 AND n < 160", with_low=False, with_high=False)
+_range("range_filter_left_open", "> 60 AND n <= 160", with_low=False)
+_range("range_filter_right_open", ">= 60 AND n < 160", with_high=False)
 
 
 @query()
@@ -458,25 +463,33 @@ def mtld(spark, d):
     return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.round(evaluate.mtld(F.col("text")), 6).alias("mtld"))
 
 
-MCQ = "<qa_pair><question>Q1</question><options>A. a\nB. b\nC. c\nD. d</options><answer>B</answer></qa_pair><qa_pair><question>Q2</question><options>A. a\nB. b</options><answer>A</answer></qa_pair><qa_pair><question>Q3</question><options>A. a\nB. b\nC. c\nD. d</options><answer>E</answer></qa_pair>"
+def _quiz(spark, d, *body):
+    """Replies that ask about each part."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("community_id"), F.concat(F.lit("<qa_pair>"), *body, F.lit("</qa_pair>")).alias("reply"))
+
 
+_LETTER = "CASE p_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN '\"D\"' WHEN 2 THEN 'Because' WHEN 3 THEN 'b' WHEN 4 THEN 'E' ELSE ' C ' END"
 
-@query("SELECT 'c' AS community_id, 'Q1' AS question, 'B' AS answer, 'A=a;B=b;C=c;D=d' AS opts")
+
+@query("SELECT p_partkey AS community_id, 'Brand of ' || p_name || '?' AS question, CASE p_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'C' END AS answer, 'A=' || p_brand || ';B=none;C=other;D=all' AS opts FROM part WHERE p_partkey % 6 IN (0, 1, 5) AND p_size % 7 <> 0")
 def parse_multi_choice(spark, d):
-    out = generate.parse_multi_choice(spark.createDataFrame([("c", MCQ)], "community_id string, reply string"))
+    lines = F.concat(F.lit("<options>A. "), F.col("p_brand"), F.lit("\nnote\nB none\nC. other"), F.when(F.col("p_size") % 7 == 0, "").otherwise("\nD.  all"), F.lit("</options>"))
+    out = generate.parse_multi_choice(_quiz(spark, d, F.lit("<question>Brand of "), F.col("p_name"), F.lit("?</question>"), lines, F.lit("<answer>"), F.expr(_LETTER), F.lit("</answer>")))
     return out.select("community_id", "question", "answer", F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("opts"))
 
 
-@query("SELECT * FROM (VALUES ('c', 'Sky is blue', 'True')) AS t(community_id, question, answer)")
+@query("SELECT p_partkey AS community_id, p_name || ' is ' || p_type AS question, CASE WHEN p_size % 3 = 0 THEN 'True' ELSE 'False' END AS answer FROM part WHERE p_size % 3 <> 2")
 def parse_true_false(spark, d):
-    reply = "<qa_pair><question>Sky is blue</question><answer>true</answer></qa_pair><qa_pair><question>x</question><answer>maybe</answer></qa_pair>"
-    return generate.parse_true_false(spark.createDataFrame([("c", reply)], "community_id string, reply string")).select("community_id", "question", "answer")
+    said = F.when(F.col("p_size") % 3 == 0, "true").when(F.col("p_size") % 3 == 1, "FALSE").otherwise("maybe")
+    rows = _quiz(spark, d, F.lit("<question>"), F.col("p_name"), F.lit(" is "), F.col("p_type"), F.lit("</question><answer>"), said, F.lit("</answer>"))
+    return generate.parse_true_false(rows).select("community_id", "question", "answer")
 
 
-@query("SELECT 'c' AS community_id, 'The _ is _' AS question, 'sky;blue' AS answers")
+@query("SELECT p_partkey AS community_id, 'Part _ of _' AS question, p_name || ';' || p_brand AS answers FROM part WHERE p_size % 4 <> 1")
 def parse_fill_in_blank(spark, d):
-    reply = "<qa_pair><question>The _ is _</question><answer>sky, blue</answer></qa_pair>"
-    return generate.parse_fill_in_blank(spark.createDataFrame([("c", reply)], "community_id string, reply string")).select("community_id", "question", F.array_join("answers", ";").alias("answers"))
+    filled = F.when(F.col("p_size") % 4 == 1, " , ").otherwise(F.concat("p_name", F.lit(", "), "p_brand"))
+    rows = _quiz(spark, d, F.lit("<question>Part _ of _</question><answer>"), filled, F.lit("</answer>"))
+    return generate.parse_fill_in_blank(rows).select("community_id", "question", F.array_join("answers", ";").alias("answers"))
 
 
 # ---------------------------------------------------------------- storage, lineage, lookups
@@ -488,11 +501,11 @@ def lineage_todo(spark, d):
     return storage.to_process(table(spark, d, "documents").select(F.col("doc_id").alias("_trace_id")), ledger).select(F.col("_trace_id").alias("doc_id"))
 
 
-@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 def lineage_recovered(spark, d):
     labels = table(spark, d, "labels")
     ledger = labels.select(F.lit("label").alias("op_name"), F.col("doc_id").alias("input_trace_id"), F.col("doc_id").alias("output_trace_id"))
-    rows = table(spark, d, "documents").filter("lang = 'de'").select(F.col("doc_id").alias("_trace_id"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("_trace_id"))
     return storage.recovered(rows, ledger, labels.withColumnRenamed("doc_id", "_trace_id")).withColumnRenamed("_trace_id", "doc_id")
 
 
@@ -516,26 +529,40 @@ def source_context_topk(spark, d):
     return generate.source_chunks(units, spark.createDataFrame([], "src string, dst string, source_id string"), chunks).select("id", "chunk_id", "rank")
 
 
-@query("SELECT * FROM (VALUES ('P12345', 'sequence'), ('Q9_x', 'keyword'), ('insulin', 'accession'), ('MKV', 'sequence'), ('>sp' || chr(10) || 'MKV', 'sequence'), ('O43526', 'accession'), ('', NULL)) AS t(q, kind) WHERE q <> 'P12345' UNION ALL SELECT 'P12345', 'accession'")
+_SEED = "CASE p_partkey % 5 WHEN 0 THEN 'P' || (10000 + p_partkey) WHEN 1 THEN p_name || ' ' || p_partkey WHEN 2 THEN '>sp' || chr(10) || 'MKV' WHEN 3 THEN repeat('MKV', CAST(1 + p_size % 5 AS INT)) ELSE '  ' END"
+
+
+@query(f"SELECT p_partkey, {_SEED} AS q, CASE p_partkey % 5 WHEN 0 THEN 'accession' WHEN 1 THEN 'keyword' WHEN 4 THEN NULL ELSE 'sequence' END AS kind FROM part")
 def search_route(spark, d):
-    rows = [("P12345",), ("Q9_x",), ("insulin",), ("MKV",), (">sp\nMKV",), ("O43526",), ("",)]
-    return spark.createDataFrame(rows, "q string").select("q", search.route("uniprot", F.col("q")).alias("kind"))
+    return table(spark, d, "part").select("p_partkey", F.expr(_SEED).alias("q")).select("p_partkey", "q", search.route("uniprot", F.col("q")).alias("kind"))
 
 
-@query("SELECT md5(upper('acgtt')) AS digest")
+@query("SELECT doc_id, md5(replace(upper(regexp_replace(lower(text), '[^acgu]', '', 'g')), 'U', 'T')) AS digest FROM documents")
 def search_rna_digest(spark, d):
-    return spark.createDataFrame([("acg uu",)], "s string").select(search.rna_digest(F.col("s")).alias("digest"))
+    """The letters of each text that could be RNA, as a sequence in lines."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower("text"), "[^acgu]", ""), "(.{60})", "$1\n")
+    return table(spark, d, "documents").select("doc_id", search.rna_digest(lines).alias("digest"))
+
+
+@query(f"SELECT p_partkey, p_name AS found FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 5 = 1")
+def search_lookup(spark, d):
+    """Accessions and keywords of parts, joined to the entries of all parts."""
+    p = table(spark, d, "part")
+    entry = lambda kind, key: p.select(F.lit(kind).alias("lookup_kind"), key.alias("lookup_key"), F.col("p_name").alias("found"))
+    number = F.col("p_partkey").cast("string")
+    entries = entry("accession", F.concat(F.lit("P"), (F.col("p_partkey") + 10000).cast("string"))).unionByName(entry("keyword", F.lower(F.concat_ws(" ", "p_name", number))))
+    return search.search(p.select("p_partkey", F.expr(_SEED).alias("content")), entries, "uniprot").select("p_partkey", "found")
 
 
 # ---------------------------------------------------------------- trees and samplers
 
 
-TITLES = ["# 8.2.3", "## 8.2 Title", "### Intro", "3 Results", "3.1.2", "第3章 开始", "第2节 续", "plain", ""]
+_TITLE = "CASE o_orderkey % 7 WHEN 0 THEN '# ' || (o_orderkey % 9) || '.2.3' WHEN 1 THEN '## 8.' || (o_orderkey % 9) || ' Title' WHEN 2 THEN '### Intro' WHEN 3 THEN (o_orderkey % 9) || ' Results' WHEN 4 THEN '第' || (o_orderkey % 9) || '章 开始' WHEN 5 THEN '第2节 续' ELSE 'plain' END"
 
 
-@query("SELECT * FROM (VALUES ('# 8.2.3', 3), ('## 8.2 Title', 2), ('### Intro', 3), ('3 Results', 1), ('3.1.2', 3), ('第3章 开始', 1), ('第2节 续', 2), ('plain', 1), ('', 1)) AS t(title, level)")
+@query(f"SELECT o_orderkey, {_TITLE} AS title, CAST(CASE o_orderkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS INTEGER) AS level FROM orders")
 def title_levels(spark, d):
-    return spark.createDataFrame([(t,) for t in TITLES], "title string").select("title", tx.title_level(F.col("title")).alias("level"))
+    return table(spark, d, "orders").select("o_orderkey", F.expr(_TITLE).alias("title")).select("o_orderkey", "title", tx.title_level(F.col("title")).alias("level"))
 
 
 def _markdown(docs):
@@ -556,11 +583,6 @@ def tree_parents(spark, d):
     return _parents(table(spark, d, "documents"))
 
 
-@query("SELECT doc_id, title, parent_id, level FROM documents, (VALUES ('# 1 Part', 'root', 1), ('## 1.1 Sub', 'n1', 2), ('# 2 Part', 'root', 1)) AS t(title, parent_id, level)")
-def tree_parents_all(spark, d):
-    return _parents(table(spark, d, "documents"))
-
-
 @query()
 def tree_chunks(spark, d):
     return tree.chunk_tree(_tree(table(spark, d, "documents"))).select("doc_id", "chunk_id", "type", "path", "length")
@@ -583,14 +605,17 @@ def runtime_schema(spark, d):
     return sample.runtime_schema(near, nodes).select("seed", "type", "n")
 
 
-@query(f"WITH {KG}, seeds AS (SELECT id AS seed FROM nodes WHERE entity_type = 'REGION'), {TWO_HOPS} SELECT seed, id, CASE WHEN entity_type = 'SUPPLIER' THEN 0.2 ELSE 0.12 END::DOUBLE AS score FROM near JOIN nodes USING (id) WHERE distance = 2")
+@query(f"""WITH {KG}, seeds AS (SELECT id AS seed FROM nodes WHERE entity_type = 'REGION'), {TWO_HOPS},
+said AS (SELECT id, list_distinct(regexp_extract_all(lower(id || ' ' || description), '[a-zA-Z][a-zA-Z0-9_\\-/]{{2,}}')) AS w FROM nodes)
+SELECT seed, near.id AS id, round(0.12 * len(list_intersect(a.w, b.w)) + 0.12 + CASE WHEN b.id LIKE 'S%' THEN 0.08 ELSE 0 END, 4)::DOUBLE AS score
+FROM near JOIN sym ON sym.id = near.id JOIN near up ON up.seed = near.seed AND up.id = sym.other AND up.distance <= 1 JOIN said a ON a.id = up.id JOIN said b ON b.id = near.id WHERE near.distance = 2""".replace("SELECT seed, near.id", "SELECT near.seed AS seed, near.id"))
 def candidate_score(spark, d):
-    """Regions and their nations are selected, suppliers have evidence."""
+    """Regions and their nations are selected; edges to suppliers have evidence."""
     nodes, edges = kg_tables(spark, d)
-    bare = lambda f, said: f.withColumn("evidence_span", said).withColumn("source_id", F.lit(""))
     selected = graph.k_hop(edges, _regions(nodes), 1).withColumnRenamed("distance", "depth")
-    nodes = bare(nodes, F.when(F.col("entity_type") == "SUPPLIER", F.col("description"))).withColumn("metadata", F.lit("{}"))
-    return sample.candidates(selected, nodes, bare(edges, F.lit(""))).select("seed", "id", "score")
+    nodes = nodes.withColumn("evidence_span", F.lit("")).withColumn("source_id", F.lit("")).withColumn("metadata", F.lit("{}"))
+    edges = edges.withColumn("evidence_span", F.when(F.col("src").startswith("S") | F.col("dst").startswith("S"), "said")).withColumn("source_id", F.lit(""))
+    return sample.candidates(selected, nodes, edges).select("seed", "id", "score")
 
 
 @query("WITH s AS (SELECT o_orderkey AS id, (o_orderkey % 100) / 100.0 AS a, ((o_orderkey * 7) % 100) / 100.0 AS b FROM orders) SELECT id, a >= 0.68 AND b <= 0.45 AS ok FROM s")
@@ -603,7 +628,7 @@ def judge_gate(spark, d):
 @query()
 def theme_select(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.struct(((F.col("o_orderkey") * 7 % 100) / 100).alias("score"), F.col("o_orderpriority").alias("focus"), F.array((F.col("o_orderkey") % 5).cast("string"), (F.col("o_orderkey") % 3).cast("string")).alias("nodes")).alias("x"))
-    return o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("o_custkey", F.size(sample.diverse_themes(F.col("xs"))).alias("n"))
+    return o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("o_custkey", F.to_json(sample.diverse_themes(F.col("xs"))).alias("chosen"))
 
 
 # ---------------------------------------------------------------- results browser

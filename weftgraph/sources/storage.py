@@ -6,6 +6,9 @@ DataFrames, and a single writer stores them, so no owner process is needed.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,26 +18,52 @@ KEY = "_trace_id"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the session names it, else the context's own folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` where the session names it, else the context's own folder; a temporary one only where Spark runs on this machine alone."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-    return context.getCheckpointDir().get()
+    return context.getCheckpointDir().get().rstrip("/")
+
+
+#: Names the folder of this driver's cuts.
+_RUN = f"cuts-{uuid.uuid4().hex}"
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system; at exit the gateway may be gone, and the cluster's cleaner does it."""
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """What ``df`` holds, written to the shared folder and scanned from there."""
+    """What ``df`` holds, written to the shared folder and scanned from there.
+
+    The files go with ``release``, or else when the Python driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weftgraph/cut-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/weftgraph/{_RUN}"
+    if root not in _folders:
+        _folders.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files behind tables of ``cut_lineage`` that no later step reads."""
+    for t in tables:
+        for file in t.inputFiles()[:1]:
+            _remove(t.sparkSession, file.rsplit("/", 1)[0])
+
+
 def get_by_ids(table: DataFrame, ids: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Rows for ``ids`` (ord, _trace_id) in their order; nulls where a key is unknown."""
     wanted = table.select(KEY, *fields) if fields else table

@@ -15,7 +15,9 @@ The buckets that take part are those that pass a test of significance, alone or
 beside an already telling one (:func:`choose`); their number isn't bounded. The
 level, the penalty and the steps were chosen by three-fold cross-validation
 inside the training rows of sf0.1, among levels 6.6, 10.8 and 20, penalties
-0.0005, 0.001 and 0.003 and three settings of the steps.
+0.0005, 0.001 and 0.003 and three settings of the steps. A logit is lifted by a
+constant, chosen the same way at sf0.1 (2,636 rows, 305 toxic): recall at 0.7
+rises from 0.866 with 7 false alarms to 0.915 with 14.
 
 Training is bounded: at most ``max_rows`` labelled documents, chosen by the
 hash of their id, send their bucket numbers (never texts) to the driver, where
@@ -27,7 +29,8 @@ bias alone; without any labelled row of either class the score is 0 everywhere;
 rows without a label value are not used; of several labels of one document the
 largest counts; repeated documents are scored each; a null id is never held out;
 an empty table gives an empty result, and without documents to learn from every
-score is 0; further columns are ignored.
+score is 0; texts of any length are scored whole, in one set of terms; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +52,8 @@ BUCKETS = 1 << 20
 STEMS = (4, 5, 6, 7, 8)
 #: Distinct words whose terms a task remembers at most.
 CACHE_WORDS = 150_000
+#: Added to every logit, so that the threshold finds nine of ten toxic documents (chosen inside the training rows, see above).
+LIFT = 1.0
 #: Characters that don't belong to a word at its ends.
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’…¡¿"
 
@@ -212,7 +217,7 @@ def fit(samples: list[tuple[int, np.ndarray]], *, level: float = 20.0, factors:
                 first[name] = 0.9 * first[name] + 0.1 * g[name]
                 second[name] = 0.999 * second[name] + 0.001 * g[name] ** 2
                 theta[name] = theta[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(slot, float(theta["b"][0]), theta["w"], theta["v"])
+    return FactorizationMachine(slot, float(theta["b"][0]) + LIFT, theta["w"], theta["v"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6_000) -> FactorizationMachine | None:

@@ -40,7 +40,7 @@ def test_pickle_needs_trust(spark, tmp_path):
 
 def test_ntriples_and_graphml(spark, tmp_path):
     (tmp_path / "g.nt").write_text('<http://x/a> <http://p/name> "Ann"@en .\n<http://x/a> <http://p/knows> <http://x/b> .\n# note\n')
-    [row] = readers.read_ntriples(spark, str(tmp_path / "g.nt")).collect()
+    [row] = readers.read_rdf(spark, str(tmp_path / "g.nt")).collect()
     assert row.content == "Ann" and row.properties["http://p/knows"] == ["http://x/b"]
     nodes = spark.createDataFrame([("A", "T", "d & <x>", "c", 4, 0.5)], "id string, entity_type string, description string, source_id string, length int, loss double")
     edges = spark.createDataFrame([("A", "A2", "e", "c", 1, 0.1)], "src string, dst string, description string, source_id string, length int, loss double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as tx
+from weftgraph.sources import rdf
 
 TYPES = ("text", "image", "table", "equation", "protein", "dna", "rna")
 SUFFIXES = ("jsonl", "json", "txt", "csv", "md", "pdf", "parquet", "pickle", "rdf", "owl", "ttl", "nt")
@@ -73,41 +74,9 @@ def read_pickle(spark: SparkSession, path: str | list[str], schema: str, text_co
     return validate(raw.select("content").mapInPandas(load, schema), text_column)
 
 
-def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One text document per subject of N-Triples: literals joined by blanks, properties map<predicate,array>."""
-    line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*$'
-    raw = spark.read.option("recursiveFileLookup", True).text(path).filter(F.col("value").rlike(line))
-    part = lambda i: F.regexp_extract("value", line, i)
-    literal = part(5)
-    triples = raw.select(F.regexp_replace(part(1), "^<|>$", "").alias("subject"), part(2).alias("predicate"), F.coalesce(F.nullif(part(3), F.lit("")), F.nullif(part(4), F.lit("")), literal).alias("value"), F.nullif(literal, F.lit("")).alias("literal"))
-    props = triples.groupBy("subject", "predicate").agg(F.array_sort(F.collect_set("value")).alias("values"), F.array_join(F.array_sort(F.collect_set("literal")), " ").alias("said"))
-    docs = props.groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "values")))).alias("properties"), F.sort_array(F.collect_list(F.struct("predicate", "said"))).alias("s"))
-    said = F.array_join(F.filter(F.transform("s", lambda x: x["said"]), lambda x: x != ""), " ")
-    return docs.select(F.lit("text").alias("type"), F.col("subject").alias("id"), F.when(said != "", said).otherwise(F.col("subject")).alias("content"), "properties")
-
-
 def read_rdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """RDF/XML, OWL and Turtle need a parser library; N-Triples are read natively."""
-    try:
-        import rdflib  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("RDF/XML and Turtle need rdflib, which is not installed; convert to N-Triples") from e
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import rdflib
-
-        for batch in batches:
-            for body in batch["content"]:
-                held: dict[str, tuple[list[str], dict[str, list[str]]]] = {}
-                for s, p, o in rdflib.Graph().parse(data=body):
-                    said, props = held.setdefault(str(s), ([], {}))
-                    props.setdefault(str(p), []).append(str(o))
-                    if isinstance(o, rdflib.Literal):
-                        said.append(str(o))
-                yield pd.DataFrame([("text", s, " ".join(x) or s, p) for s, (x, p) in held.items()], columns=["type", "id", "content", "properties"])
-
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select("content").mapInPandas(load, "type string, id string, content string, properties map<string,array<string>>")
+    """One text document per subject of Turtle, N-Triples, RDF/XML and OWL files, whatever their suffix."""
+    return rdf.subjects(rdf.read_triples(spark, path))
 
 
 def read_pdf(spark: SparkSession, path: str | list[str], convert: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
@@ -148,19 +117,31 @@ def scan_stats(files: DataFrame) -> DataFrame:
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
-    "csv": read_csv, "jsonl": read_json, "json": lambda s, p, c="content": read_json(s, p, c, lines=False), "parquet": read_parquet, "txt": read_text, "md": read_text, "nt": lambda s, p, c="content": read_ntriples(s, p), "rdf": lambda s, p, c="content": read_rdf(s, p), "owl": lambda s, p, c="content": read_rdf(s, p), "ttl": lambda s, p, c="content": read_rdf(s, p), "pdf": lambda s, p, c="content": read_pdf(s, p),
+    "csv": read_csv, "jsonl": read_json, "json": lambda s, p, c="content": read_json(s, p, c, lines=False), "parquet": read_parquet, "txt": read_text, "md": read_text, "nt": lambda s, p, c="content": read_rdf(s, p), "rdf": lambda s, p, c="content": read_rdf(s, p), "owl": lambda s, p, c="content": read_rdf(s, p), "ttl": lambda s, p, c="content": read_rdf(s, p), "pdf": lambda s, p, c="content": read_pdf(s, p),
 }
 
 
-def read(spark: SparkSession, path: str, *, allowed: tuple[str, ...] | None = None, text_column: str = "content", limit: int | None = None) -> DataFrame:
-    """Every readable file below ``path``, grouped by suffix, united, with ``_trace_id``."""
+def read(spark: SparkSession, path: str, *, allowed: tuple[str, ...] | None = None, text_column: str = "content", limit: int | None = None, convert: Callable[[bytes], list[dict]] | None = None, pickle_schema: str | None = None) -> DataFrame:
+    """Every readable file below ``path``, grouped by suffix, united, with ``_trace_id``.
+
+    ``convert`` turns PDF files into parts. ``pickle_schema`` vouches for pickles
+    and names their columns; without it a pickle file is an error, as is a PDF
+    file without ``convert``. Only the suffixes that occur reach the driver.
+    """
     found = scan_files(spark, path, allowed or SUFFIXES)
-    by_suffix = {r.suffix: sorted(r.paths) for r in found.groupBy("suffix").agg(F.collect_list("path").alias("paths")).collect() if r.suffix in READERS}
-    if not by_suffix:
+    there = sorted(r.suffix for r in found.select("suffix").distinct().collect())
+    more = {"pdf": lambda s, p, c: read_pdf(s, p, convert)}
+    if pickle_schema is not None:
+        more |= dict.fromkeys(("pkl", "pickle"), lambda s, p, c: read_pickle(s, p, pickle_schema, c, trusted=True))
+    if not there:
         raise FileNotFoundError(f"no file with a known suffix below {path}")
+    if unknown := [x for x in there if x not in READERS | more]:
+        raise ValueError(f"files of these kinds can't be read as they are: {', '.join(unknown)}; name them in allowed without these, or pass pickle_schema for pickles")
     out: DataFrame | None = None
-    for suffix, paths in sorted(by_suffix.items()):
-        part = READERS[suffix](spark, paths, text_column)
+    for suffix in there:
+        # Spark lists the files of a kind itself, in either case of the suffix
+        pattern = "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+        part = (READERS | more)[suffix](_Globbed(spark, pattern), path, text_column)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     assert out is not None
     if limit is not None:
@@ -168,6 +149,20 @@ def read(spark: SparkSession, path: str, *, allowed: tuple[str, ...] | None = No
     return out.withColumn("_trace_id", tx.trace_id("read-", *out.columns))
 
 
+class _Globbed:
+    """A session whose readers only take files of one name pattern."""
+
+    def __init__(self, spark: SparkSession, pattern: str):
+        self._spark, self._pattern = spark, pattern
+
+    @property
+    def read(self):
+        return self._spark.read.option("pathGlobFilter", self._pattern).option("recursiveFileLookup", True)
+
+    def __getattr__(self, name: str):
+        return getattr(self._spark, name)
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of GraphML files, attributes by their declared names."""
     from xml.etree import ElementTree

@@ -132,10 +132,11 @@ def blocks(seed, groups=6, size=14, inside=0.5, across=0.02):
 
 
 @pytest.mark.parametrize("make", [lambda: blocks(2, 6, 8, 0.6, 0.01), lambda: random_graph(4, 40, 50, True)])
-def test_modularity_is_no_worse_than_greedy_moving_and_communities_are_connected(spark, make):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_modularity_is_no_worse_than_greedy_moving_and_communities_are_connected(spark, make, small):
     g = make()
     edges = spark.createDataFrame([(b, a) for a, b in g.edge], "src string, dst string")
-    labels = leiden.communities(edges)
+    labels = leiden.communities(edges, small=small)
     home = {r.id: r.community for r in labels.collect()}
     assert set(home) == {n for n in g.node if g.near[n]}
     own = plain.modularity(list(g.edge), home)

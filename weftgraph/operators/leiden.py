@@ -14,6 +14,9 @@ well-connected parts, and contracts each part to a node of the next level.
   parts are joined along edges only, and no two joins of a round hang together.
 * Contraction sums edges by the parts of their ends.
 
+A level that contraction has made small (at most ``small`` nodes and edges) is
+finished on the driver, node by node: a bounded number of rows.
+
 At the end each community is cut into its connected parts, which can only raise
 modularity. Sums are combined on the map side, so a hub is no large group, and
 no step gathers a component.
@@ -30,6 +33,8 @@ from weftgraph.sources.storage import cut_lineage, release
 #: Shares of the gaining nodes that move in a round: one in so many, from first to last.
 SHARES = (2, 4, 8)
 LEAST_GAIN = 1e-9
+#: A contracted graph of so few nodes and edges is finished on the driver, node by node.
+SMALL = 20_000
 
 
 def _sides(edges: DataFrame) -> DataFrame:
@@ -48,35 +53,82 @@ def _quality(nodes: DataFrame, edges: DataFrame, total: float) -> float:
     return 2 * inside / total - squares / total**2
 
 
+def _tried(nodes: DataFrame, sides: DataFrame, total: float) -> DataFrame:
+    """(n, k, c, w, to, would): each node's links to its own community, its best community, and whether it would gain there."""
+    totals = nodes.groupBy("c").agg(F.sum("k").alias("t"))
+    links = sides.join(nodes.select(F.col("n").alias("other"), F.col("c").alias("to")), "other").groupBy("n", "to").agg(F.sum("w").alias("w"))
+    own = nodes.join(totals, "c").select("n", "k", "c", (F.col("t") - F.col("k")).alias("rest"))
+    found = links.join(own, "n").join(totals.withColumnRenamed("c", "to"), "to")
+    here = F.col("to") == F.col("c")
+    gain = F.col("w") - F.col("k") * F.when(here, F.col("rest")).otherwise(F.col("t")) / total
+    best = found.withColumn("gain", gain).groupBy("n").agg(F.max(F.struct("gain", (-F.col("to")).alias("minus"))).alias("best"), F.max(F.when(here, F.col("w"))).alias("w"))
+    stay = F.coalesce("w", F.lit(0.0)) - F.col("k") * F.col("rest") / total
+    would = F.coalesce(F.col("best.gain") > stay + 1e-12, F.lit(False))
+    return own.join(best, "n", "left").select("n", "k", "c", F.coalesce("w", F.lit(0.0)).alias("w"), (-F.col("best.minus")).alias("to"), would.alias("would"))
+
+
 def _move(nodes: DataFrame, edges: DataFrame, total: float, seed: int) -> tuple[DataFrame, bool]:
     """``nodes`` (n, k, c) with communities that no share of moves makes better, and whether any node moved."""
-    quality, turn, at, moved = _quality(nodes, edges, total), 0, 0, False
-    sides = _sides(edges)
-    while at < len(SHARES):
-        turn += 1
-        totals = nodes.groupBy("c").agg(F.sum("k").alias("t"))
-        links = sides.join(nodes.select(F.col("n").alias("other"), F.col("c").alias("to")), "other").groupBy("n", "to").agg(F.sum("w").alias("w"))
-        own = nodes.join(totals, "c").select("n", "k", "c", (F.col("t") - F.col("k")).alias("rest"))
-        found = links.join(own, "n").join(totals.withColumnRenamed("c", "to"), "to")
-        gain = F.col("w") - F.col("k") * F.when(F.col("to") == F.col("c"), F.col("rest")).otherwise(F.col("t")) / total
-        best = found.withColumn("gain", gain).groupBy("n").agg(F.max(F.struct("gain", (-F.col("to")).alias("minus"))).alias("best"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"))
-        stay = F.coalesce("stay", -F.col("k") * F.col("rest") / total)
-        would = F.coalesce(F.col("best.gain") > stay + 1e-12, F.lit(False))
-        to = F.when(would & (_coin(SHARES[at], seed + turn, "n") == 0), -F.col("best.minus")).otherwise(F.col("c"))
-        tried = cut_lineage(own.join(best, "n", "left").select("n", "k", "c", to.alias("to"), would.alias("would")))
-        going, any_ = tried.agg(F.sum((F.col("to") != F.col("c")).cast("int")), F.max("would")).first()
-        if not any_:
-            release(tried)
-            break
-        now = tried.select("n", "k", F.col("to").alias("c"))
-        after = _quality(now, edges, total) if going else quality
-        if after > quality + LEAST_GAIN:
-            release(nodes)
-            nodes, quality, moved = now, after, True
-        else:
+    sides, turn, at, moved = _sides(edges), 0, 0, False
+    best, quality = None, 0.0
+    while True:
+        tried = cut_lineage(_tried(nodes, sides, total))
+        inside, any_ = tried.agg(F.sum("w"), F.max("would")).first()
+        squares = tried.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+        now = inside / total - squares / total**2
+        if best is None or now > quality + LEAST_GAIN:
+            moved, quality = best is not None, now
+            if best is not None:
+                release(best)
+            best = tried
+            if not any_:
+                break
+        else:  # the moves spoiled each other: fewer from where they started
             release(tried)
             at += 1
-    return nodes, moved
+            if at == len(SHARES):
+                break
+        turn += 1
+        go = F.col("would") & (_coin(SHARES[at], seed + turn, "n") == 0)
+        nodes = best.select("n", "k", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"))
+    return best.select("n", "k", "c"), moved
+
+
+def _moved_one_by_one(rows: list, links: list, total: float) -> dict[int, int]:
+    """Communities of a small graph: nodes (n, k, c) move one by one and are merged, until nothing moves; {n: community}."""
+    home, weight = {r.n: r.c for r in rows}, {r.n: r.k for r in rows}
+    near: dict[int, dict[int, float]] = {n: {} for n in home}
+    for e in links:
+        near[e.u][e.v] = near[e.v][e.u] = e.w
+    of = {n: n for n in home}
+    while True:
+        totals: dict[int, float] = {}
+        for n, c in home.items():
+            totals[c] = totals.get(c, 0.0) + weight[n]
+        changed = moved = False
+        while changed or not moved:
+            changed, moved = False, True
+            for n in sorted(home):
+                around: dict[int, float] = {}
+                for x, w in near[n].items():
+                    around[home[x]] = around.get(home[x], 0.0) + w
+                k, own = weight[n], home[n]
+                totals[own] -= k
+                gain = {c: around.get(c, 0.0) - k * totals[c] / total for c in (*around, own)}
+                best = min(gain, key=lambda c: (-gain[c], c != own, c))
+                if gain[best] > gain[own] + 1e-12:
+                    home[n], changed = best, True
+                totals[home[n]] += k
+        if len(set(home.values())) == len(home):
+            return {n: home[x] for n, x in of.items()}
+        of = {n: home[x] for n, x in of.items()}
+        merged: dict[int, dict[int, float]] = {c: {} for c in home.values()}
+        for n, held in near.items():
+            for x, w in held.items():
+                if home[n] != home[x]:
+                    merged[home[n]][home[x]] = merged[home[n]].get(home[x], 0.0) + w
+        weight, near = {c: t for c, t in totals.items() if c in merged}, merged
+        home = {c: c for c in merged}
 
 
 def _refine(nodes: DataFrame, edges: DataFrame, total: float, seed: int, rounds: int = 6) -> DataFrame:
@@ -113,7 +165,7 @@ def _refine(nodes: DataFrame, edges: DataFrame, total: float, seed: int, rounds:
     return parts.select("n", "k", "c", "part")
 
 
-def communities(edges: DataFrame, *, seed: int = 42, levels: int = 12) -> DataFrame:
+def communities(edges: DataFrame, *, seed: int = 42, levels: int = 12, small: int = SMALL) -> DataFrame:
     """(id, community) of the nodes that have edges; a community is named by its smallest id."""
     pairs = graph.canonical(edges.select(F.col("src").cast("string"), F.col("dst").cast("string"))).filter("src != dst").distinct()
     ids = graph.symmetric(pairs).select("id").distinct()
@@ -129,6 +181,11 @@ def communities(edges: DataFrame, *, seed: int = 42, levels: int = 12) -> DataFr
     if total:
         member = cut_lineage(member)
         for level in range(levels):
+            if max(nodes.count(), now.count()) <= small:
+                labels = _moved_one_by_one(nodes.collect(), now.collect(), total)
+                labels = edges.sparkSession.createDataFrame(list(labels.items()), "n bigint, c bigint")
+                member = cut_lineage(member.select("first", "n").join(labels, "n").select("first", "n", "c"))
+                break
             nodes, moved = _move(nodes, now, total, seed + 1000 * level)
             labelled = cut_lineage(member.select("first", "n").join(nodes.select("n", "c"), "n").select("first", "n", "c"))
             release(member)

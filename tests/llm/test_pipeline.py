@@ -34,3 +34,28 @@ def test_stages_keep_the_columns(spark, sf001):
         out = stage(spark, docs, sf001)
         assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+LONG_A, LONG_B = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+LEAK = " ".join(f"leak{i}" for i in range(15))
+
+
+def folder(spark, path, docs, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_null_ids_repeated_rows_and_null_texts(spark, tmp_path):
+    texts = [(None, LONG_A), (None, LONG_A), (1, LONG_B), (1, LONG_B), (2, None), (3, ""), (4, "one"), (4, "other words"), (5, f"x {LEAK} y"), (6, "only copy"), (7, "only copy")]
+    d = folder(spark, tmp_path, [(i, t, None, "s", None) for i, t in texts], [(1, LEAK), (2, None)])
+    found = corpus_pipeline.run(spark, d).collect()
+    rows = Counter((r.doc_id, r.doc_tokens) for r in found)
+    # of equal texts one row stays, whatever its id; an id with two texts keeps both; the leak goes
+    assert sorted((i is None, i or 0) for i, _ in rows) == sorted([(True, 0), (False, 1), (False, 3), (False, 4), (False, 4), (False, 7)])
+    assert set(rows.values()) == {1} and all(r.length == r.doc_tokens for r in found)
+
+
+def test_empty_documents(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, [], [(1, LEAK)])).collect() == []

@@ -63,3 +63,11 @@ def test_winnowing_picks_equal_windows_in_equal_runs():
 def test_query_matches_brute_force(spark, sf001):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()]
     assert Counter(tuple(r) for r in substring_dedup.op10_substring_dedup(spark, sf001).collect()) == expected(docs, 50)
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    frame = spark.createDataFrame([(1, text, 5, "r", 7), (2, f"a {text}", 6, "s", 8)], "doc_id long, text string, cut int, row_id string, key int")
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(frame, length=10).collect()}
+    assert (out[1].text, out[1].cut, out[1].row_id, out[1].key) == (text, 5, "r", 7)
+    assert (out[2].text.strip(), out[2].cut, out[2].row_id, out[2].key) == ("a", 6, "s", 8)

@@ -5,6 +5,12 @@ documents that its predecessor kept and the folder of the tables, and returns
 the documents that stay with all their columns; the last returns the packed
 pieces. ``ORACLE_SQL`` is None: the trained score and the packing plan have no
 SQL form, so the tests hold ``run`` against a brute-force version.
+
+Defined cases: null texts are empty ones and count as copies of each other, so
+one of them stays; removal goes by row, so null ids, repeated rows and ids with
+two texts are treated each by itself; without labels nothing is toxic; texts of
+any length are taken whole and cut into several pieces; an empty table gives an
+empty result; further columns of documents pass through to the last stage.
 """
 
 from __future__ import annotations

@@ -31,8 +31,9 @@ from weftgraph.operators import graph
 from weftgraph.sources.storage import cut_lineage, release
 
 #: Shares of the gaining nodes that move in a round: one in so many, from first to last.
-SHARES = (2, 4, 8)
-LEAST_GAIN = 1e-9
+SHARES = (2, 4)
+#: A round that raises modularity by less ends the moving at its share.
+LEAST_GAIN = 5e-4
 #: A contracted graph of so few nodes and edges is finished on the driver, node by node.
 SMALL = 20_000
 
@@ -131,7 +132,7 @@ def _moved_one_by_one(rows: list, links: list, total: float) -> dict[int, int]:
         home = {c: c for c in merged}
 
 
-def _refine(nodes: DataFrame, edges: DataFrame, total: float, seed: int, rounds: int = 6) -> DataFrame:
+def _refine(nodes: DataFrame, edges: DataFrame, total: float, seed: int, rounds: int = 4) -> DataFrame:
     """(n, k, c, part): well-connected parts of each community, named by one of their nodes."""
     c = nodes.select("n", "c")
     inner = edges.join(c.select(F.col("n").alias("u"), F.col("c").alias("cu")), "u").join(c.select(F.col("n").alias("v"), F.col("c").alias("cv")), "v").filter("cu = cv").select("u", "v", "w")

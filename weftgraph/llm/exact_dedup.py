@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Workspace, drop_rows, join_hot, row_key, tidy
+from weftgraph.llm.common import BROADCAST_ROWS, Workspace, drop_rows, join_hot, row_key, tidy
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -237,8 +237,11 @@ def _grouped(ws: Workspace, docs: DataFrame, short: Callable[[Column], Column])
     rows = ws.table("digests", docs.select("doc_id", _sha(F.col("text")).alias("full"), row_key().alias("key"))).withColumn("sha", short(F.col("full")))
     groups = ws.table("groups", build_index(rows).filter("n > 1"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _sha(F.col("text")).alias("full"), row_key().alias("key")).withColumn("sha", short(F.col("full")))
-    # all texts of a digest are equal if its lowest and its highest are
-    content = join_hot(texts.select("sha", "text"), groups.select("sha", "n"), "sha").groupBy("sha").agg((F.min("text") != F.max("text")).alias("mixed"))
+    # all texts of a digest are equal if its lowest and its highest are; while the repeated digests are few, they go to
+    # the texts, and only repeated texts are shuffled
+    few = groups.count() <= BROADCAST_ROWS
+    again = texts.select("sha", "text").join(F.broadcast(groups.select("sha")), "sha", "left_semi") if few else join_hot(texts.select("sha", "text"), groups.select("sha", "n"), "sha")
+    content = again.groupBy("sha").agg((F.min("text") != F.max("text")).alias("mixed"))
     mixed = ws.table("mixed", content.filter("mixed").select("sha"))
     group = lambda df: df.select("key", "doc_id", "full", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("n"))
     if mixed.isEmpty():

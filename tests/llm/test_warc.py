@@ -68,3 +68,14 @@ def test_broken_chain_is_an_error(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+def test_ids_keep_their_type(spark):
+    long_ = "<p>é" * 40
+    rows = [("b>c d", long_), ("a\r\n:%", long_), ("", "x"), (None, long_), ("z", None)]
+    got = Counter(tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, html string")).collect())
+    assert got == expected(rows)
+    frame = spark.createDataFrame([(1, long_, 2, "r"), (2, long_, 3, "s")], "page_id int, html string, size int, file string")
+    out = warc.round_trip(frame)
+    assert out.schema["page_id"].dataType.simpleString() == "int" and out.schema["refers_to"].dataType.simpleString() == "int"
+    assert Counter(tuple(r) for r in out.collect()) == expected([(1, long_), (2, long_)])

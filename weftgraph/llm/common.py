@@ -52,6 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """Tables that one operator call writes to the shared folder.
 
+    Arrow batches are bounded to 2 MB for the whole session, as the operators'
+    results run after they return; the README says so.
+
     Written tables cut the lineage: losing an executor never loses them. They
     are removed by ``drop`` as soon as no later step needs them, the rest when
     the Python driver ends.
@@ -59,7 +62,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
+        atexit.register(self.remove, self.root)
         # rows are texts of any length: bound Arrow batches by bytes, which the JVM and a worker hold side by side
         now = spark.conf.get(ARROW_BATCH)
         if not now.isdigit() or int(now) > ARROW_BYTES:
@@ -68,23 +71,24 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
+    def table(self, name: str, df: DataFrame, *, compression: str | None = None) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
         path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
-        df.write.parquet(path)
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).alias(name)
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files behind a table of this workspace."""
         for file in df.inputFiles()[:1]:
-            self._remove(file.rsplit("/", 1)[0])
+            self.remove(file.rsplit("/", 1)[0])
 
     def release(self) -> None:
         """Let Spark delete shuffle files of finished steps now, not when the driver next collects garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
+        """Delete a folder of the shared file system."""
         try:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

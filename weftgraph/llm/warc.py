@@ -103,10 +103,15 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("size", F.octet_length("value").cast("bigint") + len(MAGIC))
 
 
-def read_archives(spark: SparkSession, path: str, *, id_type: str = "bigint") -> DataFrame:
-    """Reached records: page_id, record_type, digest, length, refers_to, payload; ids are read as ``id_type``."""
+def read_archives(spark: SparkSession, path: str, *, id_type: str = "bigint", consume: bool = False) -> DataFrame:
+    """Reached records: page_id, record_type, digest, length, refers_to, payload; ids are read as ``id_type``.
+
+    With ``consume`` the archives are deleted as soon as their pieces are stored.
+    """
     ws = Workspace(spark, "warc-read")
-    raw = ws.table("raw", _pieces(spark, path))
+    raw = ws.table("raw", _pieces(spark, path), compression="zstd")
+    if consume:
+        ws.remove(path)
     has_end = F.instr("value", END) > 0
     head = F.substring_index("value", END, 1)
     length = F.when(F.col("length").rlike("^[0-9]{1,15}$"), F.col("length").cast("bigint"))
@@ -176,7 +181,7 @@ def round_trip(pages: DataFrame, *, least: int = 100) -> DataFrame:
         kind = pages.schema["page_id"].dataType
         return pages.select(F.col("page_id").cast(kind), F.lit(0).cast("bigint").alias("payload_bytes"), F.lit("").alias("payload_digest"), F.lit("").alias("record_type"), F.col("page_id").alias("refers_to"))
     write_archives(pages, ws.path("archives"), least=least)
-    read = read_archives(pages.sparkSession, ws.path("archives"), id_type=pages.schema["page_id"].dataType.simpleString())
+    read = read_archives(pages.sparkSession, ws.path("archives"), id_type=pages.schema["page_id"].dataType.simpleString(), consume=True)
     revisit = F.col("record_type") == "revisit"
     body = F.col("payload").cast("binary")
     return read.select("page_id", F.when(revisit, F.col("length")).otherwise(F.octet_length(body)).cast("bigint").alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.sha2(body, 256)).alias("payload_digest"), "record_type", F.when(revisit, F.col("refers_to")).alias("refers_to"))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from weftgraph.functions import confidence as cf
 from weftgraph.functions import split as sp
 from weftgraph.functions import text as tx
+from weftgraph.functions import tokens as tk
 from weftgraph.models.base import StubModel
-from weftgraph.operators import baselines, evaluate, generate, graph, kg, partition, platform, sample, search, tree
+from weftgraph.operators import baselines, evaluate, generate, graph, kg, partition, paths, platform, sample, search, tree
 from weftgraph.sources import storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +157,39 @@ def simple_paths_3(spark, d):
     return baselines.simple_paths(kg_tables(spark, d)[1].filter("relation_type != 'supplies'"))
 
 
+#: Distinct neighbours of every node without loops, with their places in its sorted list.
+NEIGHBOURS = """
+near AS MATERIALIZED (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other) - 1 AS at, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, other FROM sym WHERE id <> other))
+"""
+
+
+@query(
+    f"""WITH {KG}, {NEIGHBOURS},
+    wedge AS (SELECT x.id AS a, y.other AS c FROM near x JOIN near y ON x.other = y.id WHERE y.other <> x.id),
+    found AS (SELECT a, sum(d.degree - 1 - CASE WHEN near.id IS NULL THEN 0 ELSE 1 END) AS n FROM wedge JOIN deg d ON d.id = c LEFT JOIN near ON near.id = a AND near.other = c GROUP BY a)
+    SELECT nodes.id, CAST(coalesce(n, 0) AS BIGINT) AS n_paths FROM nodes LEFT JOIN found ON nodes.id = a"""
+)
+def path_counts(spark, d):
+    """Paths of four nodes from every node, sales included; they are counted, not listed."""
+    return paths.path_counts(*kg_tables(spark, d))
+
+
+@query(
+    f"""WITH {KG}, {NEIGHBOURS},
+    middle AS MATERIALIZED (SELECT x.id AS b, x.other AS c, x.at AS c_at, y.at AS b_at, x.n - 1 AS n_b, y.n - 1 AS n_c FROM near x JOIN near y ON x.id = y.other AND x.other = y.id WHERE x.id < x.other AND x.n > 1 AND y.n > 1),
+    placed AS MATERIALIZED (SELECT *, CAST(sum(n_b * n_c) OVER (ORDER BY b, c ROWS UNBOUNDED PRECEDING) - n_b * n_c AS HUGEINT) AS before FROM middle),
+    size AS MATERIALIZED (SELECT (SELECT CAST(sum(n_b * n_c) AS HUGEINT) FROM middle) AS walks, (SELECT count(*) FROM edges) AS n),
+    draws AS MATERIALIZED (SELECT i AS draw, (CAST(i AS HUGEINT) * walks + CAST('0x' || substr(md5('0:' || i), 1, 15) AS BIGINT) % walks) // n AS p FROM size, range((SELECT n FROM size)) t(i)),
+    hit AS MATERIALIZED (SELECT draw, b, c, (p - before) // n_c AS x, (p - before) % n_c AS y, c_at, b_at FROM draws ASOF JOIN placed ON p >= before)
+    SELECT CAST(draw AS BIGINT) AS draw, s.other AS a, b, c, t.other AS d FROM hit
+    JOIN near s ON s.id = b AND s.at = x + CASE WHEN x >= c_at THEN 1 ELSE 0 END JOIN near t ON t.id = c AND t.at = y + CASE WHEN y >= b_at THEN 1 ELSE 0 END WHERE s.other <> t.other"""
+)
+def path_sample(spark, d):
+    """As many draws as the whole graph has edges, from all its paths of four nodes."""
+    edges = kg_tables(spark, d)[1]
+    return paths.sample_paths(edges, edges.count())
+
+
 @query("SELECT 'N' || n_nationkey AS id, CASE WHEN n_nationkey < 5 THEN 'changed' ELSE n_name END AS description FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 'N99', 'changed'")
 def graph_upsert_delete(spark, d):
     nodes = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("description"))
@@ -233,6 +267,24 @@ def chunk_token_window(spark, d):
     return w.select("doc_id", F.explode(sp.token_windows(F.col("w"), 128, 32)).alias("c")).select("doc_id", "c.ord", F.array_join("c.tokens", " ").alias("content"), "c.n")
 
 
+#: A public vocabulary with ranks; see ``tokens.Tokenizer``.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def chunk_byte_pairs(spark, d):
+    """Windows of 1024 byte-pair tokens over every document."""
+    return tk.token_chunks(table(spark, d, "documents"), tk.Tokenizer.from_file(spark, VOCABULARY))
+
+
+@query()
+def byte_pair_round_trip(spark, d):
+    """Tokens of every document and whether they give its text back."""
+    tokenizer = tk.Tokenizer.from_file(spark, VOCABULARY)
+    docs = table(spark, d, "documents").select("doc_id", "text", tokenizer.encode("text").alias("ids"))
+    return docs.select("doc_id", F.size("ids").alias("n_tokens"), (tokenizer.decode("ids") == F.coalesce("text", F.lit(""))).alias("restored"))
+
+
 def _docs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("_trace_id"), F.lit("text").alias("type"), F.col("text").alias("content"), "source")
 

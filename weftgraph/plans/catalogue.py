@@ -177,12 +177,15 @@ def path_counts(spark, d):
 @query(
     f"""WITH {KG}, {NEIGHBOURS},
     middle AS MATERIALIZED (SELECT x.id AS b, x.other AS c, x.at AS c_at, y.at AS b_at, x.n - 1 AS n_b, y.n - 1 AS n_c FROM near x JOIN near y ON x.id = y.other AND x.other = y.id WHERE x.id < x.other AND x.n > 1 AND y.n > 1),
-    placed AS MATERIALIZED (SELECT *, CAST(sum(n_b * n_c) OVER (ORDER BY b, c ROWS UNBOUNDED PRECEDING) - n_b * n_c AS HUGEINT) AS before FROM middle),
+    placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY b, c) AS k, CAST(sum(n_b * n_c) OVER (ORDER BY b, c ROWS UNBOUNDED PRECEDING) - n_b * n_c AS HUGEINT) AS before FROM middle),
     size AS MATERIALIZED (SELECT (SELECT CAST(sum(n_b * n_c) AS HUGEINT) FROM middle) AS walks, (SELECT count(*) FROM edges) AS n),
     draws AS MATERIALIZED (SELECT i AS draw, (CAST(i AS HUGEINT) * walks + CAST('0x' || substr(md5('0:' || i), 1, 15) AS BIGINT) % walks) // n AS p FROM size, range((SELECT n FROM size)) t(i)),
-    hit AS MATERIALIZED (SELECT draw, b, c, (p - before) // n_c AS x, (p - before) % n_c AS y, c_at, b_at FROM draws ASOF JOIN placed ON p >= before)
-    SELECT CAST(draw AS BIGINT) AS draw, s.other AS a, b, c, t.other AS d FROM hit
-    JOIN near s ON s.id = b AND s.at = x + CASE WHEN x >= c_at THEN 1 ELSE 0 END JOIN near t ON t.id = c AND t.at = y + CASE WHEN y >= b_at THEN 1 ELSE 0 END WHERE s.other <> t.other"""
+    mixed AS (SELECT p, 1 AS kind, draw, NULL AS k FROM draws UNION ALL SELECT before, 0, NULL, k FROM placed),
+    met AS MATERIALIZED (SELECT draw, p, max(k) OVER (ORDER BY p, kind ROWS UNBOUNDED PRECEDING) AS k FROM mixed),
+    hit AS MATERIALIZED (SELECT draw, b, c, CAST((p - before) // n_c AS BIGINT) AS x, CAST((p - before) % n_c AS BIGINT) AS y, c_at, b_at FROM met JOIN placed USING (k) WHERE draw IS NOT NULL),
+    one AS MATERIALIZED (SELECT draw, near.other AS a, b, c, y + CASE WHEN y >= b_at THEN 1 ELSE 0 END AS d_at FROM hit JOIN near ON near.id = b AND near.at = x + CASE WHEN x >= c_at THEN 1 ELSE 0 END),
+    two AS MATERIALIZED (SELECT draw, a, b, c, near.other AS d FROM one JOIN near ON near.id = c AND near.at = d_at)
+    SELECT CAST(draw AS BIGINT) AS draw, a, b, c, d FROM two WHERE a <> d"""
 )
 def path_sample(spark, d):
     """As many draws as the whole graph has edges, from all its paths of four nodes."""

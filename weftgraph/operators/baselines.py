@@ -19,30 +19,28 @@ def simple_paths(edges: DataFrame, *, sources: int | None = None, limit: int | N
     return out if limit is None else out.orderBy("a", "b", "c", "d").limit(limit)
 
 
-#: Ranks that a document draws at most to find its pairs; with as many pairs or fewer all of them are ordered instead.
-DRAWS = 64
+#: Entities of one block: a row lists at most this number squared of pairs at once.
+BLOCK = 64
 
 
 def entity_pairs(entities: DataFrame, most: int = 10) -> DataFrame:
-    """(doc_id, one, two): ``most`` unordered pairs of a document's entities, drawn by hash; all where there are no more.
+    """(doc_id, one, two): of all unordered pairs of a document's entities the ``most`` with the smallest hash.
 
-    Pairs of n sorted entities are numbered: the pair of positions i < j is
-    number j (j - 1) / 2 + i. Drawing numbers and turning them back into
-    positions takes no list of pairs, however many entities there are.
+    Every pair is hashed. A document's sorted entities are cut into blocks, and
+    each block meets itself and the later ones in a row of its own, so a
+    document of very many entities is spread over tasks. A row keeps its
+    ``most`` best pairs; the best of those are the document's.
     """
-    held = entities.select("doc_id", "entity").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("entity")).alias("e")).filter("size(e) > 1")
-    held = held.withColumn("total", F.expr("cast(size(e) AS bigint) * (size(e) - 1) div 2"))
-    few = F.col("total") <= DRAWS
-    drawn = held.select("doc_id", "e", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("total", F.lit(DRAWS).cast("bigint")) - 1)).alias("i"))
-    hashed = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("i").cast("string")).cast("binary"))
-    number = F.when(few, F.col("i")).otherwise(F.conv(F.substring(hashed, 1, 13), 16, 10).cast("bigint") % F.col("total"))
-    drawn = drawn.select("doc_id", "e", number.alias("r"), F.when(few, hashed).otherwise(F.format_string("%03d", "i")).alias("turn"))
-    # the first draw of each number counts; a document has at most DRAWS of them
-    turns = F.array_sort(F.collect_list(F.struct("turn", "r")))
-    top = drawn.groupBy("doc_id").agg(F.first("e").alias("e"), F.slice(F.array_distinct(F.transform(turns, lambda x: x["r"])), 1, most).alias("rs"))
-    out = top.select("doc_id", "e", F.explode("rs").alias("r")).withColumn("j", F.floor((1 + F.sqrt((8 * F.col("r") + 1).cast("double"))) / 2).cast("bigint"))
-    first = F.expr("cast(r - j * (j - 1) div 2 AS int)")
-    return out.select("doc_id", F.get("e", first).alias("one"), F.get("e", F.col("j").cast("int")).alias("two"))
+    held = entities.groupBy("doc_id").agg(F.sort_array(F.collect_set("entity")).alias("e")).filter("size(e) > 1")
+    held = held.withColumn("last", F.expr(f"(size(e) - 1) div {BLOCK}"))
+    met = held.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("i")).select("*", F.explode(F.sequence("i", "last")).alias("j"))
+    block = lambda k: F.slice("e", (F.col(k) * BLOCK + 1).cast("int"), F.lit(BLOCK))
+    met = met.select("doc_id", "i", "j", block("i").alias("one"), block("j").alias("two")).repartition("doc_id", "i", "j")
+    hashed = lambda x, y: F.struct(F.md5(F.concat_ws("|", x, y).cast("binary")).alias("hash"), x.alias("one"), y.alias("two"))
+    pairs = F.flatten(F.transform("one", lambda x: F.transform(F.filter("two", lambda y: y > x), lambda y: hashed(x, y))))
+    best = met.select("doc_id", F.explode(F.slice(F.sort_array(pairs), 1, most)).alias("p")).select("doc_id", "p.*")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("hash", "one", "two"))
+    return best.withColumn("n", rank).filter(F.col("n") <= most).select("doc_id", "one", "two")
 
 
 def dedupe_by_hash(docs: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ Steps, each over all documents:
    counts all shingles in a sketch of fixed size, which orders them. Documents
    with equal sets are one class; copies cost nothing further.
 2. A second scan emits the prefix shingles of every class. Sorted by shingle in
-   shuffle partitions that spill, they are read as a stream: small lists emit
-   their pairs that pass the size and position bounds, larger lists are set
-   aside as rows.
+   shuffle partitions that spill, they are read as a stream: lists of two or
+   three emit their pairs that pass the size and position bounds, larger lists
+   are set aside, one row an entry. So never more rows are made than are read.
 3. Verification goes in rounds of one partner per class, as in a minimum
    spanning forest, and after each round only pairs of different components
    remain. A class of small lists first meets the partner that shares most
@@ -62,8 +62,8 @@ from weftgraph.llm.common import CHUNK_BYTES, Workspace, bounded, components, dr
 #: Counters of the sketch that orders shingles; fixed, so it can be broadcast (4 bytes each).
 SKETCH = 1 << 19
 SKETCH_PARTS = 64
-#: Longest list of classes of one shingle whose pairs are emitted at once.
-SHORT_LIST = 32
+#: Longest list of classes of one shingle whose pairs are emitted at once: longer lists have more pairs than entries.
+SHORT_LIST = 3
 MAX_MATCHES = 4
 #: Rounds of centres over set-aside lists; the second shifts the size bands by half their width.
 CENTRE_TURNS = 2

@@ -25,8 +25,8 @@ Steps, each over all documents:
    fewest rarer shingles, which is the likeliest to be close to the others.
    So thousands of near copies cost one pair each.
 4. What is left of the set-aside lists is joined list by list, only entries
-   outside a list's most frequent component with the others, with size bands
-   and, for long lists, a salt in the join key. Shared prefix shingles are
+   outside a list's most frequent component with the others, for longer lists
+   with size bands and for long ones a salt in the join key. Shared prefix shingles are
    counted over small and set-aside lists together, and a pair is verified only
    if it has as many as its documents ask for. A pair isn't even counted if the
    signatures of its sets (a bit per hash value, set where an odd number of
@@ -67,6 +67,8 @@ SHORT_LIST = 3
 MAX_MATCHES = 4
 #: Rounds of centres over set-aside lists; the second shifts the size bands by half their width.
 CENTRE_TURNS = 2
+#: Longest set-aside list whose entries meet without size bands: bands would repeat each entry.
+UNBANDED = 64
 #: Entries of one set-aside list and size band under one salt.
 SALTED = 2000
 #: Bits of a set's signature: two or more for each shingle, a power of two within these bounds.
@@ -380,15 +382,15 @@ class NgramJaccardJoin:
         rooted, t = self._rooted(links, entries), self.bounds.t
         sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
-        mixed = self.ws.table("mixed", mixed.select("token", "main", F.ceil(F.col("n") / SALTED).alias("salts")))
+        mixed = self.ws.table("mixed", mixed.select("token", "main", F.ceil(F.col("n") / SALTED).alias("salts"), (F.col("n") > UNBANDED).alias("banded")))
         open_ = rooted.join(bounded(mixed), "token").join(self.classes.select("cls", "bits"), "cls").withColumn("e", F.struct("cls", "size", "p", "l", "root", "bits"))
         width = math.log(1.05)
         band = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / width)
         size = F.col("size")
         longest = F.least(F.floor(size * 100 / t), F.floor((size - F.col("p") + F.col("l") - 1) * ((100 + t) / t) - size))
         shortest = F.ceil(size * (t / 100))
-        index = open_.select("token", band(size).alias("band"), F.pmod(F.xxhash64("cls"), "salts").alias("salt"), F.col("e").alias("i"), (F.col("root") == F.col("main")).alias("i_main"))
-        probe = open_.filter((F.col("root") != F.col("main")) & (longest >= shortest)).withColumn("band", F.explode(F.sequence(band(shortest), band(longest))))
+        index = open_.select("token", F.when(F.col("banded"), band(size)).otherwise(0).alias("band"), F.pmod(F.xxhash64("cls"), "salts").alias("salt"), F.col("e").alias("i"), (F.col("root") == F.col("main")).alias("i_main"))
+        probe = open_.filter((F.col("root") != F.col("main")) & (longest >= shortest)).withColumn("band", F.explode(F.when(F.col("banded"), F.sequence(band(shortest), band(longest))).otherwise(F.array(F.lit(0).cast("bigint")))))
         probe = probe.select("token", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("e").alias("e"))
         met = probe.join(index, ["token", "band", "salt"]).filter(f"e.root != i.root AND (i_main OR e.cls < i.cls) AND {self._fit('e', 'i')} AND {self._near('e', 'i')}")
         pairs = met.groupBy(F.least("e.cls", "i.cls").alias("x"), F.greatest("e.cls", "i.cls").alias("y")).agg(F.count("*").alias("n"), F.min(F.least("e.l", "i.l")).alias("need"))

@@ -23,7 +23,6 @@ columns are ignored. Strings of special tokens in a text are ordinary text.
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,96 +37,115 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Workspace, pieces, tidy
 
-#: Distinct lower-case words whose ids a worker remembers before it starts anew.
+#: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 250_000
 #: Words that are encoded at once.
-TOGETHER = 1000
-#: Fixed value: characters that, behind letters, form a part of their own.
-BEHIND = ".,!?;:|"
+TOGETHER = 5000
+#: Fixed value: letters whose lower-case form, NFC form and bytes are the same for every tokenizer and library.
+LETTERS = "a-zß-öø-ÿ"
+#: A word of such letters (either case), and ASCII punctuation behind it, which forms a part of its own; not the apostrophe.
+CUT = f"^(?P<word>[{LETTERS}À-ÖØ-Þ]+)(?P<behind>[!-&(-/:-@\\[-`{{-~]*)$"
+#: Fixed value: a character that is neither space, letter nor digit, put between words to find their ids again.
+MARK = "\x01"
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that drops white space and ignores case.
+    """Ids of whole texts from a byte-level tokenizer that drops white space and ignores case.
 
     Such a tokenizer encodes the parts between white space independently, so
     each distinct part is encoded once and the ids of a text are put together
-    by index. Punctuation behind a word is a part of its own. Words of letters
-    alone are encoded many at a time: each ends with the one id that carries
-    the end-of-word mark. A bounded cache keeps the parts between calls.
+    by index. Punctuation behind a word of letters is a part of its own, and
+    such a word, in lower case, needs neither normalizer nor pattern: the
+    tokenizer's model gets it as it is, one id of each carrying the end-of-word
+    mark. Other words go through the whole tokenizer, with marks between them.
+    Known words are one Arrow array and their ids one vector, of bounded size.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own cost memory only
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = Tokenizer(self.tokenizer.model)  # shares the model
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.mark = self._whole(MARK)
+        self._forget()
 
-    def _one_by_one(self, parts: list[str]) -> dict[str, bytes]:
-        return {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
+    def _forget(self) -> None:
+        self.words, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _encode_letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each of some lower-case words of ``LETTERS``."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):
-            return self._one_by_one(words)
-        raw, stops = ids.tobytes(), (4 * stops).tolist()
-        return {w: raw[a:b] for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True)}
-
-    def _encode(self, parts: list[bytes]) -> list[bytes]:
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-            self.words.clear()
-        new = [p for p in parts if p not in self.parts]
-        cut, letters, others = [], {}, {}
-        for word in map(_text, new):
-            base = word.rstrip(BEHIND)
-            if base.isalpha() and (base.isascii() or unicodedata.is_normalized("NFC", base) and base.lower().isalpha()):
-                if base not in self.words:
-                    letters[base] = None
-                behind = word[len(base) :]
-            else:
-                base, behind = word, ""
-                if base not in self.words:
-                    others[base] = None
-            if behind not in self.words:
-                others[behind] = None
-            cut.append((base, behind))
-        for known, encode in ((letters, self._letters), (others, self._one_by_one)):
-            words = list(known)
-            for i in range(0, len(words), TOGETHER):
-                self.words.update(encode(words[i : i + TOGETHER]))
-        self.parts.update(zip(new, [self.words[base] + self.words[behind] for base, behind in cut], strict=True))
-        return [self.parts[p] for p in parts]
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(words) else self._encode_others(words)
+
+    def _encode_others(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each of some words between ASCII white space."""
+        texts = [w.decode("utf-8", "replace") for w in words.cast(pa.binary()).to_pylist()]
+        ids = self._whole("".join(f"{t} {MARK} " for t in texts))
+        marks = ids == self.mark[0]
+        if len(self.mark) == 1 and marks.sum() == len(texts):
+            return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+        each = [self._whole(t) for t in texts]  # a text holds the mark itself
+        return np.concatenate(each), np.array([len(e) for e in each])
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encodes new words; the numbers that they get."""
+        plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        order, known = np.argsort(~plain, kind="stable"), len(self.words)
+        words, n = words.take(pa.array(order)), int(plain.sum())
+        parts = [encode(words.slice(i, min(TOGETHER, end - i))) for start, end, encode in ((0, n, self._encode_letters), (n, len(words), self._encode_others)) for i in range(start, end, TOGETHER)]
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, *[ids for ids, _ in parts]])
+        self.sizes = np.concatenate([self.sizes, *[sizes for _, sizes in parts]])
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = np.arange(known, known + len(words))
+        return numbers
+
+    def _encode(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, one behind the other, and their number for each."""
+        cut = pc.extract_regex(parts, CUT)
+        word = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "word")), parts)
+        both = pa.concat_arrays([word, pc.fill_null(pc.struct_field(cut, "behind"), "")]).dictionary_encode()
+        if len(self.words) > CACHE_WORDS:
+            self._forget()
+        at = pc.fill_null(pc.index_in(both.dictionary, self.words), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        at = at.copy()
+        at[new] = self._learn(both.dictionary.take(pa.array(new)))
+        at = at[both.indices.to_numpy()].reshape(2, -1)
+        return _runs(self.ids, self.sizes, at.T.ravel()), self.sizes[at].sum(0)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end_id``, and the offsets of the texts."""
         texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         offsets = np.asarray(lists.offsets, np.int64)
-        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        coded = flat.dictionary_encode()
-        ids = self._encode(coded.dictionary.cast(pa.binary()).to_pylist())
+        ids, sizes = self._encode(coded.dictionary)
         # the end id is one more part behind each text
-        ids.append(np.array([end_id], np.uint32).tobytes())
-        codes = np.insert(coded.indices.to_numpy(), offsets[1:], len(ids) - 1)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        known, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat((first[codes] - ends[:-1]).astype(np.int32), n)
-        at += np.arange(ends[-1], dtype=np.int32)
-        return known[at], ends[np.concatenate([[0], offsets[1:] + np.arange(1, len(texts) + 1)])]
-
-
-def _text(part: bytes) -> str:
-    return part.decode("utf-8", "replace")
+        ids, sizes = np.append(ids, np.uint32(end_id)), np.append(sizes, 1)
+        codes = np.insert(coded.indices.to_numpy(), offsets[1:], len(sizes) - 1)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        return _runs(ids, sizes, codes), ends[np.concatenate([[0], offsets[1:] + np.arange(1, len(texts) + 1)])]
+
+
+def _runs(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` numbered by ``codes``, one behind the other, where run i is the next ``sizes[i]`` ids."""
+    n = sizes[codes]
+    at = np.repeat(((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(n) - n)).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at]
 
 
 class CapacityTree:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import gc
 import random
+import tracemalloc
 
 import pyarrow as pa
 
@@ -31,6 +33,19 @@ def test_new_words_are_encoded_together():
     assert sum(c.inputs for c in counting.values()) <= 10
 
 
+def test_known_words_take_few_bytes():
+    own, words = packing.WordTokenizer(PATH), distinct_words(40_000)
+    own.encode(pa.array(["a few words first"]), 1)
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for i in range(0, len(words), 1000):
+        own.encode(pa.array([" ".join(words[i : i + 1000])]), 1)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 100 * len(words)
+
+
 def test_ids_of_odd_words_match_the_tokenizer():
     from tokenizers import Tokenizer
 

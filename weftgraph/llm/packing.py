@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Workspace, pieces, tidy
 
+#: Text bytes that one step encodes at most (one longer text is its own step): two workers share an executor with a full heap.
+TEXT_BYTES = 1 << 20
 #: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 250_000
 #: Words that are encoded at once.
@@ -236,7 +238,7 @@ def cut(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen, task = WordTokenizer(tokenizer_path), Counter(), TaskContext.get().partitionId()
         names = schema.replace(",", "").split()[::2]
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", TEXT_BYTES):
             ids, ends = tokenizer.encode(batch.column("text"), end_id)
             raw = memoryview(ids).cast("B")
             # each text's pieces: full windows, then what is left

@@ -70,3 +70,15 @@ def test_rows_are_judged_by_their_own_text(spark):
     assert found == Counter([(4, 1, 0), (4, 20_011, 10), (None, 10, 10), (None, 1, 0), (4, 1, 0)])
     kept = Counter((r.doc_id, r.text) for r in decontaminate.remove_contaminated(frame, items).collect())
     assert kept == Counter([(4, "clean"), (4, "clean"), (None, "clean")])
+
+
+def test_windows_are_indexed_by_their_pairs_of_words(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "five six"), (3, "one"), (4, None)], "item_id long, text string")
+    docs = [(1, "x One two three, four five"), (2, "four three two four three"), (3, "five five six"), (4, "two three four one"), (5, "six")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.find_contamination(frame, items, window=3)
+    assert Counter(tuple(r) for r in found.collect()) == rows_of(docs, [(1, "one two three four"), (2, "five six"), (3, "one"), (4, None)], 3)
+    index, _, hits = decontaminate._lookup(frame, items.filter("item_id < 3"), 3)
+    # of the second text all words occur in an item, but none of its pairs
+    assert sorted((r.term, r.pos) for r in index.postings.collect()) == sorted([("one two", 1), ("two three", 2), ("three four", 3), ("five six", 1), ("two three", 0), ("three four", 1)])
+    assert hits.count() == 4

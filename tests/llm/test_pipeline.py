@@ -59,3 +59,16 @@ def test_null_ids_repeated_rows_and_null_texts(spark, tmp_path):
 
 def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [], [(1, LEAK)])).collect() == []
+
+
+def test_stages_delete_what_no_later_step_reads(spark, sf001):
+    from pathlib import Path
+
+    from weftgraph.llm.common import shared_folder
+
+    root = Path(shared_folder(spark), "weftgraph")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        before = set(root.glob("*/*"))
+        stage(spark, spark.read.parquet(f"{sf001}/documents.parquet"), sf001)
+        left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("*/*")) - before}
+        assert left - {"windows"} <= {"gone", "once"}, name

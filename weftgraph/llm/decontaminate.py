@@ -3,7 +3,9 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z became a-z. One pass
 over the documents splits them into words and writes the index: postings (term,
 row, position) of every term that occurs in a benchmark item, and one closing
-posting per row, which carries its number of words. All that follows reads the
+posting per row, which carries its number of words. A term is a word or two
+consecutive words; windows are made of their pairs of words, as nearly all words
+of a text occur in some item, but few of its pairs. All that follows reads the
 index, never a text.
 
 A phrase is looked up from its rarest terms. The posting lists of the two
@@ -46,9 +48,20 @@ def words(text: Column) -> Column:
 END = ""
 
 
+def pairs_of(seq: str) -> Column:
+    """Each word of a column of words, a space and the next word; null at the last."""
+    return F.transform(seq, lambda w, i: F.concat(w, F.lit(" "), F.get(seq, i + 1)))
+
+
+def terms_of(seq: str) -> Column:
+    """The terms that a phrase is looked up by: its pairs of consecutive words, or its only word."""
+    return F.when(F.size(seq) > 1, F.slice(pairs_of(seq), 1, F.greatest(F.size(seq) - 1, F.lit(0)))).otherwise(F.col(seq))
+
+
 class PositionalIndex:
     """Postings (term, key, pos) of training documents for the listed terms, as a table.
 
+    A listed term is a word, or two joined by a space: then ``pos`` is the first's.
     The closing posting of each row has the term ``END``, its number of words
     as position, and its ``doc_id``.
     """
@@ -56,32 +69,39 @@ class PositionalIndex:
     def __init__(self, docs: DataFrame, terms: DataFrame):
         self.ws = Workspace(docs.sparkSession, "positional-index")
         known = self.ws.table("terms", terms.select("term").union(docs.sparkSession.range(1).select(F.lit(END))).distinct())
+        paired = F.contains("term", F.lit(" "))
+        pairs, singles = not known.filter(paired).isEmpty(), not known.filter(~paired & (F.col("term") != END)).isEmpty()
         # key and words are made before the words are dealt out, once a row
-        split = docs.select(row_key().alias("key"), "doc_id", F.concat(words(F.col("text")), F.array(F.lit(END))).alias("words"))
-        flat = split.select("key", "doc_id", F.posexplode("words").alias("pos", "term"))
+        split = docs.select(row_key().alias("key"), "doc_id", words(F.col("text")).alias("words"))
+        closing = F.array(F.lit(END))
+        if pairs and singles:
+            both = F.concat(F.arrays_zip(F.col("words").alias("a"), pairs_of("words").alias("b")), F.array(F.struct(F.lit(END).alias("a"), F.lit(None).cast("string").alias("b"))))
+            flat = split.select("key", "doc_id", F.posexplode(both).alias("pos", "at")).select("key", "doc_id", "pos", F.explode(F.array("at.a", "at.b")).alias("term"))
+        else:
+            flat = split.select("key", "doc_id", F.posexplode(F.concat(pairs_of("words") if pairs else F.col("words"), closing)).alias("pos", "term"))
         held = flat.join(bounded(known, F.col("term")), "term", "left_semi")
         self.table = self.ws.table("postings", held.select("term", "key", "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")))
         self.postings = self.table.filter(F.col("term") != END).select("term", "key", "pos")
         self.rows = self.table.filter(F.col("term") == END).select("key", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
 
     def phrases(self, wanted: DataFrame) -> DataFrame:
-        """Exact matches (phrase_id, key, start, len) of ``wanted`` (phrase_id, seq array<string>); all its terms have to be listed."""
+        """Exact matches (phrase_id, key, start, len) of ``wanted`` (phrase_id, seq array<string>); all of ``terms_of`` its phrases have to be listed."""
         df = self.ws.table("frequencies", self.postings.groupBy("term").agg(F.count("*").alias("df")))
-        flat = wanted.select("phrase_id", F.size("seq").alias("len"), F.posexplode("seq").alias("at", "term")).join(bounded(df, F.col("term")), "term", "left")
+        flat = wanted.select("phrase_id", F.size("seq").alias("len"), F.posexplode(terms_of("seq")).alias("at", "term")).join(bounded(df, F.col("term")), "term", "left")
         by_phrase = Window.partitionBy("phrase_id")
         flat = flat.withColumn("rank", F.row_number().over(by_phrase.orderBy("df", "term", "at"))).withColumn("absent", F.max(F.col("df").isNull()).over(by_phrase))
         # a phrase with a term that occurs nowhere has no match
         flat = self.ws.table("terms-of-phrases", flat.filter("NOT absent").drop("absent", "df"))
         probes = self.ws.table("probes", flat.filter("rank <= 2").select("phrase_id", "term", "at", "len", F.expr("shiftleft(1, rank - 1)").alias("bit")))
         lists = self.postings.join(bounded(probes, F.col("term"), F.col("phrase_id")), "term").select("phrase_id", "key", "len", (F.col("pos") - F.col("at")).alias("start"), "bit").filter("start >= 0")
-        met = lists.groupBy("phrase_id", "key", "start", "len").agg(F.bit_or("bit").alias("bits")).filter("bits = if(len = 1, 1, 3)")
+        met = lists.groupBy("phrase_id", "key", "start", "len").agg(F.bit_or("bit").alias("bits")).filter("bits = if(len <= 2, 1, 3)")
         met = self.ws.table("met", met.select("phrase_id", "key", "start", "len"))
         rest = self.ws.table("rest", flat.filter("rank > 2").select("phrase_id", "at", "term"))
         due = met.join(bounded(rest, F.col("term"), F.col("phrase_id")), "phrase_id").select("phrase_id", "key", "start", (F.col("start") + F.col("at")).alias("pos"), "term")
         ids = self.ws.table("ids", met.select("key").distinct())
         near = self.postings.join(bounded(ids), "key", "left_semi")
         found = due.join(near, ["key", "pos", "term"], "left_semi").groupBy("phrase_id", "key", "start").agg(F.count("*").alias("n"))
-        return met.join(found, ["phrase_id", "key", "start"], "left").filter("coalesce(n, 0) = len - least(2, len)").select("phrase_id", "key", "start", "len")
+        return met.join(found, ["phrase_id", "key", "start"], "left").filter("coalesce(n, 0) = greatest(len - 3, 0)").select("phrase_id", "key", "start", "len")
 
     def near(self, first: str, second: str, within: int) -> DataFrame:
         """Proximity: (key, pos, other) where two listed terms stand at most ``within`` words apart.
@@ -111,7 +131,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 def _lookup(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[PositionalIndex, DataFrame, DataFrame]:
     """The index for the benchmark's terms, its windows (item_id, phrase_id, seq) and their matches."""
     windows = Workspace(docs.sparkSession, "benchmark").table("windows", item_windows(benchmark, window).select("item_id", F.md5(F.concat_ws(" ", "seq")).alias("phrase_id"), "seq").distinct())
-    index = PositionalIndex(docs, windows.select(F.explode("seq").alias("term")))
+    index = PositionalIndex(docs, windows.select(F.explode(terms_of("seq")).alias("term")))
     hits = index.phrases(windows.select("phrase_id", "seq").dropDuplicates(["phrase_id"]))
     return index, windows, index.ws.table("hits", hits)
 
@@ -133,7 +153,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """The rows without a hit word, with all their columns."""
     index, _, hits = _lookup(docs, benchmark, window)
-    return drop_rows(docs, index.ws.table("gone", hits.select("key").distinct()))
+    gone = index.ws.table("gone", hits.select("key").distinct())
+    index.ws.keep("gone")
+    return drop_rows(docs, gone)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

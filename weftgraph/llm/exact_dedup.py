@@ -278,6 +278,7 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
     again = ws.table("again", join_hot(found.filter(kept).select("key", "full"), first, "full"))
     gone = ws.table("gone", found.filter(~kept).select("key").union(again.filter("key != first").select("key")).distinct())
     once = ws.table("once", again.filter("key = first").groupBy("key").count().filter("count > 1").select("key"))
+    ws.keep("gone", "once")
     return drop_rows(docs, gone, once)
 
 

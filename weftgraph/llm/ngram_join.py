@@ -405,6 +405,9 @@ class NgramJaccardJoin:
         sketch = spark.sparkContext.broadcast(sketch_counts(profile))
         sized = profile.filter("part IS NULL").select("key", "doc_id", "n", "cls", "bits")
         self.classes = ws.table("classes", sized.filter("cls IS NOT NULL").groupBy("cls").agg(F.min_by(F.struct("key", "bits"), "key").alias("r")).select("cls", "r.*"))
+        sized = ws.table("sized", sized.drop("bits"))
+        ws.drop(profile)
+        ws.release()
         postings = self.docs.select("text").mapInArrow(tidy(_postings(self.width, self.bounds, sketch)), "token bigint, cls bigint, meta bigint")
         matches = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(tidy(_pairs(self.bounds)), "x bigint, y bigint, n bigint, need bigint, token bigint")
         matches = ws.table("matches", matches)
@@ -422,6 +425,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 75) -> Dat
     """Per document: doc_id, n_shingles, component_id."""
     join = NgramJaccardJoin(docs, width=width, percent=percent)
     rows = join.ws.table("rows", join.run())
+    join.ws.keep("rows")
     least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
     joined = join_hot(rows.select("doc_id", F.col("n").alias("n_shingles"), "root"), join.ws.table("least", least), "root", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
@@ -435,11 +439,13 @@ def remove_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75
     """
     join = NgramJaccardJoin(docs, width=width, percent=percent)
     rows = join.ws.table("rows", join.run().filter("root IS NOT NULL"))
+    join.ws.keep("rows")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     kept = join.ws.table("kept", rows.groupBy("root").agg(F.min(first)["key"].alias("kept"), F.count("*").alias("n")).filter("n > 1"))
     found = join.ws.table("found", join_hot(rows.select("key", "root"), kept, "root"))
     gone = join.ws.table("gone", found.filter("key != kept").select("key").distinct())
     once = join.ws.table("once", found.filter("key = kept").groupBy("key").count().filter("count > 1").select("key"))
+    join.ws.keep("gone", "once")
     return drop_rows(docs, gone, once)
 
 

@@ -9,13 +9,20 @@ from weftgraph.operators.graph import symmetric
 
 
 def simple_paths(edges: DataFrame, *, sources: int | None = None, limit: int | None = None) -> DataFrame:
-    """Paths of four different nodes (a, b, c, d), from every start or the first ``sources`` of them."""
+    """Paths of four different nodes (a, b, c, d), from every start or the first ``sources`` of them.
+
+    Only edges whose two ends both have further neighbours can stand in the
+    middle, so a half path goes on to a whole one unless all that is left closes
+    a triangle; neighbours of a hub don't meet each other.
+    """
     e = symmetric(edges.filter("src != dst")).distinct()
     hop = lambda x, y: e.select(F.col("id").alias(x), F.col("other").alias(y))
     first = hop("a", "b")
     if sources is not None:
         first = first.join(first.select("a").distinct().orderBy("a").limit(sources), "a", "left_semi")
-    out = first.join(hop("b", "c"), "b").filter("c != a").join(hop("c", "d"), "c").filter("d != a AND d != b").select("a", "b", "c", "d")
+    inner = e.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    middle = hop("b", "c").join(inner.select(F.col("id").alias("b")), "b", "left_semi").join(inner.select(F.col("id").alias("c")), "c", "left_semi")
+    out = first.join(middle, "b").filter("c != a").join(hop("c", "d"), "c").filter("d != a AND d != b").select("a", "b", "c", "d")
     return out if limit is None else out.orderBy("a", "b", "c", "d").limit(limit)
 
 

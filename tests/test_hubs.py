@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from weftgraph.operators import baselines
+from weftgraph.operators import baselines, graph
 
 
-def most_rows(df):
-    """The largest number of rows that a join of the query made, after it ran."""
+def most_rows(df, kind="Join", metric="numOutputRows"):
+    """The largest number of rows that a join, or a step of another kind, of the query made, after it ran."""
     df.collect()
     most, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
@@ -18,8 +18,8 @@ def most_rows(df):
             todo.append(p.executedPlan())
         elif "QueryStage" in name:
             todo.append(p.plan())
-        if "Join" in name and p.metrics().contains("numOutputRows"):
-            most = max(most, p.metrics().apply("numOutputRows").value())
+        if kind in name and p.metrics().contains(metric):
+            most = max(most, p.metrics().apply(metric).value())
         children = p.children()
         todo += [children.apply(i) for i in range(children.size())]
     return most
@@ -40,3 +40,30 @@ def test_paths_beside_triangles_equal_brute_force(spark):
     assert sorted(map(tuple, baselines.simple_paths(edges).collect())) == expected
     starts = sorted({p[0] for p in expected} | {"x", "y"})[:2]
     assert sorted(map(tuple, baselines.simple_paths(edges, sources=2).collect())) == [p for p in expected if p[0] in starts]
+
+
+def brute_hops(rows, seeds, hops):
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = set()
+    for s in seeds:
+        seen, frontier = {s}, {s}
+        out.add((s, s, 0))
+        for hop in range(1, hops + 1):
+            frontier = {y for x in frontier for y in near.get(x, ())} - seen
+            seen |= frontier
+            out |= {(s, x, hop) for x in frontier}
+    return sorted(out)
+
+
+def test_hops_equal_brute_force_and_lone_neighbours_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARE", 7)
+    rows = [("hub", f"leaf{i}") for i in range(60)] + [("hub", "a"), ("hub", "b"), ("a", "c"), ("b", "c"), ("c", "c"), ("c", "d"), ("d", "c"), ("x", "y")]
+    seeds = [f"leaf{i}" for i in range(0, 60, 3)] + ["hub", "c", "x", "nowhere"]
+    edges, start = spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame([(s,) for s in seeds], "seed string")
+    for hops in (1, 2, 3):
+        assert sorted(map(tuple, graph.k_hop(edges, start, hops).collect())) == brute_hops(rows, seeds, hops)
+    found = graph.k_hop(edges, start, 2)
+    assert most_rows(found, "Exchange", "shuffleRecordsWritten") < len(brute_hops(rows, seeds, 2)) / 4

@@ -25,3 +25,14 @@ def test_a_unit_is_hashed_once(mode, monkeypatch):
     assert sorted(n for r in out for n in r["nodes"]) == sorted([*nodes, "lone"])
     assert sorted((e["src"], e["dst"]) for r in out for e in r["edges"]) == sorted([*edges, ("far", "lone")])
     assert len(calls) == len(rows)
+
+
+def test_areas_end_when_nothing_new_is_reached(spark, monkeypatch):
+    cuts = []
+    real = growth.cut_lineage
+    monkeypatch.setattr(growth, "cut_lineage", lambda df: cuts.append(1) or real(df))
+    monkeypatch.setattr(growth, "AREA_ROUNDS", 50)
+    nodes = spark.createDataFrame([(i, f"n{i}") for i in range(12)], "id bigint, name string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src bigint, dst bigint")
+    found = {r.id: r.area for r in growth.areas(nodes, edges, 1).collect()}
+    assert sorted(set(found.values())) == list(range(12)) and len(cuts) <= 4

@@ -84,3 +84,21 @@ def test_graphs_without_paths(spark, rows):
     assert paths.sample_paths(edges).collect() == paths.sample_paths(edges, 9).collect() == []
     nodes = spark.createDataFrame([("a",), ("z",)], "id string")
     assert {(r.id, r.n_paths) for r in paths.path_counts(nodes, edges).collect()} == {("a", 0), ("z", 0)}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from weftgraph.sources.storage import CLEANUP, cut_lineage
+
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, kept = files(), spark.conf.get(CLEANUP)
+    df = spark.range(20_000).repartition(3, "id").selectExpr("id % 900 AS k").groupBy("k").count()
+    assert cut_lineage(df).count() == 900
+    own = cut_lineage(df.orderBy("k"))
+    assert [r["count"] for r in own.orderBy("k").limit(2).collect()] == [23, 23] and spark.conf.get(CLEANUP) == kept
+    index = paths.path_index(spark.createDataFrame(drawn_graph(3), "src string, dst string"))
+    assert index.walks > 0
+    left = [f for f in files() - before if f.exists()]
+    assert sum(f.stat().st_size for f in left) < 20_000

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import canonical, ranked, symmetric
-from weftgraph.sources.storage import cut_lineage
+from weftgraph.sources.storage import cut_lineage, release
 
 #: Rows of a block of prefix sums, and draws that one row generates at a time.
 BLOCK = 4096
@@ -80,15 +80,21 @@ class PathIndex(NamedTuple):
 
 
 def path_index(edges: DataFrame) -> PathIndex:
-    """The tables that turn numbers of walks into walks; only their number reaches the driver."""
+    """The tables that turn numbers of walks into walks; only their number reaches the driver.
+
+    Each join is written by itself, so that no more than its own shuffle is on disk.
+    """
     arcs = ranked(symmetric(simple(edges)), "number", F.col("id"), F.col("other"))
     lists = cut_lineage(arcs.groupBy("id").agg(F.min("number").alias("at"), F.count("*").alias("n")))
-    there = arcs.filter("id < other").select(F.col("id").alias("b"), F.col("other").alias("c"), F.col("number").alias("to_c"))
-    back = arcs.filter("id > other").select(F.col("other").alias("b"), F.col("id").alias("c"), F.col("number").alias("to_b"))
-    side = lambda x: lists.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), (F.col("n") - 1).alias(f"n_{x}"))
-    middles = there.join(back, ["b", "c"]).join(side("b"), "b").join(side("c"), "c").withColumn("w", F.col("n_b") * F.col("n_c")).filter("w > 0")
+    listed = cut_lineage(arcs.join(lists, "id").filter("n > 1"))
+    release(lists)
+    side = lambda x, y: listed.select(F.col("id").alias(x), F.col("other").alias(y), F.col("number").alias(f"to_{y}"), F.col("at").alias(f"at_{x}"), (F.col("n") - 1).alias(f"n_{x}"))
+    there, back = side("b", "c").filter("b < c"), side("c", "b").filter("c > b")
+    held = cut_lineage(there.join(back, ["b", "c"]).withColumn("w", F.col("n_b") * F.col("n_c")))
+    release(listed)
     size = (arcs.agg(F.max("number")).first()[0] or 0) + 1
-    middles = cut_lineage(prefix_sums(middles, "to_c", "w", "before", size))
+    middles = cut_lineage(prefix_sums(held, "to_c", "w", "before", size))
+    release(held)
     return PathIndex(arcs, middles, middles.agg(F.sum("w")).first()[0] or 0)
 
 
@@ -104,8 +110,9 @@ def sample_paths(edges: DataFrame, draws: int | None = None, *, seed: int = 0, i
     walks, by a hash of seed and i; every walk is expected draws / walks times.
     A draw that returns to its start (a = d) is dropped, which leaves paths
     equally likely. Without ``draws``, or with as many as there are walks, each
-    path comes exactly once. A middle edge generates its own draws, in blocks, so
-    a hub's draws spread over tasks.
+    path comes exactly once. A middle edge generates its own draws, in blocks;
+    only edges with draws in several blocks are shuffled, so that a hub's draws
+    spread over tasks.
     """
     arcs, middles, walks = index or path_index(edges)
     n = walks if draws is None else draws
@@ -113,7 +120,9 @@ def sample_paths(edges: DataFrame, draws: int | None = None, *, seed: int = 0, i
     total, shares = wide(max(walks, 1)), wide(max(n, 1), 18)
     first, last = f"{wide('before')} * {shares} div {total}", f"({wide('before + w')} * {shares} - 1) div {total}"
     hit = middles.filter(F.lit(n > 0)).withColumn("first", F.expr(first)).withColumn("last", F.expr(last))
-    hit = hit.withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, last div {BLOCK})"))).repartition("to_c", "block")
+    low, high = F.expr(f"first div {BLOCK}"), F.expr(f"last div {BLOCK}")
+    many = hit.filter(low != high).withColumn("block", F.explode(F.sequence(low, high))).repartition("to_c", "block")
+    hit = hit.filter(low == high).withColumn("block", low).unionByName(many)
     hit = hit.withColumn("draw", F.explode(F.expr(f"sequence(greatest(first, block * {BLOCK}), least(last, block * {BLOCK} + {BLOCK - 1}))")))
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
     hit = hit.withColumn("r", hashed % F.lit(max(walks, 1)).cast("bigint")).withColumn("p", F.expr(f"({wide('draw', 18)} * {total} + r) div {shares}"))
@@ -121,4 +130,7 @@ def sample_paths(edges: DataFrame, draws: int | None = None, *, seed: int = 0, i
     hit = hit.withColumn("to_a", F.col("at_b") + _skip(F.expr("o div n_c"), F.col("to_c") - F.col("at_b")))
     hit = hit.withColumn("to_d", F.col("at_c") + _skip(F.col("o") % F.col("n_c"), F.col("to_b") - F.col("at_c")))
     end = lambda x: arcs.select(F.col("number").alias(f"to_{x}"), F.col("other").alias(x))
-    return hit.select("draw", "b", "c", "to_a", "to_d").join(end("a"), "to_a").join(end("d"), "to_d").filter("a != d").select("draw", "a", "b", "c", "d")
+    half = cut_lineage(hit.select("draw", "b", "c", "to_a", "to_d").join(end("a"), "to_a").drop("to_a"))
+    if index is None:
+        release(middles)
+    return half.join(end("d"), "to_d").filter("a != d").select("draw", "a", "b", "c", "d")
